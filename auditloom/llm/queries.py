@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from auditloom.llm.canonical_map import canonical_codes
 from auditloom.llm.eval_leaks import leaks
 from auditloom.llm.layout_duplicates import copies, copy_groups
 
@@ -25,9 +26,18 @@ def p3_copies(spark: SparkSession, folder: str) -> DataFrame:
     return copy_groups(table(spark, folder, "messy_sample"), "row_id", EXACT, LOOSE).select("first_row_id", "copies")
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """(row_id, field, code) of every borough and status of messy_sample that is not written as in its reference table."""
+    entries = {
+        field: [(r["code"], r["name"]) for r in table(spark, folder, f"{field}_reference").select("code", "name").distinct().orderBy("code", "name").collect()]
+        for field in ("borough", "status")
+    }
+    return canonical_codes(table(spark, folder, "messy_sample"), "row_id", entries)
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, item_id) of every decision that repeats a passage of a test item."""
     return leaks(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "text")
 
 
-QUERIES = {"p3_found": p3_found, "p3_copies": p3_copies, "p8_found": p8_found}
+QUERIES = {"p3_found": p3_found, "p3_copies": p3_copies, "p6_found": p6_found, "p8_found": p8_found}
