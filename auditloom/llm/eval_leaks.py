@@ -153,15 +153,12 @@ def leaks(documents: DataFrame, doc: str, text: str, items: DataFrame, item: str
 
 
 def _search(source: DataFrame, index: ItemIndex) -> DataFrame:
-    shared = source.sparkSession.sparkContext.broadcast(index)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
         for batch in batches:
             docs, hits = [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if text:
-                    for hit in own.leaks(text):
+                    for hit in index.leaks(text):
                         docs.append(doc)
                         hits.append(hit)
             yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(hits, pa.int64())], names=["doc_id", "item_id"])

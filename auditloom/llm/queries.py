@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from auditloom.functions.coerce import to_day
 from auditloom.llm.canonical_map import canonical_codes
 from auditloom.llm.eval_leaks import leaks
 from auditloom.llm.layout_duplicates import copies, copy_groups
+from auditloom.llm.name_variants import linked_rows
 
 EXACT = ["id", "age", "signup_date", "close_date", "score", "borough_code", "zip_code"]
 LOOSE = ["name", "borough", "status"]
@@ -26,12 +29,23 @@ def p3_copies(spark: SparkSession, folder: str) -> DataFrame:
     return copy_groups(table(spark, folder, "messy_sample"), "row_id", EXACT, LOOSE).select("first_row_id", "copies")
 
 
+def reference_entries(spark: SparkSession, folder: str, field: str) -> list[tuple[str, str]]:
+    """(code, name) of a field's reference table, which does not grow with the data."""
+    rows = table(spark, folder, f"{field}_reference").select("code", "name").distinct().orderBy("code", "name")
+    return [(r["code"], r["name"]) for r in rows.collect()]
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """(row_id_a, row_id_b) of all rows of messy_sample that belong to one registrant under different spellings."""
+    forms = [(r["full_form"], r["short_form"]) for r in table(spark, folder, "name_forms").collect()]
+    day = F.coalesce(to_day(F.col("signup_date")).cast("string"), F.col("signup_date"))
+    others = [reference_entries(spark, folder, field) for field in ("borough", "status")]
+    return linked_rows(table(spark, folder, "messy_sample"), "row_id", "name", [F.col("zip_code"), day], forms, others)
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """(row_id, field, code) of every borough and status of messy_sample that is not written as in its reference table."""
-    entries = {
-        field: [(r["code"], r["name"]) for r in table(spark, folder, f"{field}_reference").select("code", "name").distinct().orderBy("code", "name").collect()]
-        for field in ("borough", "status")
-    }
+    entries = {field: reference_entries(spark, folder, field) for field in ("borough", "status")}
     return canonical_codes(table(spark, folder, "messy_sample"), "row_id", entries)
 
 
@@ -40,4 +54,4 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaks(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "text")
 
 
-QUERIES = {"p3_found": p3_found, "p3_copies": p3_copies, "p6_found": p6_found, "p8_found": p8_found}
+QUERIES = {"p3_found": p3_found, "p3_copies": p3_copies, "p5_found": p5_found, "p6_found": p6_found, "p8_found": p8_found}
