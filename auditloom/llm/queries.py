@@ -10,6 +10,7 @@ from auditloom.llm.canonical_map import canonical_codes
 from auditloom.llm.eval_leaks import leaks
 from auditloom.llm.layout_duplicates import copies, copy_groups
 from auditloom.llm.name_variants import linked_rows
+from auditloom.llm.residue import residue
 
 EXACT = ["id", "age", "signup_date", "close_date", "score", "borough_code", "zip_code"]
 LOOSE = ["name", "borough", "status"]
@@ -54,4 +55,9 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaks(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "text")
 
 
-QUERIES = {"p3_found": p3_found, "p3_copies": p3_copies, "p5_found": p5_found, "p6_found": p6_found, "p8_found": p8_found}
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id) of every decision with placeholders, filler, error messages or notices instead of content."""
+    return residue(table(spark, folder, "documents"), "doc_id", "text")
+
+
+QUERIES = {"p3_found": p3_found, "p3_copies": p3_copies, "p5_found": p5_found, "p6_found": p6_found, "p8_found": p8_found, "p9_found": p9_found}
