@@ -15,6 +15,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -56,6 +57,10 @@ PLACEHOLDER = re.compile(
     r"\{%\s*[\w.\- ]{1,60}\s*%\}|\{\{\s*[\w.\- ]{1,60}\s*\}\}|\$\{\s*[\w.\-]{1,60}\s*\}|%[^\W\d_][\w.]{1,60}%|__[^\W\d_][\w.]*?__|<<\s*[\w.\- ]{1,60}\s*>>|«[\w.]{1,60}»|@@[\w.]{1,60}@@"
     r"|#[^\W\d_][\w.]{1,60}#|(?<!\{)\{[^\W\d_][\w.]{0,60}\}(?!\})|<[^\W\d_][\w.]{0,60}>|\[(?i:insert|enter|add|your|type|fill in)\b[^\]\n]{0,60}\]|\[[^\]\n]{1,60}(?i:to be completed|to follow|to be inserted|here)\]"
 )
+#: One of these is in every placeholder that is not in square brackets, and one of those in all that are.
+_SIGNS = ("{", "$", "%", "__", "<", "«", "@@", "#")
+_BRACKETED = ("[insert", "[enter", "[add", "[your", "[type", "[fill", "completed]", "follow]", "inserted]", "here]")
+_SPACED = {c: " " for c in [*range(0x2C0), *range(0x2000, 0x2070), 0x3000] if not chr(c).isalpha() and chr(c) not in "'’"} | {0xAD: None}
 _QUOTE = re.compile(r"“[^”\n]{0,400}”|„[^“”\n]{0,400}[“”]|\"[^\"\n]{0,400}\"|« [^»\n]{0,400} »|‹[^›\n]{0,400}›")
 _TOKEN = re.compile(r"[]|[^\W\d_]{2,}(?:['’][^\W\d_]+)?|(?:^|(?<=http )|(?<=error ))[45]\d\d(?![\d.,])")
 _BREAK = re.compile(r"[\r\n\x0b\x0c\x85  ]+|(?<=[.!?…])[\"”»]?\s+(?=\S)")
@@ -99,15 +104,28 @@ def trusted(passage: str) -> bool:
 class ResidueModel:
     """Word weights (log odds of residue against content) and the two thresholds."""
 
-    #: Words that a stretch must have to count by itself, unless it holds a placeholder.
-    SHORTEST = 4
+    #: Words for residue that a stretch must have to count by itself, unless it holds a placeholder.
+    SHORTEST = 3
 
-    def __init__(self, weights: dict[str, float], bias: float, whole: float, stretch: float, frequency: dict[str, int] | None = None):
+    def __init__(self, weights: dict[str, float], bias: float, whole: float, stretch: float, frequency: dict[str, int] | None = None, most: float = 0):
         self.weights, self.bias, self.whole, self.stretch = weights, bias, whole, stretch
-        # A text or passage without any of these words cannot reach a threshold: of every feature that counts for
-        # residue, its rarer word.
-        often = frequency or {}
-        self.strong = {min(w.split(" "), key=lambda x: often.get(x, 0)) for w, x in weights.items() if x > 0.0 and w[0] != "~"}
+        # Only passages with a mark are scored: a word or pair of words that counts for residue and is in few texts, or a
+        # placeholder. One automaton finds them all.
+        rare = frequency or {}
+        self.marks = sorted(f" {w} " for w, x in weights.items() if x > 0.5 and w[0] != "~" and w not in (PLACED, REPEATED) and rare.get(w, 0) <= most)
+        self.automaton = None
+
+    def _marked(self, text: str) -> bool:
+        if self.automaton is None:
+            self.automaton = ahocorasick.Automaton()
+            for mark in [*self.marks, "  "]:
+                self.automaton.add_word(mark, True)
+            self.automaton.make_automaton()
+        low = text.lower()
+        if (any(sign in low for sign in _SIGNS) or any(sign in low for sign in _BRACKETED)) and PLACEHOLDER.search(text):
+            return True
+        words = " ".join(low.translate(_SPACED).split())
+        return next(self.automaton.iter(f" {words} "), None) is not None
 
     @classmethod
     def fit(cls, texts: list[str], iterations: int = 4, whole: float = 0.0, stretch: float = 16.0, smoothing: float = 0.05, ordinary: float = 0.01) -> ResidueModel:
@@ -142,7 +160,8 @@ class ResidueModel:
             share = np.where(label, 1.0, 1 / (1 + np.exp(-score)))
         weights = {w: float(odds[k]) for w, k in vocabulary.items()}
         weights[PLACED] = max(weights.get(PLACED, 0.0), 20.0)
-        return cls(weights, bias, whole, stretch, in_texts)
+        often = {w: n for w, n in in_texts.items() if weights.get(w, 0.0) > 0}
+        return cls(weights, bias, whole, stretch, often, 2 * ordinary * len(texts))
 
     def scores(self, passage: str) -> tuple[float, float]:
         """(score of the whole passage by its distinct words, best sum over a stretch of unquoted neighbouring words)."""
@@ -150,27 +169,26 @@ class ResidueModel:
         whole = self.bias + sum(self.weights.get(w, 0.0) for w in features(words))
         best = run = 0.0
         seen: set[str] = set()
-        last, length = "", 0
+        length = 0
         for w in words:
-            x = -2.0 if w[0] == "~" else self.weights.get(w, -0.5) + max(self.weights.get(f"{last} {w}", 0.0), 0.0)
+            x = -2.0 if w[0] == "~" else self.weights.get(w, -0.5)
             if w in seen:
                 x = min(x, 1.5)
             run += x
-            last = w
             if run <= 0:
                 run, seen, length = 0.0, set(), 0
             else:
                 seen.add(w)
-                length += 1
+                length += x > 0.5
                 if length >= self.SHORTEST or w == PLACED:
                     best = max(best, run)
         return whole, best
 
     def is_case(self, text: str) -> bool:
-        if self.strong.isdisjoint(_TOKEN.findall(_marked(text))):
+        if not self._marked(text):
             return False
         for p in passages(text):
-            if not self.strong.isdisjoint(_TOKEN.findall(_marked(p))):
+            if self._marked(p):
                 whole, best = self.scores(p)
                 if whole > self.whole or best > self.stretch:
                     return True
