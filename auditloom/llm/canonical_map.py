@@ -209,5 +209,5 @@ def canonical_codes(df: DataFrame, row: str, fields: dict[str, list[tuple[str, s
             batch["code"] = [lists[f].match(v) or unmatched for f, v in zip(batch["field"], batch["value"], strict=True)]
             yield batch
 
-    meanings = cells.groupBy("field", "value").agg().mapInPandas(run, "field string, value string, code string")
+    meanings = cells.select("field", "value").distinct().mapInPandas(run, "field string, value string, code string")
     return cells.join(meanings, ["field", "value"]).select("row_id", "field", "code")

@@ -27,7 +27,7 @@ _SPLIT = re.compile(r"[\W_]+")
 # Words that are no part of who somebody is.
 TITLES = frozenset(("dr", "prof", "professor", "mr", "mrs", "ms", "miss", "mx", "sir", "dame", "rev", "jr", "sr"))
 PARTICLES = frozenset(("al", "el", "van", "von", "der", "den", "de", "del", "della", "di", "da", "dos", "du", "la", "le", "bin", "ibn", "ten", "ter"))
-FILLERS = frozenset(("the", "and", "of", "for", "u", "y"))
+FILLERS = frozenset(("the", "and", "of", "for"))
 
 # The legal forms of organisations and their short spellings.
 LEGAL_FORMS = frozenset((
@@ -79,6 +79,10 @@ class NameReader:
         given = {plain(w) for w in common} - TITLES - PARTICLES - FILLERS - LEGAL_FORMS - BUSINESS
         self.given = {w for w in given | fulls if len(w) > 1}
         self.known = self.given | set(self.shorts)
+        self.initials = {w: {w[0]} for w in self.known}
+        for short, wholes in self.shorts.items():
+            for whole in wholes:
+                self.initials.setdefault(whole, {whole[0]}).add(short[0])
         self.openings = {w[:k] for w in self.given for k in range(3, len(w))}
         self.by_length = sorted(self.known, key=len, reverse=True)
         self.others = [CanonicalList(entries) for entries in other_fields]
@@ -114,20 +118,27 @@ class NameReader:
     def parse(self, text: str) -> Name:
         words = name_words(text)
         bare = [w for w in words if w not in TITLES and w not in FILLERS]
-        kinds = [w for w in bare if w in BUSINESS]
-        if kinds or any(w in LEGAL_FORMS and w != "co" for w in bare):
+        if any(w in BUSINESS or self._business_like(w) for w in bare) or any(w in LEGAL_FORMS and w not in ("co", "op", "son") for w in bare):
             left = [w for w in bare if w not in LEGAL_FORMS]
             own = [w for w in left if w not in BUSINESS and not self._business_like(w)] or left or bare
             first = max(own, key=len)
             rest = tuple(w for w in left if w != first)
             return Name(first, rest, True, "".join(words))
         left = [w for w in bare if w not in PARTICLES] or bare
+        if len(left) > 2:
+            left = [w for w in left if not self._particle_like(w)]
         joined = "".join(left)
         if len(left) == 1 or not any(w in self.known or len(w) == 1 for w in left) and not any(map(self._given_like, left)):
             left = self._segmented(joined) or left
         rare = [w for w in left if w not in self.known and len(w) > 2]
         if len(rare) > 1:
             rare = [w for w in rare if not self._given_like(w)] or rare
+        if 1 < len(rare) < len(left):
+            # Beside a given name: a surname with a break in it, put there on purpose or not.
+            ends = [i for i, w in enumerate(left) if w in rare]
+            if ends == list(range(ends[0], ends[-1] + 1)):
+                left = [*left[: ends[0]], "".join(rare), *left[ends[-1] + 1 :]]
+                rare = ["".join(rare)]
         rare = rare or [w for w in left if len(w) > 1] or left or [joined]
         own = max(rare, key=len)
         rest = list(left)
@@ -142,29 +153,37 @@ class NameReader:
         """A mistyped or shortened kind of business."""
         return len(word) >= 4 and any(edits(word, b, 1) <= 1 for b in BUSINESS if len(b) >= 6) or word in ("intl", "svcs", "svc", "mgmt", "vet", "eng", "engg", "ctr", "pract", "prop")
 
+    def _particle_like(self, word: str) -> bool:
+        most = 1 if len(word) < 5 else 2
+        return 3 <= len(word) <= 5 and word not in self.known and word not in self.openings and any(edits(word, p, most) <= most for p in ("van", "von", "der"))
+
     def _same_word(self, a: str, b: str) -> bool:
         if a == b:
             return True
         n = min(len(a), len(b))
-        return n >= 4 and edits(a, b, 2 if n >= 7 else 1) <= (2 if n >= 7 else 1)
+        most = 2 if n >= 5 else 1
+        return n >= 4 and edits(a, b, most) <= most
 
     def _given(self, a: str, b: str) -> int:
         """2: the same given name, 1: an initial of it, 0: another."""
         if a == b:
             return 2
         if len(a) == 1 or len(b) == 1:
-            return 1 if a[0] == b[0] else 0
+            return 1 if self.initials.get(a, {a[0]}) & self.initials.get(b, {b[0]}) else 0
         fa, fb = self.shorts.get(a, set()) | {a}, self.shorts.get(b, set()) | {b}
         if fa & fb:
             return 2
         if a in self.given and b in self.given:
             return 0
         short, long = sorted((a, b), key=len)
-        if len(short) >= 2 and long.startswith(short) and long in self.given:
+        if long in self.given and len(short) >= 2 and (long.startswith(short) or len(short) >= 3 and short[:2] == long[:2] and _subsequence(short, long)):
             return 2
         for x, ys in ((a, fb), (b, fa)):
             if any(self._same_word(x, y) for y in ys):
                 return 2
+        # A short form of a mistyped name.
+        if 3 <= len(short) <= 5 and len(long) >= 5 and short[:2] == long[:2] and _subsequence(short, long):
+            return 2
         return 0
 
     def compare(self, a: Name, b: Name) -> int:
@@ -228,7 +247,10 @@ def common_words(names: DataFrame, share: float = 0.0015, least: int = 5) -> set
 
 def spellings(names: DataFrame) -> DataFrame:
     """(block, f, name) of the blocks with two folded spellings or more; name is the most telling of a folded spelling."""
-    one = names.groupBy("block", "f").agg(F.max_by("name", F.struct(F.size(F.split(F.trim("name"), r"[\s,]+")), -F.length("name"), "name")).alias("name"))
+    odd = F.regexp_count("name", F.lit(r"[^\p{L}\p{N} ]"))
+    words = F.regexp_count("name", F.lit(r"[^\s]+"))
+    best = F.struct((words > 1).alias("spaced"), (-odd).alias("odd"), (-words).alias("words"), F.col("name"))
+    one = names.groupBy("block", "f").agg(F.max(best)["name"].alias("name"))
     sizes = one.groupBy("block").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     return one.join(sizes, "block")
 
@@ -289,7 +311,7 @@ def linked_rows(
     block: list,
     short_forms: list[tuple[str, str]],
     other_fields: list[list[tuple[str, str]]],
-    radius: int = 3,
+    radius: int = 4,
     cell_size: int = 64,
 ) -> DataFrame:
     """(row_id_a, row_id_b): all pairs of rows, smaller id first, whose names are different spellings of one registrant.
