@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditloom.functions.coerce import to_day
+from auditloom.llm.byte_bpe import ByteBpe, load_ranks
 from auditloom.llm.canonical_map import canonical_codes
 from auditloom.llm.eval_leaks import leaks
 from auditloom.llm.layout_duplicates import copies, copy_groups
@@ -50,6 +51,11 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return canonical_codes(table(spark, folder, "messy_sample"), "row_id", entries)
 
 
+def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, ids) of every decision under the byte-level vocabulary of 50,256 pieces, without special tokens."""
+    return ByteBpe(load_ranks()).encode(table(spark, folder, "documents"), "doc_id", "text")
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, item_id) of every decision that repeats a passage of a test item."""
     return leaks(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "text")
@@ -60,4 +66,4 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return residue(table(spark, folder, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p3_found": p3_found, "p3_copies": p3_copies, "p5_found": p5_found, "p6_found": p6_found, "p8_found": p8_found, "p9_found": p9_found}
+QUERIES = {"p3_found": p3_found, "p3_copies": p3_copies, "p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}
