@@ -45,6 +45,12 @@ BUSINESS = frozenset((
 ))
 
 
+# Usual short forms of the words above.
+_SHORT_BUSINESS = frozenset(("intl", "svcs", "svc", "mgmt", "vet", "eng", "engg", "ctr", "pract", "prop"))
+#: Kinds of business by their first and by their last three letters, one of which one wrong letter leaves as it is.
+_BY_END = {end: tuple(b for b in BUSINESS if len(b) >= 6 and end in (b[:3], b[-3:])) for end in {e for b in BUSINESS for e in (b[:3], b[-3:])}}
+
+
 def plain(text: str) -> str:
     """Lower case without accents."""
     lowered = text.lower()
@@ -84,17 +90,20 @@ class NameReader:
             for whole in wholes:
                 self.initials.setdefault(whole, {whole[0]}).add(short[0])
         self.openings = {w[:k] for w in self.given for k in range(3, len(w))}
+        self.by_end: dict[str, list[str]] = {}
+        for w in self.given:
+            if len(w) >= 4:
+                for end in (w[:2], w[-2:]):
+                    self.by_end.setdefault(end, []).append(w)
         self.by_length = sorted(self.known, key=len, reverse=True)
         self.others = [CanonicalList(entries) for entries in other_fields]
 
     def is_name(self, text: str) -> bool:
         """Whether the cell holds a name and not a value of one of the other fields."""
-        words = name_words(text)
-        if not folded(text):
+        flat = folded(text)
+        if not flat or any(flat in o.whole for o in self.others):
             return False
-        if any(o.whole.get(folded(text)) for o in self.others):
-            return False
-        if any(w in self.known or w in LEGAL_FORMS or w in BUSINESS for w in words):
+        if any(w in self.known or w in LEGAL_FORMS or w in BUSINESS for w in name_words(text)):
             return True
         return not any(o.match(text) for o in self.others)
 
@@ -112,8 +121,11 @@ class NameReader:
         """A given name, a short form of one, or one mistyped."""
         if word in self.known or word in self.openings:
             return True
+        if len(word) < 4:
+            return False
         most = 1 if len(word) < 7 else 2
-        return len(word) >= 4 and any(edits(word, g, most) <= most for g in self.given if abs(len(g) - len(word)) <= most and len(g) >= 4)
+        near = {*self.by_end.get(word[:2], ()), *self.by_end.get(word[-2:], ())}
+        return any(edits(word, g, most) <= most for g in near if abs(len(g) - len(word)) <= most)
 
     def parse(self, text: str) -> Name:
         words = name_words(text)
@@ -151,7 +163,9 @@ class NameReader:
     @staticmethod
     def _business_like(word: str) -> bool:
         """A mistyped or shortened kind of business."""
-        return len(word) >= 4 and any(edits(word, b, 1) <= 1 for b in BUSINESS if len(b) >= 6) or word in ("intl", "svcs", "svc", "mgmt", "vet", "eng", "engg", "ctr", "pract", "prop")
+        if word in _SHORT_BUSINESS:
+            return True
+        return len(word) >= 5 and any(edits(word, b, 1) <= 1 for b in {*_BY_END.get(word[:3], ()), *_BY_END.get(word[-3:], ())} if abs(len(b) - len(word)) <= 1)
 
     def _particle_like(self, word: str) -> bool:
         most = 1 if len(word) < 5 else 2
@@ -246,7 +260,8 @@ def common_words(names: DataFrame, share: float = 0.0015, least: int = 5) -> set
 
 
 def spellings(names: DataFrame) -> DataFrame:
-    """(block, f, name) of the blocks with two folded spellings or more; name is the most telling of a folded spelling."""
+    """(block, f, name, size) of the blocks with two folded spellings or more; f is a 64-bit hash of the folded spelling,
+    name the most telling of its written forms, size the number of spellings of the block."""
     odd = F.regexp_count("name", F.lit(r"[^\p{L}\p{N} ]"))
     words = F.regexp_count("name", F.lit(r"[^\s]+"))
     best = F.struct((words > 1).alias("spaced"), (-odd).alias("odd"), (-words).alias("words"), F.col("name"))
@@ -256,12 +271,12 @@ def spellings(names: DataFrame) -> DataFrame:
 
 
 def cells(parsed: DataFrame, radius: int, cell_size: int) -> DataFrame:
-    """(cell, home, block, f, own, ...): names with the cells that they are compared in.
+    """The names with a column ``pivot`` for each cell they are compared in, and ``home``, true in the nearest one.
 
     Blocks of at most ``cell_size`` names are one cell. A larger block gets one pivot for every half cell, at most 64,
     chosen by hash; the triangle inequality decides where a name is replicated.
     """
-    ordinary = parsed.filter(F.col("size") <= cell_size).withColumn("pivot", F.lit(-1))
+    ordinary = parsed.filter(F.col("size") <= cell_size).withColumns({"pivot": F.lit(-1), "home": F.lit(True)})
     big = parsed.filter(F.col("size") > cell_size)
     wanted = F.least(F.lit(64), F.ceil(F.col("size") / (cell_size / 2))).cast("int")
     # The names with the smallest hashes of a block are its pivots; the candidates are thinned before they are gathered.
@@ -271,18 +286,18 @@ def cells(parsed: DataFrame, radius: int, cell_size: int) -> DataFrame:
     far = big.join(pivots, "block", "left").withColumn("d", F.transform(F.coalesce("pivots", F.array(F.lit(""))), lambda p: F.levenshtein(F.col("own"), p)))
     near = far.withColumn("least", F.array_min("d"))
     chosen = F.filter(F.sequence(F.lit(0), F.size("d") - 1), lambda i: F.element_at("d", i + 1) <= F.col("least") + 2 * radius)
-    replicated = near.withColumn("pivot", F.explode(chosen)).drop("pivots", "d", "least")
-    return ordinary.unionByName(replicated)
+    replicated = near.withColumn("pivot", F.explode(chosen)).withColumn("home", F.col("pivot") == F.array_position("d", F.col("least")).cast("int") - 1)
+    return ordinary.unionByName(replicated.drop("pivots", "d", "least"))
 
 
 def near_pairs(parsed: DataFrame, radius: int, cell_size: int) -> DataFrame:
-    """(block, f_a, f_b, name_a, name_b) of the spellings whose distinctive words lie within the radius, each once."""
-    placed = cells(parsed, radius, cell_size).select("block", "pivot", "f", "name", "own")
-    a = placed.select("block", "pivot", F.col("f").alias("f_a"), F.col("name").alias("name_a"), F.col("own").alias("own_a"))
+    """(block, f_a, f_b, name_a, name_b) of the spellings whose distinctive words lie within the radius, each once:
+    in the cell that is home to the first of the two, where the second one has its replica."""
+    placed = cells(parsed, radius, cell_size).select("block", "pivot", "home", "f", "name", "own")
+    a = placed.filter("home").select("block", "pivot", F.col("f").alias("f_a"), F.col("name").alias("name_a"), F.col("own").alias("own_a"))
     b = placed.select("block", "pivot", F.col("f").alias("f_b"), F.col("name").alias("name_b"), F.col("own").alias("own_b"))
     close = F.levenshtein(F.col("own_a"), F.col("own_b"), radius) >= 0
-    pairs = a.join(b, ["block", "pivot"]).filter((F.col("f_a") < F.col("f_b")) & close)
-    return pairs.groupBy("block", "f_a", "f_b").agg(F.first("name_a").alias("name_a"), F.first("name_b").alias("name_b"))
+    return a.join(b, ["block", "pivot"]).filter((F.col("f_a") < F.col("f_b")) & close).select("block", "f_a", "f_b", "name_a", "name_b")
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
@@ -321,8 +336,8 @@ def linked_rows(
     initials join the one registrant of the block they fit, and none if they fit several. An empty table gives no pair.
     """
     keyed = table.filter(~is_null_cell(F.col(name))).select(
-        F.col(row).alias("row_id"), F.col(name).alias("name"), F.xxhash64(*[F.coalesce(b.cast("string"), F.lit("\u0000")) for b in block]).alias("block"), fold(F.col(name)).alias("f")
-    ).filter("f <> ''")
+        F.col(row).alias("row_id"), F.col(name).alias("name"), F.xxhash64(*[F.coalesce(b.cast("string"), F.lit("\u0000")) for b in block]).alias("block"), fold(F.col(name)).alias("flat")
+    ).filter("flat <> ''").select("row_id", "name", "block", F.xxhash64("flat").alias("f"))
     reader = NameReader(common_words(keyed), short_forms, other_fields)
     alike = spellings(keyed)
 
@@ -332,15 +347,16 @@ def linked_rows(
             batch["own"] = [reader.parse(n).own for n in batch["name"]]
             yield batch
 
-    parsed = alike.mapInPandas(parse, "block bigint, f string, name string, size bigint, own string")
+    parsed = alike.mapInPandas(parse, "block bigint, f bigint, name string, size bigint, own string")
     pairs = near_pairs(durable(parsed), radius, cell_size)
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            batch["link"] = [reader.compare(reader.parse(a), reader.parse(b)) for a, b in zip(batch["name_a"], batch["name_b"], strict=True)]
+            read = {n: reader.parse(n) for n in {*batch["name_a"], *batch["name_b"]}}
+            batch["link"] = [reader.compare(read[a], read[b]) for a, b in zip(batch["name_a"], batch["name_b"], strict=True)]
             yield batch.loc[batch["link"] != 0, ["block", "f_a", "f_b", "link"]]
 
-    links = durable(pairs.mapInPandas(judge, "block bigint, f_a string, f_b string, link int"))
+    links = durable(pairs.mapInPandas(judge, "block bigint, f_a bigint, f_b bigint, link int"))
     strong = components(links.filter("link = 2"))
     labels = _with_initials(links, strong)
     members = keyed.join(labels, ["block", "f"]).select("row_id", "block", "root", "f")
