@@ -203,11 +203,13 @@ def residue(documents: DataFrame, doc: str, text: str, sample: int = 3000, short
     Repeated texts are judged alike; an empty table gives no row.
     """
     source = documents.select(column(doc).cast("bigint").alias("doc_id"), column(text).alias("text")).filter(F.col("text").isNotNull())
-    order = F.xxhash64("doc_id", F.lit(9))
-    count = source.count()
-    thinned = source.filter(F.pmod(order, F.lit(1_000_000)) < F.lit(min(1_000_000, int(4e6 * sample / max(count, 1)) + 1)))
-    long_ones = thinned.orderBy(order).limit(sample)
-    short_ones = source.filter((F.length("text") <= short) & (F.length(F.trim("text")) > 0)).orderBy(order).limit(sample)
+    brief = (F.length("text") <= short) & (F.length(F.trim("text")) > 0)
+    sizes = source.agg(F.count(F.lit(1)).alias("all"), F.count_if(brief).alias("brief")).first()
+    point = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1_000_000))
+    # A share by hash that is expected to hold nine tenths of the sample; the limit is a bound that it hardly ever meets.
+    part = {k: min(1_000_000, int(900_000 * sample / max(sizes[k], 1)) + 1) for k in ("all", "brief")}
+    long_ones = source.filter(point < part["all"]).limit(sample)
+    short_ones = source.filter(brief & (point < part["brief"])).limit(sample)
     texts = {r["doc_id"]: r["text"] for r in long_ones.collect()} | {r["doc_id"]: r["text"] for r in short_ones.collect()}
     model = ResidueModel.fit([texts[k] for k in sorted(texts)])
 
