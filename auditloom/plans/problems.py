@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditloom.functions.text import is_null_cell, strip
+from auditloom.functions.text import NULL_SPELLINGS, is_null_cell, strip
 from auditloom.operators.load_profile import load_changes
 from auditloom.operators.orphans import life_spans, orphan_counts, orphans
 from auditloom.operators.parse_failures import parse_records, with_failures
@@ -71,3 +71,86 @@ def p4_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p4_counts": p4_counts}
+
+# The same in SQL, for a check by another engine.
+_WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)"
+_SPELLED = ", ".join(f"'{x}'" for x in NULL_SPELLINGS)
+
+
+def _trim(c: str) -> str:
+    return f"trim({c}, {_WS})"
+
+
+def _null_cell(c: str) -> str:
+    return f"({c} IS NULL OR lower({_trim(c)}) IN ({_SPELLED}))"
+
+
+def _number(c: str) -> str:
+    """A finite decimal number, or null."""
+    text, pattern = _trim(c), "[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?"
+    return f"CASE WHEN regexp_full_match({text}, '{pattern}') AND NOT isinf(TRY_CAST({text} AS DOUBLE)) THEN TRY_CAST({text} AS DOUBLE) END"
+
+
+def _integer(c: str) -> str:
+    v = f"({_number(c)})"
+    return f"CASE WHEN abs{v} < 9223372036854775807 AND {v} = floor{v} THEN {v} END"
+
+
+def _day(c: str) -> str:
+    """The day that a cell writes in one of the known forms, with or without midnight, or null."""
+    x = f"regexp_replace({_trim(c)}, '[ T]00:00(:00)?$', '')"
+    forms = [("[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}", ["%Y-%m-%d"]), ("[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}", ["%m/%d/%Y", "%d/%m/%Y"]), ("[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}", ["%Y/%m/%d"])]
+    forms += [("[A-Za-z]{3} [0-9]{1,2} [0-9]{4}", ["%b %d %Y"]), ("[0-9]{1,2} [A-Za-z]{3,9} [0-9]{4}", ["%d %B %Y", "%d %b %Y"]), ("[0-9]{8}", ["%Y%m%d"]), ("[0-9]{1,2}/[0-9]{1,2}/[0-9]{2}", ["%m/%d/%y", "%d/%m/%y"])]
+    whens = " ".join(f"WHEN regexp_full_match({x}, '{p}') THEN coalesce({', '.join(f"try_strptime({x}, '{f}')" for f in fs)})" for p, fs in forms)
+    return f"CASE {whens} END"
+
+
+_BAD = {"age": f"{_integer('age')} IS NULL", "score": f"{_number('score')} IS NULL AND NOT regexp_full_match(lower({_trim('score')}), '[+-]?inf(inity)?')", "signup_date": f"{_day('signup_date')} IS NULL"}
+_FIELD = '("([^"]|"")*"|[^",]*)'
+_LINE_FIELDS = f"regexp_extract_all(',' || raw_line, ',{_FIELD}', 1)"
+_LINES = f"""(SELECT line_id, whole, CASE WHEN whole THEN {_LINE_FIELDS} END AS cells FROM (SELECT line_id, coalesce(raw_line, '') AS raw_line, regexp_full_match(coalesce(raw_line, ''), '{_FIELD}(,{_FIELD})*') AS whole FROM messy_lines))"""
+_CELLS = f"(SELECT line_id, {', '.join(f"CASE WHEN cells[{RECORD.index(n) + 1}] LIKE '\"%' THEN replace(cells[{RECORD.index(n) + 1}][2:-2], '\"\"', '\"') ELSE cells[{RECORD.index(n) + 1}] END AS {n}" for n in TYPES)} FROM {_LINES} WHERE whole AND len(cells) = 10)"
+
+SQL = {
+    "p1_found": " UNION ALL ".join(
+        [f"SELECT 'messy_sample' AS table_name, row_id AS row_key, '{n}' AS reason FROM messy_sample WHERE NOT {_null_cell(n)} AND {bad}" for n, bad in _BAD.items()]
+        + [f"SELECT 'messy_lines', line_id, '{n}' FROM {_CELLS} WHERE NOT {_null_cell(n)} AND {bad}" for n, bad in _BAD.items()]
+        + [f"SELECT 'messy_lines', line_id, CASE WHEN whole THEN 'columns' ELSE 'quoting' END FROM {_LINES} WHERE NOT whole OR len(cells) <> 10"]
+    ),
+    "p2_found": f"""
+        WITH cells AS (
+            SELECT load_id, 'age' AS column_name, {_null_cell('age')} AS missing, {_integer('age')} AS v, false AS off, NULL AS form FROM messy_sample
+            UNION ALL SELECT load_id, 'score', {_null_cell('score')}, {_number('score')}, false, NULL FROM messy_sample
+            UNION ALL SELECT load_id, 'zip_code', {_null_cell('zip_code')}, NULL, NOT regexp_full_match(zip_code, '[0-9]{{5}}'), zip_code FROM messy_sample
+            UNION ALL SELECT load_id, 'status', {_null_cell('status')}, NULL, false, regexp_replace(lower(status), '[^\\p{{L}}\\p{{N}}]', '', 'g') FROM messy_sample),
+        measured AS (
+            SELECT load_id, column_name, avg(missing::INT) AS nulls, avg(off::INT) FILTER (WHERE NOT missing) AS misshapen,
+                quantile_cont(v, 0.5) FILTER (WHERE NOT missing) AS mid,
+                quantile_cont(v, 0.95) FILTER (WHERE NOT missing) - quantile_cont(v, 0.05) FILTER (WHERE NOT missing) AS width
+            FROM cells GROUP BY load_id, column_name),
+        profile AS (SELECT *, lag(load_id) OVER (PARTITION BY column_name ORDER BY load_id) AS before FROM measured),
+        pairs AS (SELECT a.load_id, a.before, a.column_name, a.nulls, b.nulls AS nulls0, a.misshapen, b.misshapen AS misshapen0, a.mid, b.mid AS mid0, a.width, b.width AS width0
+            FROM profile a JOIN profile b ON a.before = b.load_id AND a.column_name = b.column_name),
+        rates AS (SELECT load_id, column_name, form, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY load_id, column_name) AS rate
+            FROM cells WHERE form IS NOT NULL AND NOT missing GROUP BY ALL),
+        forms AS (SELECT DISTINCT column_name, form FROM rates WHERE rate > 0.12),
+        shares AS (SELECT p.load_id, p.column_name, coalesce(a.rate, 0) AS now, coalesce(b.rate, 0) AS then_
+            FROM pairs p JOIN forms f USING (column_name) LEFT JOIN rates a ON a.load_id = p.load_id AND a.column_name = p.column_name AND a.form = f.form
+            LEFT JOIN rates b ON b.load_id = p.before AND b.column_name = p.column_name AND b.form = f.form)
+        SELECT load_id, column_name, 'null_rate' AS changed FROM pairs WHERE abs(nulls - nulls0) > 0.08
+        UNION ALL SELECT load_id, column_name, 'median' FROM pairs WHERE abs(mid - mid0) > CASE column_name WHEN 'age' THEN 8 ELSE 6 END
+        UNION ALL SELECT load_id, column_name, 'spread' FROM pairs WHERE width > 1.6 * width0 OR width0 > 1.6 * width
+        UNION ALL SELECT load_id, column_name, 'pattern' FROM pairs WHERE column_name = 'zip_code' AND abs(misshapen - misshapen0) > 0.08
+        UNION ALL SELECT DISTINCT load_id, column_name, 'share' FROM shares WHERE abs(now - then_) > 0.12""",
+}
+_P4 = f"""
+    SELECT 'messy_sample' AS table_name, strftime(loaded_at, '%Y-%m') AS load_month, row_id AS row_key,
+        CASE WHEN first IS NULL THEN 'missing' WHEN loaded_at < first THEN 'late' ELSE 'deleted' END AS orphan_kind
+    FROM messy_sample s LEFT JOIN (SELECT code, min(created_at) AS first FROM borough_reference GROUP BY code) c ON c.code = upper({_trim('s.borough_code')})
+    WHERE NOT {_null_cell('s.borough_code')} AND NOT EXISTS (SELECT 1 FROM borough_reference r WHERE r.code = upper({_trim('s.borough_code')})
+        AND r.created_at <= s.loaded_at AND (r.deleted_at IS NULL OR s.loaded_at < r.deleted_at))
+    UNION ALL
+    SELECT 'emails', strftime(e.loaded_at, '%Y-%m'), email_id, CASE WHEN first IS NULL THEN 'missing' ELSE 'late' END
+    FROM emails e LEFT JOIN (SELECT id, min(loaded_at) AS first FROM messy_sample GROUP BY id) p ON p.id = e.id
+    WHERE e.id IS NOT NULL AND (first IS NULL OR first > e.loaded_at)"""
+SQL |= {"p4_found": _P4, "p4_counts": f"SELECT table_name, load_month, orphan_kind, count(*) AS orphans FROM ({_P4}) GROUP BY ALL"}
