@@ -32,20 +32,20 @@ def load_ranks(path: str = DEFAULT_RANKS) -> dict[bytes, int]:
 
 
 class LiteralTable:
-    """A constant lookup table inside a plan: every key has two possible slots, so a lookup is two comparisons."""
+    """A constant lookup table inside a plan: every key has two possible slots, so a lookup is two comparisons.
+
+    The table enters a plan once, bound to a lambda variable, however often it is looked up.
+    """
 
     def __init__(self, entries: dict[bytes, object], value_type: str, text_keys: bool):
-        bits = max(4, (3 * len(entries)).bit_length())
-        while True:
-            slots = self._placed(entries, bits)
-            if slots is not None:
-                break
+        bits = max(4, (2 * len(entries)).bit_length())
+        while (slots := self._placed(entries, bits)) is None:
             bits += 1
-        self.bits, self.text_keys = bits, text_keys
+        self.bits = bits
         keys = [None if k is None else k.decode() if text_keys else base64.b64encode(k).decode() for k in slots]
         values = [None if k is None else entries[k] for k in slots]
-        self.keys = F.from_json(F.lit(json.dumps(keys)), f"array<{'string' if text_keys else 'binary'}>")
-        self.values = F.from_json(F.lit(json.dumps(values)), f"array<{value_type}>")
+        held = F.from_json(F.lit(json.dumps(keys)), f"array<{'string' if text_keys else 'binary'}>")
+        self.column = F.struct(held.alias("keys"), F.from_json(F.lit(json.dumps(values)), f"array<{value_type}>").alias("values"))
 
     @staticmethod
     def _slots_of(key: bytes, bits: int) -> tuple[int, int]:
@@ -56,7 +56,7 @@ class LiteralTable:
         slots: list[bytes | None] = [None] * (1 << bits)
         for key in entries:
             where, moving = self._slots_of(key, bits)[0], key
-            for _ in range(200):
+            for _ in range(500):
                 moving, slots[where] = slots[where], moving
                 if moving is None:
                     break
@@ -66,12 +66,13 @@ class LiteralTable:
                 return None
         return slots
 
-    def get(self, key: Column, hashed: Column) -> Column:
-        """The key's value or null, given xxhash64 of the key."""
+    def get(self, bound: Column, key: Column, hashed: Column) -> Column:
+        """The key's value or null, given the bound table and xxhash64 of the key."""
+        keys, values = bound.getField("keys"), bound.getField("values")
         mask = F.lit((1 << self.bits) - 1)
         a = hashed.bitwiseAND(mask).cast("int")
         b = F.shiftrightunsigned(hashed, 32).bitwiseAND(mask).cast("int")
-        return F.when(F.get(self.keys, a) == key, F.get(self.values, a)).when(F.get(self.keys, b) == key, F.get(self.values, b))
+        return F.when(F.get(keys, a) == key, F.get(values, a)).when(F.get(keys, b) == key, F.get(values, b))
 
 
 def _with(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -85,12 +86,11 @@ class ByteBpe:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.table = LiteralTable(ranks, "int", text_keys=False)
-        self.pieces = F.from_json(F.lit(json.dumps([base64.b64encode(k).decode() for k, _ in sorted(ranks.items(), key=lambda e: e[1])])), "array<binary>")
 
-    def _rank(self, pieces: Column) -> Column:
-        return F.zip_with(pieces, F.transform(pieces, lambda p: F.xxhash64(p)), lambda p, h: self.table.get(p, h))
+    def _ranks_of(self, bound: Column, pieces: Column) -> Column:
+        return F.zip_with(pieces, F.transform(pieces, lambda p: F.xxhash64(p)), lambda p, h: self.table.get(bound, p, h))
 
-    def _merged(self, s: Column) -> Column:
+    def _merged(self, bound: Column, s: Column) -> Column:
         joined = F.transform(F.sequence(F.lit(0), F.size(s) - 2), lambda i: F.concat(F.get(s, i), F.get(s, i + 1)))
 
         def lowest(r: Column) -> Column:
@@ -99,14 +99,14 @@ class ByteBpe:
 
             return F.when(F.array_min(r).isNull(), s).otherwise(_with(F.array_position(r, F.array_min(r)).cast("int"), replaced))
 
-        return F.when(F.size(s) < 2, s).otherwise(_with(self._rank(joined), lowest))
+        return F.when(F.size(s) < 2, s).otherwise(_with(self._ranks_of(bound, joined), lowest))
 
-    def fold(self, word: Column) -> Column:
-        """Ids of one non-empty word by ranked merges of its bytes."""
+    def fold(self, bound: Column, word: Column) -> Column:
+        """Ids of one non-empty word by ranked merges of its bytes, given the bound rank table."""
         raw = word.cast("binary")
-        bytes_ = F.transform(F.sequence(F.lit(1), F.octet_length(raw)), lambda i: F.substring(raw, i, F.lit(1)))
         steps = F.sequence(F.lit(1), F.octet_length(raw))
-        return F.aggregate(steps, bytes_, lambda s, _: self._merged(s), lambda s: self._rank(s))
+        bytes_ = F.transform(steps, lambda i: F.substring(raw, i, F.lit(1)))
+        return F.aggregate(steps, bytes_, lambda s, _: self._merged(bound, s), lambda s: self._ranks_of(bound, s))
 
     @staticmethod
     def words(text: Column) -> Column:
@@ -123,9 +123,9 @@ class ByteBpe:
                 continue
             known[piece] = [rank]
         counted = documents.select(F.explode(self.words(column(text))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-        other = counted.filter((F.col("n") > 1) & self.table.get(F.col("word").cast("binary"), F.xxhash64("word")).isNull())
+        other = counted.filter((F.col("n") > 1) & _with(self.table.column, lambda t: self.table.get(t, F.col("word").cast("binary"), F.xxhash64("word"))).isNull())
         frequent = other.orderBy(F.desc("n"), "word").limit(most).repartition(documents.sparkSession.sparkContext.defaultParallelism)
-        known |= {r["word"].encode(): list(r["ids"]) for r in frequent.select("word", self.fold(F.col("word")).alias("ids")).collect()}
+        known |= {r["word"].encode(): list(r["ids"]) for r in frequent.select("word", _with(self.table.column, lambda t: self.fold(t, F.col("word"))).alias("ids")).collect()}
         return known
 
     def encode(self, documents: DataFrame, doc: str, text: str, most: int = 65_536) -> DataFrame:
@@ -134,9 +134,16 @@ class ByteBpe:
         table = LiteralTable(self.known_words(documents, text, most), "array<int>", text_keys=True)
         cut = documents.select(column(doc).alias("doc_id"), self.words(column(text)).alias("words"))
         hashed = cut.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
-        ids = F.flatten(F.zip_with("words", "hashes", lambda w, h: F.coalesce(table.get(w, h), self.fold(w))))
+
+        def looked_up(t: Column) -> Column:
+            known, ranks = t.getField("known"), t.getField("ranks")
+            return F.flatten(F.zip_with("words", "hashes", lambda w, h: F.coalesce(table.get(known, w, h), self.fold(ranks, w))))
+
+        ids = _with(F.struct(table.column.alias("known"), self.table.column.alias("ranks")), looked_up)
         return hashed.select("doc_id", ids.alias("ids"))
 
     def decode(self, ids: Column) -> Column:
         """The text of a list of ids: its pieces' bytes, one after the other."""
-        return F.aggregate(ids, F.lit(b""), lambda s, i: F.concat(s, F.get(self.pieces, i))).cast("string")
+        listed = [base64.b64encode(k).decode() for k, _ in sorted(self.ranks.items(), key=lambda e: e[1])]
+        pieces = F.from_json(F.lit(json.dumps(listed)), "array<binary>")
+        return _with(pieces, lambda t: F.aggregate(ids, F.lit(b""), lambda s, i: F.concat(s, F.get(t, i)))).cast("string")

@@ -67,3 +67,19 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p3_found": p3_found, "p3_copies": p3_copies, "p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}
+
+_FOLDED = ", ".join(f"coalesce(regexp_replace(lower({c}), '[^\\p{{L}}\\p{{N}}]', '', 'g'), '')" for c in LOOSE)
+_GROUPED = f"(SELECT row_id, min(row_id) OVER (PARTITION BY {', '.join(EXACT)}, list_sort([{_FOLDED}])) AS first_row_id FROM messy_sample)"
+_WORDS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
+
+
+def _runs(name: str, key: str) -> str:
+    return f"(SELECT DISTINCT {key}, array_to_string(words[k:k+11], ' ') AS run FROM (SELECT {key}, words, unnest(range(1, len(words) - 10)) AS k FROM (SELECT {key}, {_WORDS} AS words FROM {name} WHERE text IS NOT NULL)))"
+
+
+# The same in SQL, where SQL can express it.
+SQL = {
+    "p3_found": f"SELECT first_row_id, row_id FROM {_GROUPED} WHERE row_id <> first_row_id",
+    "p3_copies": f"SELECT first_row_id, count(*) AS copies FROM {_GROUPED} GROUP BY first_row_id",
+    "p8_found": f"SELECT DISTINCT doc_id, item_id FROM {_runs('documents', 'doc_id')} JOIN {_runs('eval_items', 'item_id')} USING (run)",
+}
