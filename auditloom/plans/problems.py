@@ -131,8 +131,8 @@ SQL = {
         profile AS (SELECT *, lag(load_id) OVER (PARTITION BY column_name ORDER BY load_id) AS before FROM measured),
         pairs AS (SELECT a.load_id, a.before, a.column_name, a.nulls, b.nulls AS nulls0, a.misshapen, b.misshapen AS misshapen0, a.mid, b.mid AS mid0, a.width, b.width AS width0
             FROM profile a JOIN profile b ON a.before = b.load_id AND a.column_name = b.column_name),
-        rates AS (SELECT load_id, column_name, form, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY load_id, column_name) AS rate
-            FROM cells WHERE form IS NOT NULL AND NOT missing GROUP BY ALL),
+        counted AS (SELECT load_id, column_name, form, count(*) AS n FROM cells WHERE form IS NOT NULL AND NOT missing GROUP BY load_id, column_name, form),
+        rates AS (SELECT load_id, column_name, form, n::DOUBLE / sum(n) OVER (PARTITION BY load_id, column_name) AS rate FROM counted),
         forms AS (SELECT DISTINCT column_name, form FROM rates WHERE rate > 0.12),
         shares AS (SELECT p.load_id, p.column_name, coalesce(a.rate, 0) AS now, coalesce(b.rate, 0) AS then_
             FROM pairs p JOIN forms f USING (column_name) LEFT JOIN rates a ON a.load_id = p.load_id AND a.column_name = p.column_name AND a.form = f.form
