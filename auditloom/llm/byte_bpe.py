@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 from auditloom.functions.text import column
 
 #: The cut into words, with Unicode white space.
-PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: White space by Unicode, as a character class.
+_SPACE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+PATTERN = rf" ?\p{{L}}++|'(?:s|t|re|ve|m|ll|d)| ?\p{{N}}++| ?[^{_SPACE}\p{{L}}\p{{N}}]++|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 _SEED = 42  # of Spark's xxhash64
 
