@@ -179,6 +179,15 @@ class CanonicalList:
         d = min(edits(part, name, most) for n in range(len(name) - 1, len(name) + 2) for part in (text[:n], text[-n:]))
         return 1 - d / len(name) if d <= most else 0.0
 
+    def holds(self, value: str) -> bool:
+        """Whether a value plainly is one of the entries: named, mentioned, shortened or mistyped, without word sets."""
+        text = folded(value)
+        if text in self.whole or self._mention(text) or self._shortened(text):
+            return True
+        shared = Counter(k for g in _grams(text) for k in self.by_gram.get(g, ()))
+        near = [self.entries[k][1] for k, _ in shared.most_common(2)]
+        return any(edits(text, name, most) <= most for name in near for most in (max(1, round(self.WRONG * len(name))),))
+
     def match(self, value: str) -> str | None:
         """Code of the entry that a value means, or None."""
         text = folded(value)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from auditloom.functions.session import durable
 from auditloom.functions.text import fold, is_null_cell
-from auditloom.llm.canonical_map import CanonicalList, edits, folded, skeleton
+from auditloom.llm.canonical_map import CanonicalList, edits, skeleton
 
 _SPLIT = re.compile(r"[\W_]+")
 
@@ -98,14 +98,15 @@ class NameReader:
         self.by_length = sorted(self.known, key=len, reverse=True)
         self.others = [CanonicalList(entries) for entries in other_fields]
 
-    def is_name(self, text: str) -> bool:
-        """Whether the cell holds a name and not a value of one of the other fields."""
-        flat = folded(text)
-        if not flat or any(flat in o.whole for o in self.others):
-            return False
-        if any(w in self.known or w in LEGAL_FORMS or w in BUSINESS for w in name_words(text)):
-            return True
-        return not any(o.match(text) for o in self.others)
+    def read(self, text: str) -> Name | None:
+        """The parsed name, or None if the cell holds a value of one of the other fields or no letter or digit."""
+        words = name_words(text)
+        flat = _SPLIT.sub("", text.lower())
+        if not words or not flat or any(flat in o.whole for o in self.others):
+            return None
+        if not any(w in self.known or w in LEGAL_FORMS or w in BUSINESS for w in words) and any(o.holds(text) for o in self.others):
+            return None
+        return self._parsed(words)
 
     def _segmented(self, text: str) -> list[str] | None:
         """The words of a name written without breaks, or with false ones, by a known given name at either end."""
@@ -128,7 +129,9 @@ class NameReader:
         return any(edits(word, g, most) <= most for g in near if abs(len(g) - len(word)) <= most)
 
     def parse(self, text: str) -> Name:
-        words = name_words(text)
+        return self._parsed(name_words(text))
+
+    def _parsed(self, words: list[str]) -> Name:
         bare = [w for w in words if w not in TITLES and w not in FILLERS]
         if any(w in BUSINESS or self._business_like(w) for w in bare) or any(w in LEGAL_FORMS and w not in ("co", "op", "son") for w in bare):
             left = [w for w in bare if w not in LEGAL_FORMS]
@@ -338,14 +341,16 @@ def linked_rows(
     keyed = table.filter(~is_null_cell(F.col(name))).select(
         F.col(row).alias("row_id"), F.col(name).alias("name"), F.xxhash64(*[F.coalesce(b.cast("string"), F.lit("\u0000")) for b in block]).alias("block"), fold(F.col(name)).alias("flat")
     ).filter("flat <> ''").select("row_id", "name", "block", F.xxhash64("flat").alias("f"))
+    # Keyed rows are read three times: for the common words, the spellings and the pairs.
+    keyed = durable(keyed)
     reader = NameReader(common_words(keyed), short_forms, other_fields)
     alike = spellings(keyed)
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            batch = batch[[reader.is_name(n) for n in batch["name"]]].copy()
-            batch["own"] = [reader.parse(n).own for n in batch["name"]]
-            yield batch
+            read = [reader.read(n) for n in batch["name"]]
+            batch["own"] = [r.own if r else None for r in read]
+            yield batch[batch["own"].notna()]
 
     parsed = alike.mapInPandas(parse, "block bigint, f bigint, name string, size bigint, own string")
     pairs = near_pairs(durable(parsed), radius, cell_size)
