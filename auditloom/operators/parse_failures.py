@@ -127,15 +127,18 @@ class RecordGrammar:
             at = stop.end()
 
 
+_RECORD_COLUMNS = ("record_no", "start_offset", "end_offset", "reason", "error_offset", "expected", "fields")
+
+
 def parse_records(df: DataFrame, text: str, keep: list[str], width: int, key_pattern: str = r"\s*[0-9]+\s*") -> DataFrame:
     """Parse each row's text into records, one output row each; Arrow batches, no shuffle.
 
     Columns: those of ``keep``, then record_no (from 1), start_offset, end_offset, reason (null, ``quoting`` or
     ``columns``), error_offset, expected, fields (array of text; null where the quoting is broken).
     Null and empty texts are one record of one empty field, hence ``columns`` unless width is 1. Other columns of
-    the input are not read, so their names cannot clash. An empty table gives an empty table.
+    the input are not read; a kept one that is named like a column above comes out with ``kept_`` before its name. An empty table gives an empty table.
     """
-    source = df.select(*[column(k) for k in keep], column(text).alias("__text"))
+    source = df.select(*[column(k).alias(f"kept_{k}" if k in _RECORD_COLUMNS else k) for k in keep], column(text).alias("__text"))
     schema = source.schema
     fields = [f"{f.name if f.name.isidentifier() else '`' + f.name.replace('`', '``') + '`'} {f.dataType.simpleString()}" for f in schema.fields[:-1]]
     out = ", ".join([*fields, "record_no int, start_offset int, end_offset int, reason string, error_offset int, expected string, fields array<string>"])

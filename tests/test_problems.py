@@ -44,6 +44,7 @@ def test_parse_records_keeps_clashing_names_and_empty_tables(spark):
     got = sorted((r["key"], r["reason"] or "") for r in parse_records(df, "line", ["key"], 2).collect())
     assert got == [(1, ""), (2, "columns"), (2, "quoting")]
     assert parse_records(df.limit(0), "line", ["key"], 2).count() == 0
+    assert parse_records(df, "line", ["fields"], 2).filter("kept_fields = 'r'").count() == 3
 
 
 def test_split_rows(spark):
