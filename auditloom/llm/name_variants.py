@@ -341,8 +341,6 @@ def linked_rows(
     keyed = table.filter(~is_null_cell(F.col(name))).select(
         F.col(row).alias("row_id"), F.col(name).alias("name"), F.xxhash64(*[F.coalesce(b.cast("string"), F.lit("\u0000")) for b in block]).alias("block"), fold(F.col(name)).alias("flat")
     ).filter("flat <> ''").select("row_id", "name", "block", F.xxhash64("flat").alias("f"))
-    # Keyed rows are read three times: for the common words, the spellings and the pairs.
-    keyed = durable(keyed)
     reader = NameReader(common_words(keyed), short_forms, other_fields)
     alike = spellings(keyed)
 
