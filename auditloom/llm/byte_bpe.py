@@ -133,7 +133,9 @@ class ByteBpe:
     def encode(self, documents: DataFrame, doc: str, text: str, most: int = 65_536) -> DataFrame:
         """(doc_id, ids): one row for each row; the list is empty for a null or empty text. Texts of any length are
         encoded whole; strings that look like special tokens are plain text; other columns are not read."""
-        table = LiteralTable(self.known_words(documents, text, most), "array<int>", text_keys=True)
+        # The last one placed keeps its first slot: the most frequent pieces, which have the lowest ranks.
+        known = self.known_words(documents, text, most)
+        table = LiteralTable(dict(reversed(known.items())), "array<int>", text_keys=True)
         cut = documents.select(column(doc).alias("doc_id"), self.words(column(text)).alias("words"))
         hashed = cut.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
 
