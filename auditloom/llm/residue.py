@@ -107,12 +107,11 @@ class ResidueModel:
     #: Words for residue that a stretch must have to count by itself, unless it holds a placeholder.
     SHORTEST = 3
 
-    def __init__(self, weights: dict[str, float], bias: float, whole: float, stretch: float, frequency: dict[str, int] | None = None, most: float = 0):
+    def __init__(self, weights: dict[str, float], bias: float, whole: float, stretch: float):
         self.weights, self.bias, self.whole, self.stretch = weights, bias, whole, stretch
-        # Only passages with a mark are scored: a word or pair of words that counts for residue and is in few texts, or a
-        # placeholder. One automaton finds them all.
-        rare = frequency or {}
-        self.marks = sorted(f" {w} " for w, x in weights.items() if x > 0.5 and w[0] != "~" and w not in (PLACED, REPEATED) and rare.get(w, 0) <= most)
+        # Only passages with a mark are scored: a word or pair of words that counts for residue, or a placeholder. One
+        # automaton finds them all.
+        self.marks = sorted(f" {w} " for w, x in weights.items() if x > 0.5 and w[0] != "~" and w not in (PLACED, REPEATED))
         self.automaton = None
 
     def _marked(self, text: str) -> bool:
@@ -128,16 +127,25 @@ class ResidueModel:
         return next(self.automaton.iter(f" {words} "), None) is not None
 
     @classmethod
-    def fit(cls, texts: list[str], iterations: int = 4, whole: float = 0.0, stretch: float = 16.0, smoothing: float = 0.05, ordinary: float = 0.01) -> ResidueModel:
+    def fit(
+        cls, texts: list[str], iterations: int = 4, whole: float = 0.0, stretch: float = 16.0, smoothing: float = 0.05, ordinary: float = 0.01, among: list[str] | None = None
+    ) -> ResidueModel:
         """Expectation-maximization over the passages of the texts; equal passages count once for each time they occur.
 
-        Word shares are smoothed towards the word's share in all passages. A word found in more than ``ordinary`` of the
-        texts belongs to content and never counts for residue.
+        Word shares are smoothed towards the word's share in all passages. A word found in the content of more than
+        ``ordinary`` of the texts in ``among`` belongs to content and never counts for residue. ``among`` is an even
+        sample of all documents (the texts themselves where it is not given), so that this does not depend on how many
+        short texts are fitted. Its equal texts count once, and passages that are trusted or taken for residue are not
+        content, so that no page becomes content by being frequent.
         """
         counted = Counter(p for t in texts for p in passages(t))
         # The trusted phrases themselves are labelled passages too, so that none depends on being in the sample.
         counted.update(TRUSTED)
+        even = [set(passages(t)) for t in sorted(set(texts if among is None else among))]
+        for p in set().union(*even):
+            counted.setdefault(p, 0)
         kinds = list(counted)
+        place = {p: k for k, p in enumerate(kinds)}
         weight = np.array([counted[p] for p in kinds], float)
         label = np.array([trusted(p) for p in kinds], bool)
         own = [features(tokens(p)) for p in kinds]
@@ -145,8 +153,10 @@ class ResidueModel:
         row = np.repeat(np.arange(len(kinds)), [len(ws) for ws in own])
         col = np.array([vocabulary[w] for ws in own for w in ws], int)
         v = len(vocabulary)
-        in_texts = Counter(w for t in texts for w in set().union(*(features(tokens(p)) for p in passages(t))))
-        common = np.array([in_texts[w] > ordinary * len(texts) and w not in (PLACED, REPEATED) for w in vocabulary], bool)
+        # The features of each kind lie side by side in col, from first[kind] on.
+        first = np.concatenate([[0], np.cumsum([len(ws) for ws in own])]).astype(int)
+        inside = [np.array(sorted(place[p] for p in ps), int) for ps in even]
+        marks = np.array([w in (PLACED, REPEATED) for w in vocabulary], bool)
         share = label.astype(float)
         odds, bias = np.zeros(v), 0.0
         for _ in range(iterations):
@@ -154,14 +164,18 @@ class ResidueModel:
             in_pos, in_neg = np.bincount(col, pos[row], v), np.bincount(col, neg[row], v)
             overall = (in_pos + in_neg) / (in_pos + in_neg).sum()
             odds = np.log((in_pos / in_pos.sum() + smoothing * overall) / (1 + smoothing)) - np.log((in_neg / in_neg.sum() + smoothing * overall) / (1 + smoothing))
-            odds = np.where(common, np.minimum(odds, 0.0), odds)
+            in_texts = np.zeros(v)
+            for ks in inside:
+                ks = ks[share[ks] < 0.5]
+                if len(ks):
+                    in_texts[np.unique(np.concatenate([col[first[k] : first[k + 1]] for k in ks]))] += 1
+            odds = np.where((in_texts > ordinary * len(even)) & ~marks, np.minimum(odds, 0.0), odds)
             bias = math.log(pos.sum() / max(neg.sum(), 1.0))
             score = np.clip(np.bincount(row, odds[col], len(kinds)) + bias, -50, 50)
             share = np.where(label, 1.0, 1 / (1 + np.exp(-score)))
         weights = {w: float(odds[k]) for w, k in vocabulary.items()}
         weights[PLACED] = max(weights.get(PLACED, 0.0), 20.0)
-        often = {w: n for w, n in in_texts.items() if weights.get(w, 0.0) > 0}
-        return cls(weights, bias, whole, stretch, often, 2 * ordinary * len(texts))
+        return cls(weights, bias, whole, stretch)
 
     def scores(self, passage: str) -> tuple[float, float]:
         """(score of the whole passage by its distinct words, best sum over a stretch of unquoted neighbouring words)."""
@@ -210,8 +224,9 @@ def residue(documents: DataFrame, doc: str, text: str, sample: int = 3000, short
     part = {k: min(1_000_000, int(900_000 * sample / max(sizes[k], 1)) + 1) for k in ("all", "brief")}
     long_ones = source.filter(point < part["all"]).limit(sample)
     short_ones = source.filter(brief & (point < part["brief"])).limit(sample)
-    texts = {r["doc_id"]: r["text"] for r in long_ones.collect()} | {r["doc_id"]: r["text"] for r in short_ones.collect()}
-    model = ResidueModel.fit([texts[k] for k in sorted(texts)])
+    even = {r["doc_id"]: r["text"] for r in long_ones.collect()}
+    texts = even | {r["doc_id"]: r["text"] for r in short_ones.collect()}
+    model = ResidueModel.fit([texts[k] for k in sorted(texts)], among=list(even.values()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

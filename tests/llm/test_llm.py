@@ -171,3 +171,12 @@ def test_residue(spark):
 def test_a_model_without_positives_knows_placeholders():
     model = ResidueModel.fit(CONTENT)
     assert model.is_case("Before: {{judge}}") and not model.is_case(CONTENT[0])
+
+
+def test_frequent_pages_stay_residue(spark):
+    rng = random.Random(4)
+    docs = [(i, "\n".join(rng.sample(CONTENT, 8))) for i in range(300)]
+    docs += [(1000 + i, f"Please enable JavaScript to view judgment {chr(97 + i % 26)}{i}.") for i in range(60)]
+    docs += [(2000, "The buyer claimed the kiln and the tenant, enable JavaScript to view judgment, dismissed the appeal.")]
+    df = spark.createDataFrame(docs, "doc bigint, text string")
+    assert sorted(r["doc_id"] for r in residue(df, "doc", "text").collect()) == [*range(1000, 1060), 2000]
