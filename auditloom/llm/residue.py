@@ -60,19 +60,22 @@ PLACEHOLDER = re.compile(
 #: One of these is in every placeholder that is not in square brackets, and one of those in all that are.
 _SIGNS = ("{", "$", "%", "__", "<", "«", "@@", "#")
 _BRACKETED = ("[insert", "[enter", "[add", "[your", "[type", "[fill", "completed]", "follow]", "inserted]", "here]")
-_SPACED = {c: " " for c in [*range(0x2C0), *range(0x2000, 0x2070), 0x3000] if not chr(c).isalpha() and chr(c) not in "'’"} | {0xAD: None}
 _QUOTE = re.compile(r"“[^”\n]{0,400}”|„[^“”\n]{0,400}[“”]|\"[^\"\n]{0,400}\"|« [^»\n]{0,400} »|‹[^›\n]{0,400}›")
 _TOKEN = re.compile(r"[]|[^\W\d_]{2,}(?:['’][^\W\d_]+)?|(?:^|(?<=http )|(?<=error ))[45]\d\d(?![\d.,])")
 _BREAK = re.compile(r"[\r\n\x0b\x0c\x85  ]+|(?<=[.!?…])[\"”»]?\s+(?=\S)")
-_TYPED_OVER = re.compile(r"\b([^\W\d_])\1+\b")
+# Four or more words in a row of one letter typed over and over; single ones stand for judges, numerals and redactions.
+_TYPED_OVER = re.compile(r"\b([^\W\d_])\1+\b(?:[\s.,;:]+\1\1+\b){3,}")
+_WORD = re.compile(r"[^\W\d_]{2,}")
+#: Wherever _TOKEN may find a status number: where a text, a line, a sentence or what follows a quotation begins.
+_STATUS = re.compile("(?:\\A\\s*|[\"“”»›]|[.!?…][\"”»]?\\s+|[\r\n\x0b\x0c\x85\u2028\u2029]\\s*|http |error )[45]\\d\\d(?![\\d.,])")
 
 
-#: The characters that stand for a placeholder and for a letter typed over and over.
+#: The characters that stand for a placeholder and for a run of words of one letter typed over and over.
 PLACED, REPEATED = "", ""
 
 
 def _marked(passage: str) -> str:
-    """The passage in lower case, with placeholders and repeated letters as one character each."""
+    """The passage in lower case, with placeholders and runs of typed-over words as one character each."""
     text = PLACEHOLDER.sub(f" {PLACED} ", passage)
     return _TYPED_OVER.sub(f" {REPEATED} ", text.lower().replace("\xad", ""))
 
@@ -104,27 +107,33 @@ def trusted(passage: str) -> bool:
 class ResidueModel:
     """Word weights (log odds of residue against content) and the two thresholds."""
 
-    #: Words for residue that a stretch must have to count by itself, unless it holds a placeholder.
+    #: Words for residue that a stretch must have to count by itself, unless it holds a placeholder or typed-over words.
     SHORTEST = 3
 
     def __init__(self, weights: dict[str, float], bias: float, whole: float, stretch: float):
         self.weights, self.bias, self.whole, self.stretch = weights, bias, whole, stretch
-        # Only passages with a mark are scored: a word or pair of words that counts for residue, or a placeholder. One
-        # automaton finds them all.
-        self.marks = sorted(f" {w} " for w, x in weights.items() if x > 0.5 and w[0] != "~" and w not in (PLACED, REPEATED))
+        # Only texts and passages with a mark are scored: a word or pair of words that counts for residue, quoted or not, a
+        # placeholder, a run of typed-over words or a status number. No other can reach a threshold, as its words only
+        # take from the score. Marks and texts are compared as runs of two letters and more, by one automaton.
+        self.all = bias > whole
+        counting = [w.replace("~", "") for w, x in weights.items() if x > 0]
+        self.marks = sorted({f" {' '.join(_WORD.findall(w))} " for w in counting if not (PLACED in w or REPEATED in w or any(c.isdigit() for c in w))})
         self.automaton = None
 
     def _marked(self, text: str) -> bool:
+        if self.all:
+            return True
         if self.automaton is None:
             self.automaton = ahocorasick.Automaton()
-            for mark in [*self.marks, "  "]:
+            for mark in self.marks:
                 self.automaton.add_word(mark, True)
             self.automaton.make_automaton()
-        low = text.lower()
+        low = text.lower().replace("\xad", "")
         if (any(sign in low for sign in _SIGNS) or any(sign in low for sign in _BRACKETED)) and PLACEHOLDER.search(text):
             return True
-        words = " ".join(low.translate(_SPACED).split())
-        return next(self.automaton.iter(f" {words} "), None) is not None
+        if self.marks and next(self.automaton.iter(f" {' '.join(_WORD.findall(low))} "), None) is not None:
+            return True
+        return _STATUS.search(low) is not None or _TYPED_OVER.search(low) is not None
 
     @classmethod
     def fit(
@@ -174,7 +183,8 @@ class ResidueModel:
             score = np.clip(np.bincount(row, odds[col], len(kinds)) + bias, -50, 50)
             share = np.where(label, 1.0, 1 / (1 + np.exp(-score)))
         weights = {w: float(odds[k]) for w, k in vocabulary.items()}
-        weights[PLACED] = max(weights.get(PLACED, 0.0), 20.0)
+        for mark in (PLACED, REPEATED):
+            weights[mark] = max(weights.get(mark, 0.0), 20.0)
         return cls(weights, bias, whole, stretch)
 
     def scores(self, passage: str) -> tuple[float, float]:
@@ -194,7 +204,7 @@ class ResidueModel:
             else:
                 seen.add(w)
                 length += x > 0.5
-                if length >= self.SHORTEST or w == PLACED:
+                if length >= self.SHORTEST or w in (PLACED, REPEATED):
                     best = max(best, run)
         return whole, best
 

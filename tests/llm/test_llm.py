@@ -180,3 +180,16 @@ def test_frequent_pages_stay_residue(spark):
     docs += [(2000, "The buyer claimed the kiln and the tenant, enable JavaScript to view judgment, dismissed the appeal.")]
     df = spark.createDataFrame(docs, "doc bigint, text string")
     assert sorted(r["doc_id"] for r in residue(df, "doc", "text").collect()) == [*range(1000, 1060), 2000]
+
+
+def test_filler_of_typed_over_letters_is_scored():
+    model = ResidueModel.fit([*CONTENT, *RESIDUE])
+    assert model.is_case("The buyer xxxx xxxxxxx xx xxxxx xxx claimed the kiln.") and model.is_case("XXXX XXX XXXXX XXXXXX")
+    assert not model.is_case("The court, Harrow and Quill JJ, heard XXXXXX v XXXX XXXX, part II.")
+
+
+def test_the_filter_keeps_all_that_the_score_finds():
+    model = ResidueModel({"404": 9.0, "scripts": 9.0, "~wait": 9.0, "turn on": 9.0}, -3.0, 0.0, 16.0)
+    for text in ("404 x", "http 404", "'scripts'", "scripts", "“please wait”", "turn (a) on", "turn\xad on", "l'scripts"):
+        assert model.scores(text)[0] > 0 and model.is_case(text), text
+    assert not model.is_case("The tenant paid 404.")
