@@ -265,6 +265,42 @@ def exact_quantiles(df: DataFrame, group: list[str], value: str, probabilities:
     return quantiles_between(rows, group, brackets, probabilities).join(brackets.select(*group, "n"), group)
 
 
+def load_profile(spark: SparkSession, table: DataFrame, load: str, columns: list[str], numeric: dict[str, str], patterns: dict[str, str]) -> DataFrame:
+    """The profile of every load and column: (load, column_name, rows, null_rate, distinct_values, low, high, lowest,
+    highest, misshapen, top_value, top_share).
+
+    ``numeric``: column to integer or float; ``lowest`` and ``highest`` are the range of its cells that coerce. ``patterns``:
+    column to the pattern its cells must match as written; ``misshapen`` is the share of those that do not. Distinct
+    values (exact), ``low``, ``high`` and the most frequent value (the first of several) are of the cells as written;
+    these and the shares are of cells that are no null cells, and null where a load has none. Null loads are left out.
+    """
+    value, cnt, name = F.col("value"), F.col("cnt"), F.col("column_name")
+    counts = cells_by_load(spark, table, load, columns).filter(F.col("load").isNotNull()).groupBy("load", "column_name", "value").agg(F.sum("cnt").alias("cnt"))
+    number = F.lit(None).cast("double")
+    for c, kind in numeric.items():
+        number = F.when(name == c, (to_integer if kind == "integer" else to_float)(value).cast("double")).otherwise(number)
+    off = F.lit(None).cast("boolean")
+    for c, pattern in patterns.items():
+        off = F.when(name == c, ~value.rlike(pattern)).otherwise(off)
+    given = ~is_null_cell(value)
+    marked = counts.select("load", "column_name", "cnt", F.when(given, value).alias("value"), F.when(given, cnt).alias("here"), F.when(given, number).alias("v"), F.when(given, off).alias("off"))
+    each = marked.groupBy("load", "column_name").agg(
+        F.sum("cnt").alias("rows"),
+        F.coalesce(F.sum("here"), F.lit(0)).alias("here"),
+        F.count("value").alias("distinct_values"),
+        F.min("value").alias("low"),
+        F.max("value").alias("high"),
+        F.min("v").alias("lowest"),
+        F.max("v").alias("highest"),
+        F.sum(F.when(F.col("off"), cnt).when(~F.col("off"), 0)).alias("off"),
+        F.min(F.when(value.isNotNull(), F.struct((-cnt).alias("less"), value.alias("value")))).alias("top"),
+    )
+    return each.select(
+        "load", "column_name", "rows", ((F.col("rows") - F.col("here")) / F.col("rows")).alias("null_rate"), "distinct_values", "low", "high", "lowest", "highest",
+        F.when(F.col("here") > 0, F.col("off") / F.col("here")).alias("misshapen"), F.col("top.value").alias("top_value"), F.when(F.col("here") > 0, -F.col("top.less") / F.col("here")).alias("top_share"),
+    )
+
+
 def load_changes(
     spark: SparkSession,
     table: DataFrame,

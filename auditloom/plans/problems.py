@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditloom.functions.text import NULL_SPELLINGS, is_null_cell, strip
-from auditloom.operators.load_profile import load_changes
+from auditloom.operators.load_profile import load_changes, load_profile
 from auditloom.operators.orphans import life_spans, orphan_counts, orphans
 from auditloom.operators.parse_failures import parse_records, with_failures
 
@@ -46,6 +46,13 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumnRenamed("load", "load_id")
 
 
+def p2_profile(spark: SparkSession, folder: str) -> DataFrame:
+    """(load_id, column_name, rows, null_rate, distinct_values, ranges, misshapen, top_value, top_share) of every load."""
+    sample = table(spark, folder, "messy_sample")
+    found = load_profile(spark, sample, "load_id", ["age", "score", "zip_code", "status"], numeric={"age": "integer", "score": "float"}, patterns={"zip_code": r"\A[0-9]{5}\z"})
+    return found.withColumnRenamed("load", "load_id")
+
+
 def _p4(spark: SparkSession, folder: str) -> DataFrame:
     sample = table(spark, folder, "messy_sample")
     codes = table(spark, folder, "borough_reference").select(F.col("code").alias("key"), F.col("created_at").alias("start"), F.col("deleted_at").alias("end"))
@@ -70,7 +77,7 @@ def p4_counts(spark: SparkSession, folder: str) -> DataFrame:
     return orphan_counts(_p4(spark, folder))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p4_counts": p4_counts}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_profile": p2_profile, "p4_found": p4_found, "p4_counts": p4_counts}
 
 # The same in SQL, for a check by another engine.
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)"
@@ -154,3 +161,17 @@ _P4 = f"""
     FROM emails e LEFT JOIN (SELECT id, min(loaded_at) AS first FROM messy_sample GROUP BY id) p ON p.id = e.id
     WHERE e.id IS NOT NULL AND (first IS NULL OR first > e.loaded_at)"""
 SQL |= {"p4_found": _P4, "p4_counts": f"SELECT table_name, load_month, orphan_kind, count(*) AS orphans FROM ({_P4}) GROUP BY ALL"}
+_SCORE = f"CASE WHEN regexp_full_match(lower({_trim('score')}), '[+-]?inf(inity)?') THEN TRY_CAST({_trim('score')} AS DOUBLE) ELSE {_number('score')} END"
+SQL["p2_profile"] = f"""
+    WITH cells AS (
+        SELECT load_id, 'age' AS column_name, CASE WHEN NOT {_null_cell('age')} THEN age END AS value, {_integer('age')} AS v, NULL::BOOLEAN AS off FROM messy_sample
+        UNION ALL SELECT load_id, 'score', CASE WHEN NOT {_null_cell('score')} THEN score END, {_SCORE}, NULL FROM messy_sample
+        UNION ALL SELECT load_id, 'zip_code', CASE WHEN NOT {_null_cell('zip_code')} THEN zip_code END, NULL, NOT regexp_full_match(zip_code, '[0-9]{{5}}') FROM messy_sample
+        UNION ALL SELECT load_id, 'status', CASE WHEN NOT {_null_cell('status')} THEN status END, NULL, NULL FROM messy_sample),
+    counted AS (SELECT load_id, column_name, value, count(*) AS n FROM cells WHERE value IS NOT NULL GROUP BY ALL),
+    tops AS (SELECT load_id, column_name, value AS top_value, n::DOUBLE / sum(n) OVER (PARTITION BY load_id, column_name) AS top_share FROM counted
+        QUALIFY row_number() OVER (PARTITION BY load_id, column_name ORDER BY n DESC, value) = 1)
+    SELECT c.load_id, c.column_name, count(*) AS rows, avg((value IS NULL)::INT) AS null_rate, count(DISTINCT value) AS distinct_values, min(value) AS low, max(value) AS high,
+        min(v) FILTER (WHERE value IS NOT NULL) AS lowest, max(v) FILTER (WHERE value IS NOT NULL) AS highest, avg(off::INT) FILTER (WHERE value IS NOT NULL) AS misshapen,
+        any_value(top_value) AS top_value, any_value(top_share) AS top_share
+    FROM cells c LEFT JOIN tops t ON t.load_id = c.load_id AND t.column_name = c.column_name WHERE c.load_id IS NOT NULL GROUP BY c.load_id, c.column_name"""

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from auditloom.operators.load_profile import cells_by_load, chunk_statistics, exact_quantiles, load_changes
+from auditloom.operators.load_profile import cells_by_load, chunk_statistics, exact_quantiles, load_changes, load_profile
 from auditloom.operators.orphans import life_spans, orphans
 from auditloom.operators.parse_failures import RecordGrammar, parse_records, split_rows
 
@@ -105,3 +105,17 @@ def test_orphans_by_time_and_heavy_keys(spark):
         got = {r["row_key"]: r["orphan_kind"] for r in orphans(df, life_spans(keys), share).collect()}
         assert got == {1: "late", 5: "deleted", 20: "missing"} | {100 + i: "deleted" for i in range(50)}
     assert orphans(df.limit(0), life_spans(keys)).count() == 0
+
+
+def test_load_profile(spark, tmp_path):
+    df = spark.read.parquet(_loads(tmp_path))
+    got = {(r["load"], r["column_name"]): tuple(r)[2:] for r in load_profile(spark, df, "load", ["v", "w"], {}, {"v": r"\Ax\z"}).collect()}
+    assert got[1, "v"] == (50, 0.2, 1, "x", "x", None, None, 0.0, "x", 1.0)  # from footer and dictionary
+    assert got[1, "w"] == (50, 1.0, 0, None, None, None, None, None, None, None)
+    assert got[2, "v"][:5] == (30, 0.0, 2, "x", "y") and got[2, "v"][7:] == (5 / 30, "x", 25 / 30)
+    assert got[3, "w"] == (20, 0.5, 1, "z", "z", None, None, None, "z", 1.0) and len(got) == 6
+    rows = [(1, a) for a in ("5", "40", "N/A", "x", "5")]
+    path = str(tmp_path / "n")
+    spark.createDataFrame(rows, "load bigint, age string").write.parquet(path)
+    (r,) = load_profile(spark, spark.read.parquet(path), "load", ["age"], {"age": "integer"}, {}).collect()
+    assert tuple(r) == (1, "age", 5, 0.2, 3, "40", "x", 5.0, 40.0, None, "5", 0.5)
