@@ -17,7 +17,7 @@ from auditloom.operators.profile import IQR_FACTOR, distinct_counts, top_values,
 from auditloom.operators.rules import Rule, run_rules
 from auditloom.operators.typos import typo_claims
 from auditloom.plans.audit import audit
-from auditloom.plans.problems import table
+from auditloom.plans.problems import _day, _null_cell, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -287,6 +287,13 @@ def coerce_day(spark: SparkSession, folder: str) -> DataFrame:
     return s.select("row_id", to_day(F.col("signup_date")).cast("string").alias("day")).filter("day is not null")
 
 
+@query(f"SELECT row_id, strftime(day, '%Y-%m-%d') AS day FROM (SELECT row_id, {_day('signup_date')} AS day FROM messy_sample WHERE NOT {_null_cell('signup_date')}) WHERE day IS NOT NULL")
+def coerce_day_forms(spark: SparkSession, folder: str) -> DataFrame:
+    """The day of every cell that is no null cell, in whichever form it is written."""
+    s = table(spark, folder, "messy_sample")
+    return s.select("row_id", F.when(~is_null_cell(F.col("signup_date")), to_day(F.col("signup_date"))).cast("string").alias("day")).filter("day is not null")
+
+
 _MESSY = ("name", "age", "borough", "signup_date", "close_date", "status", "score", "borough_code", "zip_code")
 
 
