@@ -152,7 +152,7 @@ class CanonicalList:
 
     def _word_set(self, words: list[str], name: str, own: list[str]) -> float:
         """Share of the entry's letters found in the value's words, each entry word against its best run of words."""
-        if not words or len(words) > 12:
+        if not words:
             return 0.0
         runs = {"".join(words[i:j]) for i in range(len(words)) for j in range(i + 1, min(i + 4, len(words)) + 1)}
         least = 1 if len(name) < 9 else 2

@@ -193,3 +193,8 @@ def test_the_filter_keeps_all_that_the_score_finds():
     for text in ("404 x", "http 404", "'scripts'", "scripts", "“please wait”", "turn (a) on", "turn\xad on", "l'scripts"):
         assert model.scores(text)[0] > 0 and model.is_case(text), text
     assert not model.is_case("The tenant paid 404.")
+
+
+def test_word_sets_of_values_with_many_words():
+    places = CanonicalList([*PLACES, ("SMW", "South Marrow")])
+    assert places.match("a b c d e f g h i j k l m Nroth Marorw n o p") == "NMW"
