@@ -13,14 +13,14 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from auditloom.functions.session import durable
 from auditloom.functions.text import column
 
 # How passages of error pages, notices, filler and unfilled templates begin, in lower case.
@@ -30,7 +30,8 @@ TRUSTED = (
     "500 internal", "502 bad", "503 service", "504 gateway", "bad gateway", "gateway time", "service unavailable",
     "service temporarily unavailable", "something went wrong", "an error occurred", "an unexpected error", "traceback (most recent",
     "warning: include", "fatal error", "keyerror", "nullreference", "typeerror", "error loading", "failed to load", "failed to open",
-    "ocr error", "could not open file", "we can't find that", "we couldn't find", "page not found", "the page you asked for",
+    "this service is temporarily", "this service is undergoing", "planned maintenance", "down for maintenance", "wegen wartungsarbeiten", "dieser dienst ist",
+    "pour cause de maintenance", "en raison d'une maintenance", "ocr error", "could not open file", "we can't find that", "we couldn't find", "page not found", "the page you asked for",
     "the page you requested", "the page you are looking for", "the requested document", "the requested page", "this page could not be",
     "please try again later", "too many requests", "you do not have permission", "access denied", "request timed out", "undefined undefined",
     "[object object]", "seite nicht gefunden", "die angeforderte", "zugriff verweigert", "interner serverfehler", "fehlercode", "ein fehler ist",
@@ -45,9 +46,9 @@ TRUSTED = (
     "bitte melden sie sich", "ihre sitzung ist", "diese seite benötigt", "ihr browser", "veuillez activer", "veuillez vous connecter",
     "l'affichage de cette page", "votre session", "votre navigateur", "wait a few minutes",
     # filler
-    "lorem ipsum", "click to add", "text of judgment to follow", "text to follow", "replace this paragraph", "this is dummy", "dummy text",
+    "lorem ipsum dolor", "click to add", "text of judgment to follow", "text to follow", "replace this paragraph", "this is dummy", "dummy text",
     "sample text", "placeholder", "insert text here", "your text here", "type your text", "asdf", "qwerty", "blah blah", "bla bla", "bla blah",
-    "blah bla", "blah, ", "bla, ", "xxxx xxxx", "to be completed", "content goes here", "coming soon", "tbd", "todo",
+    "blah bla", "blah, ", "bla, ", "to be completed", "content goes here", "coming soon", "tbd", "todo",
     # pages of a web site around them
     "go back | home", "home search help", "try the search box above", "contact the registry",
 )
@@ -55,188 +56,289 @@ TRUSTED = (
 # The forms of placeholders left in a template.
 PLACEHOLDER = re.compile(
     r"\{%\s*[\w.\- ]{1,60}\s*%\}|\{\{\s*[\w.\- ]{1,60}\s*\}\}|\$\{\s*[\w.\-]{1,60}\s*\}|%[^\W\d_][\w.]{1,60}%|__[^\W\d_][\w.]*?__|<<\s*[\w.\- ]{1,60}\s*>>|«[\w.]{1,60}»|@@[\w.]{1,60}@@"
-    r"|#[^\W\d_][\w.]{1,60}#|(?<!\{)\{[^\W\d_][\w.]{0,60}\}(?!\})|<[^\W\d_][\w.]{0,60}>|\[(?i:insert|enter|add|your|type|fill in)\b[^\]\n]{0,60}\]|\[[^\]\n]{1,60}(?i:to be completed|to follow|to be inserted|here)\]"
+    r"|#[^\W\d_][\w.]{1,60}#|(?<!\{)\{[^\W\d_][\w.]{0,60}\}(?!\})|<[^\W\d_][\w.]{0,60}>|\[(?i:insert|enter|add|your|type|fill in)\b[^\]\n]{0,60}\]|\[object [A-Z]\w{2,30}\]|\[[^\]\n]{1,60}(?i:to be completed|to follow|to be inserted|here)\]"
 )
 #: One of these is in every placeholder that is not in square brackets, and one of those in all that are.
 _SIGNS = ("{", "$", "%", "__", "<", "«", "@@", "#")
-_BRACKETED = ("[insert", "[enter", "[add", "[your", "[type", "[fill", "completed]", "follow]", "inserted]", "here]")
+_BRACKETED = ("[object", "[insert", "[enter", "[add", "[your", "[type", "[fill", "completed]", "follow]", "inserted]", "here]")
 _QUOTE = re.compile(r"“[^”\n]{0,400}”|„[^“”\n]{0,400}[“”]|\"[^\"\n]{0,400}\"|« [^»\n]{0,400} »|‹[^›\n]{0,400}›")
-_TOKEN = re.compile(r"[]|[^\W\d_]{2,}(?:['’][^\W\d_]+)?|(?:^|(?<=http )|(?<=error ))[45]\d\d(?![\d.,])")
+_TOKEN = re.compile(r"[]|[^\W\d_]{2,}")
 _BREAK = re.compile(r"[\r\n\x0b\x0c\x85  ]+|(?<=[.!?…])[\"”»]?\s+(?=\S)")
 # Four or more words in a row of one letter typed over and over; single ones stand for judges, numerals and redactions.
 _TYPED_OVER = re.compile(r"\b([^\W\d_])\1+\b(?:[\s.,;:]+\1\1+\b){3,}")
 _WORD = re.compile(r"[^\W\d_]{2,}")
-#: Wherever _TOKEN may find a status number: where a text, a line, a sentence or what follows a quotation begins.
-_STATUS = re.compile("(?:\\A\\s*|[\"“”»›]|[.!?…][\"”»]?\\s+|[\r\n\x0b\x0c\x85\u2028\u2029]\\s*|http |error )[45]\\d\\d(?![\\d.,])")
-
 
 #: The characters that stand for a placeholder and for a run of words of one letter typed over and over.
-PLACED, REPEATED = "", ""
+PLACED, REPEATED = "\ue000", "\ue001"
+
+
+def plain(text: str) -> str:
+    """Lower case without soft hyphens."""
+    return text.lower().replace("\xad", "")
 
 
 def _marked(passage: str) -> str:
     """The passage in lower case, with placeholders and runs of typed-over words as one character each."""
-    text = PLACEHOLDER.sub(f" {PLACED} ", passage)
-    return _TYPED_OVER.sub(f" {REPEATED} ", text.lower().replace("\xad", ""))
+    return _TYPED_OVER.sub(f" {REPEATED} ", plain(PLACEHOLDER.sub(f" {PLACED} ", passage)))
 
 
 def passages(text: str) -> list[str]:
     return [p for p in (s.strip() for s in _BREAK.split(text)) if p]
 
 
-def tokens(passage: str) -> list[str]:
-    """Words, status numbers and marks in order; those inside quotation marks begin with a tilde."""
+class Phrases:
+    """The trusted phrases that are runs of words, found in texts reduced to their words."""
+
+    def __init__(self, phrases: tuple[str, ...]):
+        self.known = sorted({p for p in phrases if len(p.split()) > 1 and _WORD.findall(p) == p.split()})
+        self.automaton = None
+
+    def found(self, words: list[str]) -> list[tuple[int, str]]:
+        """(number of words up to its end, phrase) of every occurrence."""
+        if not self.known:
+            return []
+        if self.automaton is None:  # made where it is used
+            self.automaton = ahocorasick.Automaton()
+            for p in self.known:
+                self.automaton.add_word(f" {p} ", p)
+            self.automaton.make_automaton()
+        text = f" {' '.join(words)} "
+        return [(text.count(" ", 0, end), p) for end, p in self.automaton.iter(text)]
+
+    def __getstate__(self) -> dict:
+        return {"known": self.known, "automaton": None}
+
+
+def tokens(passage: str, phrases: Phrases) -> list[str]:
+    """Words, marks and trusted phrases (after their last word) in order; a tilde stands for each word inside quotation marks."""
     found, at = [], 0
+
+    def add(part: str) -> None:
+        words = _TOKEN.findall(_marked(part))
+        for place, p in reversed(phrases.found(words)):
+            words.insert(place, p)
+        found.extend(words)
+
     for quote in _QUOTE.finditer(passage):
-        found += _TOKEN.findall(_marked(passage[at : quote.start()]))
-        found += ["~" + t for t in _TOKEN.findall(_marked(quote.group()))]
+        add(passage[at : quote.start()])
+        found.extend(["~"] * len(_TOKEN.findall(_marked(quote.group()))))
         at = quote.end()
-    return found + _TOKEN.findall(_marked(passage[at:]))
+    add(passage[at:])
+    return found
 
 
-def features(words: list[str]) -> set[str]:
-    """The distinct words and the distinct pairs of neighbours."""
-    return {*words, *(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))}
+def trusted(passage: str, phrases: tuple[str, ...] = TRUSTED) -> bool:
+    low = " ".join(passage.lower().split()).lstrip(" \t#[(*-")
+    return low.startswith(phrases) and not _QUOTE.match(passage)
 
 
-def trusted(passage: str) -> bool:
-    low = passage.lower().lstrip(" \t#[(*-")
-    return low.startswith(TRUSTED) and not _QUOTE.match(passage)
+def placed(text: str) -> bool:
+    """Whether a text may hold a placeholder, by its signs."""
+    if any(sign in text for sign in _SIGNS):
+        return True
+    if "[" not in text:
+        return False
+    low = text.lower()
+    return any(sign in low for sign in _BRACKETED)
+
+
+def typed_over(words: set[str], low: str) -> bool:
+    """Whether a text may hold a run of typed-over words: it has a word of one letter, three times or more."""
+    return any(len(w) > 2 and w == w[0] * len(w) for w in words) and _TYPED_OVER.search(low) is not None
 
 
 class ResidueModel:
-    """Word weights (log odds of residue against content) and the two thresholds."""
+    """Word weights (log odds of residue against content), the prior log odds and the margin that a verdict needs.
 
-    #: Words for residue that a stretch must have to count by itself, unless it holds a placeholder or typed-over words.
-    SHORTEST = 3
+    A word that is in no residue has the weight of smoothing alone. A word counts for residue only where at least a
+    share ``OWN`` of its occurrences is residue, so that the titles around an error page stay content.
+    """
 
-    def __init__(self, weights: dict[str, float], bias: float, whole: float, stretch: float):
-        self.weights, self.bias, self.whole, self.stretch = weights, bias, whole, stretch
-        # Only texts and passages with a mark are scored: a word or pair of words that counts for residue, quoted or not, a
-        # placeholder, a run of typed-over words or a status number. No other can reach a threshold, as its words only
-        # take from the score. Marks and texts are compared as runs of two letters and more, by one automaton.
-        self.all = bias > whole
-        counting = [w.replace("~", "") for w, x in weights.items() if x > 0]
-        self.marks = sorted({f" {' '.join(_WORD.findall(w))} " for w in counting if not (PLACED in w or REPEATED in w or any(c.isdigit() for c in w))})
-        self.automaton = None
+    #: Words for residue that a stretch must have to count by itself, unless it holds a mark: a placeholder, typed-over
+    #: words or a trusted phrase.
+    SHORTEST = 3
+    OWN, SMOOTHING, QUOTED, BETWEEN = 0.1, 0.05, -2.0, -2.0
 
-    def _marked(self, text: str) -> bool:
-        if self.all:
-            return True
-        if self.automaton is None:
-            self.automaton = ahocorasick.Automaton()
-            for mark in self.marks:
-                self.automaton.add_word(mark, True)
-            self.automaton.make_automaton()
-        low = text.lower().replace("\xad", "")
-        if (any(sign in low for sign in _SIGNS) or any(sign in low for sign in _BRACKETED)) and PLACEHOLDER.search(text):
-            return True
-        if self.marks and next(self.automaton.iter(f" {' '.join(_WORD.findall(low))} "), None) is not None:
-            return True
-        return _STATUS.search(low) is not None or _TYPED_OVER.search(low) is not None
+    def __init__(self, weights: dict[str, float], bias: float, margin: float = 2.5, phrases: tuple[str, ...] = TRUSTED):
+        self.weights, self.bias, self.margin = weights, bias, margin
+        self.phrases = Phrases(phrases)
+        self.absent = math.log(self.SMOOTHING / (1 + self.SMOOTHING))
+        #: No text without one of these, a placeholder or typed-over words can reach a verdict.
+        self.strong = frozenset(w for w, x in weights.items() if x > 0 and " " not in w)
 
     @classmethod
-    def fit(
-        cls, texts: list[str], iterations: int = 4, whole: float = 0.0, stretch: float = 16.0, smoothing: float = 0.05, ordinary: float = 0.01, among: list[str] | None = None
-    ) -> ResidueModel:
-        """Expectation-maximization over the passages of the texts; equal passages count once for each time they occur.
-
-        Word shares are smoothed towards the word's share in all passages. A word found in the content of more than
-        ``ordinary`` of the texts in ``among`` belongs to content and never counts for residue. ``among`` is an even
-        sample of all documents (the texts themselves where it is not given), so that this does not depend on how many
-        short texts are fitted. Its equal texts count once, and passages that are trusted or taken for residue are not
-        content, so that no page becomes content by being frequent.
-        """
-        counted = Counter(p for t in texts for p in passages(t))
-        # The trusted phrases themselves are labelled passages too, so that none depends on being in the sample.
-        counted.update(TRUSTED)
-        even = [set(passages(t)) for t in sorted(set(texts if among is None else among))]
-        for p in set().union(*even):
-            counted.setdefault(p, 0)
-        kinds = list(counted)
-        place = {p: k for k, p in enumerate(kinds)}
-        weight = np.array([counted[p] for p in kinds], float)
-        label = np.array([trusted(p) for p in kinds], bool)
-        own = [features(tokens(p)) for p in kinds]
-        vocabulary = {w: k for k, w in enumerate(sorted(set().union(*own)))}
-        row = np.repeat(np.arange(len(kinds)), [len(ws) for ws in own])
-        col = np.array([vocabulary[w] for ws in own for w in ws], int)
-        v = len(vocabulary)
-        # The features of each kind lie side by side in col, from first[kind] on.
-        first = np.concatenate([[0], np.cumsum([len(ws) for ws in own])]).astype(int)
-        inside = [np.array(sorted(place[p] for p in ps), int) for ps in even]
-        marks = np.array([w in (PLACED, REPEATED) for w in vocabulary], bool)
-        share = label.astype(float)
-        odds, bias = np.zeros(v), 0.0
-        for _ in range(iterations):
-            pos, neg = weight * share, weight * (1 - share)
-            in_pos, in_neg = np.bincount(col, pos[row], v), np.bincount(col, neg[row], v)
-            overall = (in_pos + in_neg) / (in_pos + in_neg).sum()
-            odds = np.log((in_pos / in_pos.sum() + smoothing * overall) / (1 + smoothing)) - np.log((in_neg / in_neg.sum() + smoothing * overall) / (1 + smoothing))
-            in_texts = np.zeros(v)
-            for ks in inside:
-                ks = ks[share[ks] < 0.5]
-                if len(ks):
-                    in_texts[np.unique(np.concatenate([col[first[k] : first[k + 1]] for k in ks]))] += 1
-            odds = np.where((in_texts > ordinary * len(even)) & ~marks, np.minimum(odds, 0.0), odds)
-            bias = math.log(pos.sum() / max(neg.sum(), 1.0))
-            score = np.clip(np.bincount(row, odds[col], len(kinds)) + bias, -50, 50)
-            share = np.where(label, 1.0, 1 / (1 + np.exp(-score)))
-        weights = {w: float(odds[k]) for w, k in vocabulary.items()}
-        for mark in (PLACED, REPEATED):
-            weights[mark] = max(weights.get(mark, 0.0), 20.0)
-        return cls(weights, bias, whole, stretch)
-
-    def scores(self, passage: str) -> tuple[float, float]:
-        """(score of the whole passage by its distinct words, best sum over a stretch of unquoted neighbouring words)."""
-        words = tokens(passage)
-        whole = self.bias + sum(self.weights.get(w, 0.0) for w in features(words))
+    def fit(cls, residue: dict[str, float], corpus: dict[str, int], total: int, margin: float = 2.5, phrases: tuple[str, ...] = TRUSTED) -> ResidueModel:
+        """The maximization step. ``residue``: expected residue passages with each word; ``corpus``: occurrences of these
+        words in all documents, of which there are ``total`` words. What is not residue is content."""
+        p = sum(residue.values())
+        n = max(total - p, 1.0)
+        total = max(total, p + 1.0)
+        weights = {}
+        for w, k in residue.items():
+            everywhere = max(corpus.get(w, 0), k)
+            smooth = cls.SMOOTHING * everywhere / total
+            x = math.log(k / p + smooth) - math.log((everywhere - k) / n + smooth)
+            weights[w] = x if k >= cls.OWN * everywhere else min(x, 0.0)
+        return cls(weights, math.log(p / n), margin, phrases)
+
+    def whole(self, words: list[str]) -> float:
+        """Log odds of a passage by its distinct words; quoted ones say nothing."""
+        return self.bias + sum(self.weights.get(w, self.absent) for w in set(words) if w != "~")
+
+    def stretch(self, words: list[str]) -> float:
+        """The best sum over neighbouring words; a repeated word adds little."""
         best = run = 0.0
         seen: set[str] = set()
-        length = 0
+        length, mark = 0, False
         for w in words:
-            x = -2.0 if w[0] == "~" else self.weights.get(w, -0.5)
+            x = self.QUOTED if w == "~" else self.weights.get(w, self.absent)
+            x = x if x > 0 else min(x, self.BETWEEN)
             if w in seen:
                 x = min(x, 1.5)
             run += x
             if run <= 0:
-                run, seen, length = 0.0, set(), 0
-            else:
-                seen.add(w)
-                length += x > 0.5
-                if length >= self.SHORTEST or w in (PLACED, REPEATED):
-                    best = max(best, run)
-        return whole, best
+                run, seen, length, mark = 0.0, set(), 0, False
+                continue
+            seen.add(w)
+            length += x > 0
+            mark = mark or w in (PLACED, REPEATED) or " " in w and x > 0
+            if length >= self.SHORTEST or mark:
+                best = max(best, run)
+        return best
+
+    def decides(self, passage: str) -> bool:
+        words = tokens(passage, self.phrases)
+        return self.whole(words) > self.margin or self.stretch(words) > self.margin - self.bias
+
+    def candidate(self, text: str) -> bool:
+        """Whether anything in a text counts for residue; an upper bound, since all else only takes from a score."""
+        low = plain(text)
+        words = _WORD.findall(low)
+        kinds = set(words)
+        return not self.strong.isdisjoint(kinds) or placed(text) or bool(self.phrases.found(words)) or typed_over(kinds, low)
 
     def is_case(self, text: str) -> bool:
-        if not self._marked(text):
-            return False
-        for p in passages(text):
-            if self._marked(p):
-                whole, best = self.scores(p)
-                if whole > self.whole or best > self.stretch:
-                    return True
-        return False
+        return self.candidate(text) and any(self.candidate(p) and self.decides(p) for p in passages(text))
 
 
-def residue(documents: DataFrame, doc: str, text: str, sample: int = 3000, short: int = 600) -> DataFrame:
+class Labeller:
+    """Labels passages by trusted phrases and placeholders."""
+
+    def __init__(self, phrases: tuple[str, ...] = TRUSTED, brief: int = 600):
+        self.phrases, self.brief, self.runs = phrases, brief, Phrases(phrases)
+        self.automaton = None
+
+    def _may_hold_phrase(self, low: str) -> bool:
+        if self.automaton is None:
+            self.automaton = ahocorasick.Automaton()
+            for p in self.phrases:
+                self.automaton.add_word(p.split()[0], True)
+            self.automaton.make_automaton()
+        return next(self.automaton.iter(low), None) is not None
+
+    def labelled(self, text: str) -> Iterator[tuple[set[str], float]]:
+        """(words, weight) of the passages that are labelled; those beside a trusted phrase in a brief text weigh a half.
+
+        A passage with a placeholder speaks for the placeholder only, since the rest of it is content."""
+        low = plain(text)
+        if not (placed(text) or self._may_hold_phrase(low) or typed_over(set(_WORD.findall(low)), low)):
+            return
+        each = [(p, trusted(p, self.phrases)) for p in passages(text)]
+        beside = len(text) <= self.brief and any(t for _, t in each)
+        for p, t in each:
+            if not (t or beside or placed(p) or REPEATED in _marked(p)):
+                continue
+            words = {w for w in tokens(p, self.runs) if w != "~"}
+            if marks := words & {PLACED, REPEATED}:
+                yield marks, 1.0
+            elif words and (t or beside):
+                yield words, 1.0 if t else 0.5
+
+
+def _summed(source: DataFrame, count: Callable[[str, Counter, Counter], None]) -> DataFrame:
+    """(word, residue, corpus) summed over all texts; ``count`` adds a text to the task's two counters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            residue: Counter[str] = Counter()
+            corpus: Counter[str] = Counter()
+            for text in batch.column(1).to_pylist():
+                if text:
+                    count(text, residue, corpus)
+            words = list(residue.keys() | corpus.keys())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(words, pa.string()), pa.array([float(residue[w]) for w in words], pa.float64()), pa.array([corpus[w] for w in words], pa.int64())],
+                names=["word", "residue", "corpus"],
+            )
+
+    partial = source.mapInArrow(run, "word string, residue double, corpus bigint")
+    return partial.groupBy("word").agg(F.sum("residue").alias("residue"), F.sum("corpus").alias("corpus"))
+
+
+def fitted(source: DataFrame, rounds: int, vocabulary: int, least: float, phrases: tuple[str, ...] = TRUSTED, brief: int = 600) -> ResidueModel:
+    """The model of a corpus (doc_id, text): one pass for labels and word counts, then one for each round.
+
+    The driver gets the words of residue with their two sums, at most ``vocabulary`` of them, those with most residue
+    first; a word must be in ``least`` residue passages. The trusted phrases themselves are labelled passages too.
+    """
+    labeller = Labeller(phrases, brief)
+
+    def label(text: str, residue: Counter, corpus: Counter) -> None:
+        found = _WORD.findall(plain(text))
+        corpus.update(found)
+        corpus.update(p for _, p in labeller.runs.found(found))
+        for words, weight in labeller.labelled(text):
+            for w in words:
+                residue[w] += weight
+
+    counts = durable(_summed(source, label))
+    total = counts.agg(F.coalesce(F.sum("corpus"), F.lit(0))).first()[0]
+
+    def sums(residue: DataFrame) -> list:
+        return residue.filter(F.col("residue") >= least).orderBy(F.desc("residue"), "word").limit(vocabulary).collect()
+
+    own = Counter(w for p in phrases for w in set(tokens(p, labeller.runs)))
+    own.update((PLACED, REPEATED))
+
+    everywhere = {r["word"]: r["corpus"] for r in counts.filter(F.col("word").isin(*own)).collect()}
+
+    def model(rows: list) -> ResidueModel:
+        residue, corpus = {w: float(k) for w, k in own.items()}, dict(everywhere)
+        for r in rows:
+            residue[r["word"]] = residue.get(r["word"], 0.0) + r["residue"]
+            corpus[r["word"]] = r["corpus"]
+        return ResidueModel.fit(residue, corpus, total, phrases=phrases)
+
+    now = model(sums(counts))
+    for _ in range(rounds):
+        current = now
+
+        def expect(text: str, residue: Counter, corpus: Counter, current: ResidueModel = current) -> None:
+            if not current.candidate(text):
+                return
+            for p in passages(text):
+                if current.candidate(p):
+                    words = {w for w in tokens(p, current.phrases) if w != "~"}
+                    if marks := words & {PLACED, REPEATED}:
+                        residue.update(marks)
+                        continue
+                    share = 1.0 if trusted(p, phrases) else 1 / (1 + math.exp(-max(-50.0, min(50.0, current.whole(list(words))))))
+                    for w in words:
+                        residue[w] += share
+
+        expected = _summed(source, expect).select("word", "residue")
+        now = model(sums(expected.join(counts.select("word", "corpus"), "word", "left")))
+    return now
+
+
+def residue(documents: DataFrame, doc: str, text: str, rounds: int = 1, vocabulary: int = 20_000, least: float = 2.0) -> DataFrame:
     """(doc_id): the documents with residue, wholly or in places.
 
-    The model is fitted on at most ``sample`` documents of any length and as many of at most ``short`` characters, both
-    chosen by a hash of the text and the id; every document is scored whole. Null, empty and blank texts are no case.
-    Repeated texts are judged alike; an empty table gives no row.
+    All counts and every round of the fit are taken over all documents, which are then scored whole. Null, empty and
+    blank texts are no case. Repeated texts are judged alike; an empty table gives no row; other columns are not read.
     """
     source = documents.select(column(doc).cast("bigint").alias("doc_id"), column(text).alias("text")).filter(F.col("text").isNotNull())
-    brief = (F.length("text") <= short) & (F.length(F.trim("text")) > 0)
-    sizes = source.agg(F.count(F.lit(1)).alias("all"), F.count_if(brief).alias("brief")).first()
-    point = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1_000_000))
-    # A share by hash that is expected to hold nine tenths of the sample; the limit is a bound that it hardly ever meets.
-    part = {k: min(1_000_000, int(900_000 * sample / max(sizes[k], 1)) + 1) for k in ("all", "brief")}
-    long_ones = source.filter(point < part["all"]).limit(sample)
-    short_ones = source.filter(brief & (point < part["brief"])).limit(sample)
-    even = {r["doc_id"]: r["text"] for r in long_ones.collect()}
-    texts = even | {r["doc_id"]: r["text"] for r in short_ones.collect()}
-    model = ResidueModel.fit([texts[k] for k in sorted(texts)], among=list(even.values()))
+    model = fitted(source, rounds, vocabulary, least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

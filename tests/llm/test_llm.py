@@ -11,7 +11,7 @@ from auditloom.llm.canonical_map import CanonicalList, canonical_codes, edits
 from auditloom.llm.eval_leaks import ItemIndex, leaks, words_of
 from auditloom.llm.layout_duplicates import collisions, copies, copy_groups
 from auditloom.llm.name_variants import NameReader, linked_rows, near_pairs
-from auditloom.llm.residue import ResidueModel, residue
+from auditloom.llm.residue import ResidueModel, fitted, passages, residue
 
 
 # 3: duplicates hidden by formatting
@@ -168,31 +168,53 @@ def test_residue(spark):
     assert residue(df.limit(0), "doc", "text").count() == 0
 
 
-def test_a_model_without_positives_knows_placeholders():
-    model = ResidueModel.fit(CONTENT)
-    assert model.is_case("Before: {{judge}}") and not model.is_case(CONTENT[0])
+def found(spark, docs, **kwargs):
+    return sorted(r["doc_id"] for r in residue(spark.createDataFrame(docs, "doc bigint, text string"), "doc", "text", **kwargs).collect())
 
 
-def test_frequent_pages_stay_residue(spark):
-    rng = random.Random(4)
-    docs = [(i, "\n".join(rng.sample(CONTENT, 8))) for i in range(300)]
-    docs += [(1000 + i, f"Please enable JavaScript to view judgment {chr(97 + i % 26)}{i}.") for i in range(60)]
-    docs += [(2000, "The buyer claimed the kiln and the tenant, enable JavaScript to view judgment, dismissed the appeal.")]
-    df = spark.createDataFrame(docs, "doc bigint, text string")
-    assert sorted(r["doc_id"] for r in residue(df, "doc", "text").collect()) == [*range(1000, 1060), 2000]
+def content(n, rng, lines=8):
+    return [(i, "\n".join(rng.sample(CONTENT, lines))) for i in range(n)]
 
 
-def test_filler_of_typed_over_letters_is_scored():
-    model = ResidueModel.fit([*CONTENT, *RESIDUE])
-    assert model.is_case("The buyer xxxx xxxxxxx xx xxxxx xxx claimed the kiln.") and model.is_case("XXXX XXX XXXXX XXXXXX")
-    assert not model.is_case("The court, Harrow and Quill JJ, heard XXXXXX v XXXX XXXX, part II.")
+def test_one_placeholder_in_a_corpus_is_found(spark):
+    docs = content(100, random.Random(3))
+    assert found(spark, docs) == []
+    assert found(spark, [*docs, (500, docs[0][1] + "\nBefore: {{judge}}")]) == [500]
 
 
-def test_the_filter_keeps_all_that_the_score_finds():
-    model = ResidueModel({"404": 9.0, "scripts": 9.0, "~wait": 9.0, "turn on": 9.0}, -3.0, 0.0, 16.0)
-    for text in ("404 x", "http 404", "'scripts'", "scripts", "“please wait”", "turn (a) on", "turn\xad on", "l'scripts"):
-        assert model.scores(text)[0] > 0 and model.is_case(text), text
-    assert not model.is_case("The tenant paid 404.")
+def test_frequent_pages_stay_residue(spark):
+    docs = content(300, random.Random(4))
+    docs += [(1000 + i, f"Please enable JavaScript to view judgment {chr(97 + i % 26)}{i}.") for i in range(60)]
+    assert found(spark, docs) == [*range(1000, 1060)]
+
+
+def test_filler_of_typed_over_letters_is_scored(spark):
+    docs = content(100, random.Random(5))
+    docs += [(500, docs[0][1] + "\nThe buyer xxxx xxxxxxx xx xxxxx xxx claimed the kiln."), (501, "XXXX XXX XXXXX XXXXXX")]
+    docs += [(502, docs[1][1] + "\nThe court, Harrow and Quill JJ, heard XXXXXX v XXXX XXXX, part II.")]
+    assert found(spark, docs) == [500, 501]
+
+
+def test_texts_that_are_not_scored_cannot_be_cases():
+    rng = random.Random(6)
+    model = ResidueModel({"scripts": 9.0, "wait": 9.0, "turn": 9.0, "kiln": -2.0}, -3.0)
+    words = ["scripts", "wait", "turn", "kiln", "court", "“scripts”", "xxxx xxx xxxx xxx", "{{date}}", "l'scripts", "t\xadurn", "please sign in"]
+    for _ in range(500):
+        text = " ".join(rng.choice(words) for _ in range(rng.randint(1, 6)))
+        assert model.is_case(text) == any(model.decides(p) for p in passages(text)), text
+
+
+def test_phrases_that_nobody_listed_are_learnt_at_any_size(spark):
+    phrases = ("internal server error", "page not found")
+    for n in (60, 600):
+        rng = random.Random(n)
+        docs = content(n * 10, rng)
+        docs += [(100_000 + i, f"{'Internal server error' if i % 2 else 'Page not found'}\nThe registry sleeps until Monday morning.") for i in range(n // 10)]
+        docs += [(200_000 + i, "The registry sleeps until Monday morning.") for i in range(n // 10)]
+        docs += [(300_000 + i, "\n".join([*rng.sample(CONTENT, 4), "The registry sleeps until Monday morning."])) for i in range(n // 10)]
+        source = spark.createDataFrame(docs, "doc_id bigint, text string")
+        model = fitted(source, 1, 1000, 2.0, phrases)
+        assert {d for d, t in docs if model.is_case(t)} == {d for d, _ in docs if d >= 100_000}
 
 
 def test_word_sets_of_values_with_many_words():
