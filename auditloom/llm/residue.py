@@ -86,27 +86,39 @@ def passages(text: str) -> list[str]:
     return [p for p in (s.strip() for s in _BREAK.split(text)) if p]
 
 
+def collapsed(low: str) -> str:
+    return " ".join(low.split())
+
+
 class Phrases:
-    """The trusted phrases that are runs of words, found in texts reduced to their words."""
+    """Trusted phrases found in collapsed texts by one automaton. Those of several words are also words of the model."""
 
     def __init__(self, phrases: tuple[str, ...]):
-        self.known = sorted({p for p in phrases if len(p.split()) > 1 and _WORD.findall(p) == p.split()})
+        self.all = tuple(sorted({p.strip() for p in phrases}))
         self.automaton = None
 
-    def found(self, words: list[str]) -> list[tuple[int, str]]:
-        """(number of words up to its end, phrase) of every occurrence."""
-        if not self.known:
+    def __getstate__(self) -> dict:
+        return {"all": self.all, "automaton": None}
+
+    def found(self, text: str) -> list[tuple[int, str]]:
+        """(end, phrase) of every occurrence in a collapsed text."""
+        if not self.all:
             return []
         if self.automaton is None:  # made where it is used
             self.automaton = ahocorasick.Automaton()
-            for p in self.known:
-                self.automaton.add_word(f" {p} ", p)
+            for p in self.all:
+                self.automaton.add_word(p, p)
             self.automaton.make_automaton()
-        text = f" {' '.join(words)} "
-        return [(text.count(" ", 0, end), p) for end, p in self.automaton.iter(text)]
+        return [(end + 1, p) for end, p in self.automaton.iter(text)]
 
-    def __getstate__(self) -> dict:
-        return {"known": self.known, "automaton": None}
+    def features(self, text: str, found: list[tuple[int, str]]) -> list[tuple[int, str]]:
+        """Those of the phrases found that have several words and no letter or digit next to them."""
+        return [(e, p) for e, p in found if is_run(p) and not text[e : e + 1].isalnum() and not text[max(e - len(p) - 1, 0) : e - len(p)].isalnum()]
+
+
+def is_run(phrase: str) -> bool:
+    """Whether a phrase is a run of words."""
+    return " " in phrase and all(w.isalpha() for w in phrase.split())
 
 
 def tokens(passage: str, phrases: Phrases) -> list[str]:
@@ -114,9 +126,10 @@ def tokens(passage: str, phrases: Phrases) -> list[str]:
     found, at = [], 0
 
     def add(part: str) -> None:
-        words = _TOKEN.findall(_marked(part))
-        for place, p in reversed(phrases.found(words)):
-            words.insert(place, p)
+        text = collapsed(_marked(part))
+        words = _TOKEN.findall(text)
+        for end, p in sorted(phrases.features(text, phrases.found(text)), reverse=True):
+            words.insert(len(_TOKEN.findall(text[:end])), p)
         found.extend(words)
 
     for quote in _QUOTE.finditer(passage):
@@ -128,23 +141,23 @@ def tokens(passage: str, phrases: Phrases) -> list[str]:
 
 
 def trusted(passage: str, phrases: tuple[str, ...] = TRUSTED) -> bool:
-    low = " ".join(passage.lower().split()).lstrip(" \t#[(*-")
+    low = collapsed(plain(passage)).lstrip(" #[(*-")
     return low.startswith(phrases) and not _QUOTE.match(passage)
 
 
-def placed(text: str) -> bool:
-    """Whether a text may hold a placeholder, by its signs."""
-    if any(sign in text for sign in _SIGNS):
-        return True
-    if "[" not in text:
-        return False
-    low = text.lower()
-    return any(sign in low for sign in _BRACKETED)
+def placed(low: str) -> bool:
+    """Whether a lower-case text may hold a placeholder, by its signs."""
+    return any(sign in low for sign in _SIGNS) or "[" in low and any(sign in low for sign in _BRACKETED)
+
+
+#: Words of one letter: of the Latin, Greek and Cyrillic alphabets, from three times on.
+_LONGEST = 40
+_TYPED = frozenset(ch * n for ch in map(chr, range(0x61, 0x530)) if ch.isalpha() and ch == ch.lower() for n in range(3, _LONGEST + 1))
 
 
 def typed_over(words: set[str], low: str) -> bool:
-    """Whether a text may hold a run of typed-over words: it has a word of one letter, three times or more."""
-    return any(len(w) > 2 and w == w[0] * len(w) for w in words) and _TYPED_OVER.search(low) is not None
+    """Whether a text may hold a run of typed-over words, by its words."""
+    return (not _TYPED.isdisjoint(words) or max(map(len, words), default=0) > _LONGEST) and _TYPED_OVER.search(low) is not None
 
 
 class ResidueModel:
@@ -159,12 +172,17 @@ class ResidueModel:
     SHORTEST = 3
     OWN, SMOOTHING, QUOTED, BETWEEN = 0.1, 0.05, -2.0, -2.0
 
-    def __init__(self, weights: dict[str, float], bias: float, margin: float = 2.5, phrases: tuple[str, ...] = TRUSTED):
+    def __init__(self, weights: dict[str, float], bias: float, margin: float = 2.5, phrases: tuple[str, ...] = TRUSTED, corpus: dict[str, int] | None = None):
         self.weights, self.bias, self.margin = weights, bias, margin
         self.phrases = Phrases(phrases)
         self.absent = math.log(self.SMOOTHING / (1 + self.SMOOTHING))
-        #: No text without one of these, a placeholder or typed-over words can reach a verdict.
+        #: No text without one of these words, a phrase that counts (looked for where its rarest word is), a placeholder or
+        #: typed-over words can reach a verdict.
         self.strong = frozenset(w for w, x in weights.items() if x > 0 and " " not in w)
+        often = corpus or {}
+        self.phrases_by_word: dict[str, list[str]] = {}
+        for p in sorted(w for w, x in weights.items() if x > 0 and " " in w):
+            self.phrases_by_word.setdefault(min(p.split(), key=lambda v: (often.get(v, 0), v)), []).append(p)
 
     @classmethod
     def fit(cls, residue: dict[str, float], corpus: dict[str, int], total: int, margin: float = 2.5, phrases: tuple[str, ...] = TRUSTED) -> ResidueModel:
@@ -179,7 +197,7 @@ class ResidueModel:
             smooth = cls.SMOOTHING * everywhere / total
             x = math.log(k / p + smooth) - math.log((everywhere - k) / n + smooth)
             weights[w] = x if k >= cls.OWN * everywhere else min(x, 0.0)
-        return cls(weights, math.log(p / n), margin, phrases)
+        return cls(weights, math.log(p / n), margin, phrases, corpus)
 
     def whole(self, words: list[str]) -> float:
         """Log odds of a passage by its distinct words; quoted ones say nothing."""
@@ -213,9 +231,11 @@ class ResidueModel:
     def candidate(self, text: str) -> bool:
         """Whether anything in a text counts for residue; an upper bound, since all else only takes from a score."""
         low = plain(text)
-        words = _WORD.findall(low)
-        kinds = set(words)
-        return not self.strong.isdisjoint(kinds) or placed(text) or bool(self.phrases.found(words)) or typed_over(kinds, low)
+        words = set(_WORD.findall(low))
+        if not self.strong.isdisjoint(words) or placed(low) or typed_over(words, low):
+            return True
+        rare = self.phrases_by_word.keys() & words
+        return bool(rare) and any(p in flat for flat in (collapsed(low),) for w in rare for p in self.phrases_by_word[w])
 
     def is_case(self, text: str) -> bool:
         return self.candidate(text) and any(self.candidate(p) and self.decides(p) for p in passages(text))
@@ -226,33 +246,32 @@ class Labeller:
 
     def __init__(self, phrases: tuple[str, ...] = TRUSTED, brief: int = 600):
         self.phrases, self.brief, self.runs = phrases, brief, Phrases(phrases)
-        self.automaton = None
-
-    def _may_hold_phrase(self, low: str) -> bool:
-        if self.automaton is None:
-            self.automaton = ahocorasick.Automaton()
-            for p in self.phrases:
-                self.automaton.add_word(p.split()[0], True)
-            self.automaton.make_automaton()
-        return next(self.automaton.iter(low), None) is not None
 
-    def labelled(self, text: str) -> Iterator[tuple[set[str], float]]:
-        """(words, weight) of the passages that are labelled; those beside a trusted phrase in a brief text weigh a half.
-
-        A passage with a placeholder speaks for the placeholder only, since the rest of it is content."""
+    def count(self, text: str, residue: Counter, corpus: Counter) -> None:
+        """Adds a text's words and phrases to ``corpus`` and the words of its labelled passages to ``residue``: those that
+        are labelled, and by half those beside a trusted phrase in a brief text. A passage with a placeholder speaks for
+        the placeholder only, since the rest of it is content."""
         low = plain(text)
-        if not (placed(text) or self._may_hold_phrase(low) or typed_over(set(_WORD.findall(low)), low)):
+        found = _WORD.findall(low)
+        corpus.update(found)
+        flat = collapsed(low)
+        hits = self.runs.found(flat)
+        if hits:
+            corpus.update(p for _, p in self.runs.features(flat, hits))
+        if not (hits or placed(low) or typed_over(set(found), low)):
             return
         each = [(p, trusted(p, self.phrases)) for p in passages(text)]
         beside = len(text) <= self.brief and any(t for _, t in each)
         for p, t in each:
-            if not (t or beside or placed(p) or REPEATED in _marked(p)):
+            own = plain(p)
+            if not (t or beside or placed(own) or typed_over(set(_WORD.findall(own)), own)):
                 continue
             words = {w for w in tokens(p, self.runs) if w != "~"}
             if marks := words & {PLACED, REPEATED}:
-                yield marks, 1.0
-            elif words and (t or beside):
-                yield words, 1.0 if t else 0.5
+                residue.update(marks)
+            elif t or beside:
+                for w in words:
+                    residue[w] += 1.0 if t else 0.5
 
 
 def _summed(source: DataFrame, count: Callable[[str, Counter, Counter], None]) -> DataFrame:
@@ -283,15 +302,7 @@ def fitted(source: DataFrame, rounds: int, vocabulary: int, least: float, phrase
     """
     labeller = Labeller(phrases, brief)
 
-    def label(text: str, residue: Counter, corpus: Counter) -> None:
-        found = _WORD.findall(plain(text))
-        corpus.update(found)
-        corpus.update(p for _, p in labeller.runs.found(found))
-        for words, weight in labeller.labelled(text):
-            for w in words:
-                residue[w] += weight
-
-    counts = durable(_summed(source, label))
+    counts = durable(_summed(source, labeller.count))
     total = counts.agg(F.coalesce(F.sum("corpus"), F.lit(0))).first()[0]
 
     def sums(residue: DataFrame) -> list:
