@@ -1,19 +1,23 @@
 """Variant spellings of names typed by people: metric-space partitioning, exact radius joins, then a check of the parts.
 
 Names are compared inside blocks of rows that agree in what a registrant keeps. The metric is the Levenshtein distance of
-the distinctive word (a surname, an organisation's own name). Blocks with many names are partitioned by pivots: each name
-goes to its nearest pivot and, by the triangle inequality, to every pivot that is at most twice the radius further away,
-so any two names within the radius share the cell of one of them. Inside a cell the join is exact. The pairs found are
-then checked part by part (given names, nicknames, initials, kinds of business), and linked spellings are closed over.
+the distinctive word (a surname, an organisation's own name), for blocking and for linking. A block of few rows is one
+cell, joined exactly by the task that holds it. Blocks with many rows are partitioned by pivots: each name goes to its
+nearest pivot and, by the triangle inequality, to every pivot that is at most twice the radius further away, so any two
+names within the radius share the cell of one of them; cells that are still large are partitioned again. The pairs within
+the radius are checked part by part (given names, nicknames, initials, kinds of business), and linked spellings are
+closed over.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -206,11 +210,7 @@ class NameReader:
     def compare(self, a: Name, b: Name) -> int:
         """2: spellings of one registrant; 1 or -1: so if nobody else fits the first or second, which has only an initial
         for its given name, or none; 0: of two registrants."""
-        n = min(len(a.own), len(b.own))
-        most = 1 if n < 5 else 2 if n < 8 else 3
-        if edits(a.own, b.own, most) > most:
-            return 0
-        if a.organisation != b.organisation:
+        if a.organisation != b.organisation or not within(a.own, b.own):
             return 0
         if a.organisation:
             return 2 if self._same_business(a.rest, b.rest) else 0
@@ -247,6 +247,44 @@ class NameReader:
         return len(short) >= 6 and short[:5] == long[:5] and abs(len(a) - len(b)) <= 3
 
 
+def distance(a: str, b: str) -> int:
+    """Levenshtein distance, one column of the table as bits of one number."""
+    if a == b:
+        return 0
+    if not a or not b:
+        return len(a) + len(b)
+    at: dict[str, int] = {}
+    for i, ch in enumerate(a):
+        at[ch] = at.get(ch, 0) | 1 << i
+    full, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, d = full, 0, len(a)
+    for ch in b:
+        match = at.get(ch, 0)
+        level = (((match & up) + up) ^ up) | match | down
+        rise, fall = down | ~(level | up) & full, up & level
+        if rise & last:
+            d += 1
+        elif fall & last:
+            d -= 1
+        rise = (rise << 1 | 1) & full
+        up, down = (fall << 1 | ~(level | rise)) & full, rise & level
+    return d
+
+
+#: The largest distance of distinctive words that may be spellings of each other; the radius of the joins.
+RADIUS = 4
+
+
+def radius_of(n: int) -> int:
+    """The distance allowed by the length of the shorter word: a swap of letters is two edits."""
+    return 2 if n < 5 else 3 if n < 8 else RADIUS
+
+
+def within(a: str, b: str) -> bool:
+    most = radius_of(min(len(a), len(b)))
+    return abs(len(a) - len(b)) <= most and distance(a, b) <= most
+
+
 def _subsequence(short: str, long: str) -> bool:
     letters = iter(long)
     return all(ch in letters for ch in short)
@@ -255,11 +293,12 @@ def _subsequence(short: str, long: str) -> bool:
 def common_words(names: DataFrame, share: float = 0.0015, least: int = 5) -> set[str]:
     """Words in at least a share of the distinct spellings: given names, titles, kinds of business. A set of fewer than
     (words in a name) / share words, whatever the table's size."""
-    spellings = names.select(F.lower("name").alias("name")).distinct()
-    total = spellings.count()
-    words = spellings.select(F.explode(F.array_distinct(F.split("name", r"[^\p{L}\p{N}]+"))).alias("word")).filter(F.length("word") > 1)
-    counted = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= max(least, share * total))
-    return {r["word"] for r in counted.collect()}
+    spelled = names.select(F.lower("name").alias("name")).distinct()
+    # A blank stands for the spelling itself, so that one pass counts the words and the spellings.
+    words = F.filter(F.array_distinct(F.split("name", r"[^\p{L}\p{N}]+")), lambda w: F.length(w) > 1)
+    counted = durable(spelled.select(F.explode(F.array_append(words, F.lit(" "))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least))
+    total = counted.filter("word = ' '").first()
+    return {r["word"] for r in counted.filter((F.col("n") >= share * (total["n"] if total else 0)) & (F.col("word") != " ")).collect()}
 
 
 def spellings(names: DataFrame) -> DataFrame:
@@ -273,53 +312,156 @@ def spellings(names: DataFrame) -> DataFrame:
     return one.join(sizes, "block")
 
 
-def cells(parsed: DataFrame, radius: int, cell_size: int) -> DataFrame:
-    """The names with a column ``pivot`` for each cell they are compared in, and ``home``, true in the nearest one.
+def cells(parsed: DataFrame, radius: int, cell_size: int, levels: int = 3) -> DataFrame:
+    """The names with ``cell``, for each cell they are compared in, and ``home``, true in the nearest one.
 
-    Blocks of at most ``cell_size`` names are one cell. A larger block gets one pivot for every half cell, at most 64,
-    chosen by hash; the triangle inequality decides where a name is replicated.
+    Blocks of at most ``cell_size`` names are one cell. A larger block gets one pivot for every half cell, at most 64 at a
+    time, chosen by hash; the triangle inequality decides where a name is replicated. Cells that are still larger are
+    partitioned in turn, up to ``levels`` times; what is left after that is one cell, whatever its size.
     """
-    ordinary = parsed.filter(F.col("size") <= cell_size).withColumns({"pivot": F.lit(-1), "home": F.lit(True)})
-    big = parsed.filter(F.col("size") > cell_size)
+    open_ = parsed.withColumns({"cell": F.col("block"), "home": F.lit(True)})
+    done = None
+    for level in range(levels + 1):
+        small = open_.filter(F.col("size") <= cell_size) if level < levels else open_
+        done = small if done is None else done.unionByName(small)
+        if level == levels:
+            return done
+        big = open_.filter(F.col("size") > cell_size)
+        if level and not big.limit(1).count():
+            return done
+        open_ = durable(_partitioned(big, radius, cell_size, level))
+    return done
+
+
+def _partitioned(big: DataFrame, radius: int, cell_size: int, level: int) -> DataFrame:
+    """One level of pivots, with the size of the new cells; a name is at home where it was and is nearest."""
     wanted = F.least(F.lit(64), F.ceil(F.col("size") / (cell_size / 2))).cast("int")
-    # The names with the smallest hashes of a block are its pivots; the candidates are thinned before they are gathered.
-    candidate = F.pmod(F.xxhash64("own", F.lit(17)), F.col("size")) < 4 * wanted
-    pivots = big.filter(candidate).groupBy("block").agg(F.slice(F.array_sort(F.collect_set(F.struct(F.xxhash64("own").alias("h"), "own"))), 1, 64).alias("pivots"), F.max(wanted).alias("wanted"))
-    pivots = pivots.select("block", F.transform(F.slice("pivots", 1, F.col("wanted")), lambda p: p["own"]).alias("pivots"))
-    far = big.join(pivots, "block", "left").withColumn("d", F.transform(F.coalesce("pivots", F.array(F.lit(""))), lambda p: F.levenshtein(F.col("own"), p)))
+    order = F.xxhash64("own", F.lit(17 + level))
+    # The names with the smallest hashes of a cell are its pivots; the candidates are thinned before they are gathered.
+    candidate = F.pmod(order, F.col("size")) < 4 * wanted
+    pivots = big.filter(candidate).groupBy("cell").agg(F.slice(F.array_sort(F.collect_set(F.struct(order.alias("h"), "own"))), 1, 64).alias("pivots"), F.max(wanted).alias("wanted"))
+    pivots = pivots.select("cell", F.transform(F.slice("pivots", 1, F.col("wanted")), lambda p: p["own"]).alias("pivots"))
+    far = big.join(pivots, "cell", "left").withColumn("d", F.transform(F.coalesce("pivots", F.array(F.lit(""))), lambda p: F.levenshtein(F.col("own"), p)))
     near = far.withColumn("least", F.array_min("d"))
     chosen = F.filter(F.sequence(F.lit(0), F.size("d") - 1), lambda i: F.element_at("d", i + 1) <= F.col("least") + 2 * radius)
-    replicated = near.withColumn("pivot", F.explode(chosen)).withColumn("home", F.col("pivot") == F.array_position("d", F.col("least")).cast("int") - 1)
-    return ordinary.unionByName(replicated.drop("pivots", "d", "least"))
+    nearest = F.array_position("d", F.col("least")).cast("int") - 1
+    replicated = near.withColumn("pivot", F.explode(chosen)).withColumns({"home": F.col("home") & (F.col("pivot") == nearest), "cell": F.xxhash64("cell", "pivot")}).drop("pivots", "d", "least", "pivot", "size")
+    sizes = replicated.groupBy("cell").agg(F.count(F.lit(1)).alias("size"))
+    return replicated.join(sizes, "cell")
 
 
 def near_pairs(parsed: DataFrame, radius: int, cell_size: int) -> DataFrame:
     """(block, f_a, f_b, name_a, name_b) of the spellings whose distinctive words lie within the radius, each once:
     in the cell that is home to the first of the two, where the second one has its replica."""
-    placed = cells(parsed, radius, cell_size).select("block", "pivot", "home", "f", "name", "own")
-    a = placed.filter("home").select("block", "pivot", F.col("f").alias("f_a"), F.col("name").alias("name_a"), F.col("own").alias("own_a"))
-    b = placed.select("block", "pivot", F.col("f").alias("f_b"), F.col("name").alias("name_b"), F.col("own").alias("own_b"))
+    placed = cells(parsed, radius, cell_size).select("block", "cell", "home", "f", "name", "own")
+    a = placed.filter("home").select("block", "cell", F.col("f").alias("f_a"), F.col("name").alias("name_a"), F.col("own").alias("own_a"))
+    b = placed.select("block", "cell", F.col("f").alias("f_b"), F.col("name").alias("name_b"), F.col("own").alias("own_b"))
     close = F.levenshtein(F.col("own_a"), F.col("own_b"), radius) >= 0
-    return a.join(b, ["block", "pivot"]).filter((F.col("f_a") < F.col("f_b")) & close).select("block", "f_a", "f_b", "name_a", "name_b")
+    return a.join(b, ["block", "cell"]).filter((F.col("f_a") < F.col("f_b")) & close).select("block", "f_a", "f_b", "name_a", "name_b")
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(block, f, root): the spellings of ``edges`` (block, f_a, f_b) with the least spelling they are linked to.
 
-    Every round passes the least label over the links and cuts the lineage in the shared checkpoint folder; it ends when
-    no label changes. A link chain needs as many rounds as it is long, and clusters of spellings are short.
+    Every round takes the least label among neighbours and then the label of that label, so that a chain of links needs
+    about as many rounds as its length has binary digits. Lineage is cut in the shared checkpoint folder; the loop ends
+    when no label changes, which it must, since labels only fall.
     """
     both = durable(edges.select("block", F.col("f_a").alias("f"), F.col("f_b").alias("g")).unionByName(edges.select("block", F.col("f_b").alias("f"), F.col("f_a").alias("g"))))
     labels = durable(both.groupBy("block", "f").agg(F.least(F.min("g"), F.col("f")).alias("root")))
-    for _ in range(rounds):
-        passed = both.join(labels.select("block", F.col("f").alias("g"), F.col("root").alias("seen")), ["block", "g"]).groupBy("block", "f").agg(F.min("seen").alias("seen"))
-        jumped = labels.join(passed, ["block", "f"]).select("block", "f", F.least("root", "seen").alias("root"), F.col("root").alias("was"))
-        new = durable(jumped)
+    while True:
+        of_g = labels.select("block", F.col("f").alias("g"), F.col("root").alias("seen"))
+        offered = both.join(of_g, ["block", "g"]).select("block", "f", "seen")
+        # The root of a spelling is offered what its neighbours see, too: trees hook onto each other as wholes.
+        hooked = offered.join(labels, ["block", "f"]).select("block", F.col("root").alias("f"), "seen")
+        least = offered.unionByName(hooked).groupBy("block", "f").agg(F.min("seen").alias("seen"))
+        passed = labels.join(least, ["block", "f"], "left").select("block", "f", F.least("root", "seen").alias("next"), F.col("root").alias("was"))
+        jump = passed.select("block", F.col("f").alias("next"), F.col("next").alias("further"))
+        new = durable(passed.join(jump, ["block", "next"], "left").select("block", "f", F.least("next", "further").alias("root"), "was"))
         changed = new.filter("root <> was").limit(1).count()
         labels = new.select("block", "f", "root")
         if not changed:
             return labels
-    raise RuntimeError("links are longer than the rounds allowed")
+
+
+def _written(name: str) -> tuple:
+    """Orders the written forms of a spelling: the most telling one is the largest."""
+    words = len(name.split())
+    return words > 1, -sum(not (ch.isalnum() or ch == " ") for ch in name), -words, name
+
+
+def block_pairs(reader: NameReader, f: list[int], names: list[str], rows: list[int]) -> list[tuple[int, int]]:
+    """Pairs of rows of one block that are different spellings of one registrant, smaller id first."""
+    best: dict[int, str] = {}
+    for k, name in zip(f, names, strict=True):
+        if k not in best or _written(name) > _written(best[k]):
+            best[k] = name
+    if len(best) < 2:
+        return []
+    parsed = [(k, n) for k in sorted(best) if (n := reader.read(best[k])) is not None]
+    links = list(_cell_links(reader, parsed))
+    if not links:
+        return []
+    root = joined(links)
+    members: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    for k, row in zip(f, rows, strict=True):
+        if k in root:
+            members[root[k]].append((row, k))
+    return [(min(x, y), max(x, y)) for group in members.values() for i, (x, p) in enumerate(group) for y, q in group[i + 1 :] if p != q]
+
+
+def _cell_links(reader: NameReader, parsed: list[tuple[int, Name]]) -> Iterator[tuple[int, int, int]]:
+    """(f_a, f_b, link) of the names of one cell within the radius. A letter of one word that the other lacks is an edit,
+    which rules most pairs out before their distance is taken."""
+    if len(parsed) < 2:
+        return
+    own = [n.own for _, n in parsed]
+    letters = np.array([sum({1 << (ord(ch) & 31 if ch.isascii() else 31) for ch in w}) for w in own], np.int64)
+    most = np.array([radius_of(len(w)) for w in own])
+    size = np.array([len(w) for w in own])
+    for i in range(len(own) - 1):
+        other = letters[i + 1 :]
+        limit = np.minimum(most[i], most[i + 1 :])
+        lacks = np.maximum(np.bitwise_count(other & ~letters[i]), np.bitwise_count(letters[i] & ~other))
+        for j in np.flatnonzero((lacks <= limit) & (np.abs(size[i + 1 :] - size[i]) <= limit)).tolist():
+            link = reader.compare(parsed[i][1], parsed[i + 1 + j][1])
+            if link:
+                yield parsed[i][0], parsed[i + 1 + j][0], link
+
+
+def joined(links: Iterable[tuple[int, int, int]]) -> dict[int, int]:
+    """Spelling to the least spelling of its registrant, from the links of one block. A group known by initials joins the
+    group it fits, where it fits just one."""
+    up: dict[int, int] = {}
+
+    def top(k: int) -> int:
+        while (over := up.setdefault(k, k)) != k:
+            up[k] = k = up[over]
+        return k
+
+    weak = []
+    for a, b, link in links:
+        x, y = top(a), top(b)
+        if link == 2:
+            up[max(x, y)] = min(x, y)
+        else:
+            weak.append((a, b) if link == 1 else (b, a))
+    fits: dict[int, set[int]] = defaultdict(set)
+    for a, b in weak:
+        if top(a) != top(b):
+            fits[top(a)].add(top(b))
+    for g, of in fits.items():
+        if len(of) == 1:
+            x, y = top(g), top(next(iter(of)))
+            up[max(x, y)] = min(x, y)
+    return {k: top(k) for k in list(up)}
+
+
+def heavy_blocks(keyed: DataFrame, share: float, local: int) -> list[int]:
+    """Blocks of more than ``local`` rows and more than a share of all rows: fewer than 1/share of them."""
+    counts = keyed.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
+    total = keyed.count()
+    return [r["block"] for r in counts.filter(F.col("n") > max(share * total, local)).limit(int(1 / share) + 1).collect()]
 
 
 def linked_rows(
@@ -329,20 +471,89 @@ def linked_rows(
     block: list,
     short_forms: list[tuple[str, str]],
     other_fields: list[list[tuple[str, str]]],
-    radius: int = 4,
     cell_size: int = 64,
+    local: int = 1024,
+    share: float = 0.002,
 ) -> DataFrame:
     """(row_id_a, row_id_b): all pairs of rows, smaller id first, whose names are different spellings of one registrant.
 
     ``block`` lists the columns in which the rows of a registrant agree; nulls agree with nulls. Rows whose name is a null
     cell, folds to nothing or is a value of one of ``other_fields`` are in no pair. Spellings linked only through
     initials join the one registrant of the block they fit, and none if they fit several. An empty table gives no pair.
+
+    Blocks of at most ``local`` rows are brought together by one shuffle and joined where they are. Larger ones, and
+    those above ``share`` of all rows, which are not brought together at all, are partitioned by pivots.
     """
     keyed = table.filter(~is_null_cell(F.col(name))).select(
         F.col(row).alias("row_id"), F.col(name).alias("name"), F.xxhash64(*[F.coalesce(b.cast("string"), F.lit("\u0000")) for b in block]).alias("block"), fold(F.col(name)).alias("flat")
     ).filter("flat <> ''").select("row_id", "name", "block", F.xxhash64("flat").alias("f"))
+    keyed = durable(keyed)
     reader = NameReader(common_words(keyed), short_forms, other_fields)
-    alike = spellings(keyed)
+    hot = heavy_blocks(keyed, share, local)
+    heavy = keyed.filter(F.col("block").isin(*hot)) if hot else None
+    light = keyed.filter(~F.col("block").isin(*hot)) if hot else keyed
+    columns = ["row_id_a", "row_id_b", "block", "f", "name"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The pairs of the blocks, which come sorted; rows of blocks that are too large pass through with their name."""
+        held: list[pd.DataFrame] = []
+        passing = None
+
+        def finished(whole: pd.DataFrame) -> list[tuple]:
+            b = whole["block"].to_numpy()
+            starts = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1])))
+            ends = np.append(starts[1:], len(b))
+            many = ends - starts > 1
+            f, names, rows = whole["f"].to_numpy(), whole["name"].to_numpy(), whole["row_id"].to_numpy()
+            pairs = []
+            for s, e in zip(starts[many].tolist(), ends[many].tolist(), strict=True):
+                pairs += block_pairs(reader, f[s:e].tolist(), names[s:e].tolist(), rows[s:e].tolist())
+            return pairs
+
+        def through(rows: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"row_id_a": rows["row_id"], "row_id_b": None, "block": rows["block"], "f": rows["f"], "name": rows["name"]})[columns]
+
+        def paired(whole: pd.DataFrame) -> pd.DataFrame:
+            pairs = finished(whole) if len(whole) else []
+            return pd.DataFrame({"row_id_a": [p[0] for p in pairs], "row_id_b": [p[1] for p in pairs], "block": None, "f": None, "name": None}, columns=columns)
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            if passing is not None:
+                same = batch["block"] == passing
+                yield through(batch[same])
+                batch = batch[~same]
+                if not len(batch):
+                    continue
+                passing = None
+            whole = pd.concat([*held, batch], ignore_index=True) if held else batch.reset_index(drop=True)
+            last = whole["block"].iloc[-1]
+            tail = whole["block"] == last
+            sizes = whole.groupby("block")["f"].transform("size")
+            large = (sizes > local) & ~tail
+            yield through(whole[large])
+            yield paired(whole[~large & ~tail].reset_index(drop=True))
+            held = [whole[tail]]
+            if tail.sum() > local:
+                yield through(whole[tail])
+                held, passing = [], last
+        if held:
+            yield paired(held[0].reset_index(drop=True))
+
+    parts = light.repartition(F.col("block")).sortWithinPartitions("block")
+    found = durable(parts.mapInPandas(run, "row_id_a bigint, row_id_b bigint, block bigint, f bigint, name string"))
+    pairs = found.filter("row_id_b is not null").select("row_id_a", "row_id_b")
+    large = found.filter("row_id_b is null").select(F.col("row_id_a").alias("row_id"), "name", "block", "f")
+    if heavy is not None:
+        large = large.unionByName(heavy.select("row_id", "name", "block", "f"))
+    if not large.limit(1).count():
+        return pairs
+    return pairs.unionByName(_large_block_pairs(large, reader, cell_size))
+
+
+def _large_block_pairs(keyed: DataFrame, reader: NameReader, cell_size: int) -> DataFrame:
+    """The same for blocks of any size: distinct spellings, cells by pivots, links, closure, rows."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -350,8 +561,8 @@ def linked_rows(
             batch["own"] = [r.own if r else None for r in read]
             yield batch[batch["own"].notna()]
 
-    parsed = alike.mapInPandas(parse, "block bigint, f bigint, name string, size bigint, own string")
-    pairs = near_pairs(durable(parsed), radius, cell_size)
+    parsed = spellings(keyed).mapInPandas(parse, "block bigint, f bigint, name string, size bigint, own string")
+    pairs = near_pairs(durable(parsed), RADIUS, cell_size)
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -377,10 +588,11 @@ def _with_initials(links: DataFrame, strong: DataFrame) -> DataFrame:
     of_g = strong.select("block", F.col("f").alias("g"), F.col("root").alias("root_g"))
     groups = weak.join(of_f, ["block", "f"], "left").join(of_g, ["block", "g"], "left")
     groups = durable(groups.select("block", "f", F.coalesce("root_f", "f").alias("root"), "g", F.coalesce("root_g", "g").alias("fits")).filter("root <> fits"))
-    sure = groups.groupBy("block", "root").agg(F.count_distinct("fits").alias("n"), F.min("fits").alias("to")).filter("n = 1").select("block", "root", "to")
+    sure = groups.groupBy("block", "root").agg(F.count_distinct("fits").alias("n"), F.min("fits").alias("to")).filter("n = 1").select("block", F.col("root").alias("f_a"), F.col("to").alias("f_b"))
     ends = groups.select("block", "f", "root").unionByName(groups.select("block", F.col("g").alias("f"), F.col("fits").alias("root")))
     labels = strong.unionByName(ends).distinct()
-    # A group of initials may join another one that has joined a third.
-    for _ in range(2):
-        labels = labels.join(sure, ["block", "root"], "left").select("block", "f", F.coalesce("to", "root").alias("root"))
-    return labels
+    # A group of initials may join another one that has joined a third: what they join is closed over in turn.
+    if not sure.limit(1).count():
+        return labels
+    tops = components(sure).select("block", F.col("f").alias("root"), F.col("root").alias("to"))
+    return labels.join(tops, ["block", "root"], "left").select("block", "f", F.coalesce("to", "root").alias("root"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditloom.functions.coerce import to_day
+from auditloom.functions.coerce import day_of
+from auditloom.functions.text import strip
 from auditloom.llm.byte_bpe import ByteBpe, load_ranks
 from auditloom.llm.canonical_map import canonical_codes
 from auditloom.llm.eval_leaks import leaks
@@ -40,9 +41,10 @@ def reference_entries(spark: SparkSession, folder: str, field: str) -> list[tupl
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """(row_id_a, row_id_b) of all rows of messy_sample that belong to one registrant under different spellings."""
     forms = [(r["full_form"], r["short_form"]) for r in table(spark, folder, "name_forms").collect()]
-    day = F.coalesce(to_day(F.col("signup_date")).cast("string"), F.col("signup_date"))
+    day = F.coalesce(day_of(F.col("__day")).cast("string"), F.col("signup_date"))
     others = [reference_entries(spark, folder, field) for field in ("borough", "status")]
-    return linked_rows(table(spark, folder, "messy_sample"), "row_id", "name", [F.col("zip_code"), day], forms, others)
+    sample = table(spark, folder, "messy_sample").withColumn("__day", strip(F.col("signup_date")))
+    return linked_rows(sample, "row_id", "name", [F.col("zip_code"), day], forms, others)
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
