@@ -20,8 +20,7 @@ from pyspark.sql import functions as F
 
 from auditloom.functions.text import column
 
-#: The cut into words, with Unicode white space.
-#: White space by Unicode, as a character class.
+# White space by Unicode, as a character class, and the cut into words with it.
 _SPACE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 PATTERN = rf" ?\p{{L}}++|'(?:s|t|re|ve|m|ll|d)| ?\p{{N}}++| ?[^{_SPACE}\p{{L}}\p{{N}}]++|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -85,6 +84,10 @@ def _with(value: Column, body: Callable[[Column], Column]) -> Column:
 class ByteBpe:
     """Columns that encode and decode by one vocabulary."""
 
+    #: Words of up to so many bytes are folded as a whole, longer ones in sections, with so many pieces on each side of a
+    #: seam folded together: few at first, more should a seam not hold, and the whole word should none hold.
+    WHOLE, SECTION, SEAMS = 192, 96, (3, 24)
+
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.table = LiteralTable(ranks, "int", text_keys=False)
@@ -103,12 +106,60 @@ class ByteBpe:
 
         return F.when(F.size(s) < 2, s).otherwise(_with(self._ranks_of(bound, joined), lowest))
 
+    def _pieces(self, bound: Column, raw: Column) -> Column:
+        """The pieces of some bytes by ranked merges; as many steps as bytes, each over all that is left."""
+        steps = F.sequence(F.lit(1), F.octet_length(raw))
+        return F.aggregate(steps, F.transform(steps, lambda i: F.substring(raw, i, F.lit(1))), lambda s, _: self._merged(bound, s))
+
+    def _long(self, bound: Column, raw: Column, width: int) -> Column:
+        """(settled, open, holds): the pieces of a long word, one list after the other, in time linear in its length.
+
+        Sections of ``SECTION`` bytes are folded by themselves; then, from left to right, the pieces around each seam are
+        folded together. Pieces are the right ones exactly if every two neighbours are what their own bytes fold to, which
+        inside a section they are. So only the neighbours at the seams are looked at; ``holds`` tells whether all are.
+        """
+        starts = F.sequence(F.lit(1), F.octet_length(raw), F.lit(self.SECTION))
+        sections = F.transform(starts, lambda i: self._pieces(bound, F.substring(raw, i, F.lit(self.SECTION))))
+        empty = F.array().cast("array<binary>")
+        joined = lambda ps: F.aggregate(ps, F.lit(b""), lambda s, p: F.concat(s, p))
+
+        def seam(done: Column, section: Column) -> Column:
+            """``done``: (what is settled, the pieces before the seam, whether all seams hold)."""
+            near, rest = F.slice(section, 1, width), F.slice(section, width + 1, self.SECTION)
+            left = done.getField("open")
+            keep = F.greatest(F.size(left) - width, F.lit(0))
+            before, touching = F.slice(left, F.lit(1), keep), F.slice(left, keep + 1, F.lit(width))
+
+            def closed(mended: Column) -> Column:
+                holds = self._neighbours(bound, F.slice(before, -1, 1), F.slice(mended, 1, 1)) & self._neighbours(bound, F.slice(mended, -1, 1), F.slice(rest, 1, 1))
+                return F.struct(
+                    F.concat(done.getField("settled"), before).alias("settled"), F.concat(mended, rest).alias("open"), (done.getField("holds") & holds).alias("holds")
+                )
+
+            before = F.when(F.size(before) > 0, before).otherwise(empty)
+            return _with(self._pieces(bound, joined(F.concat(touching, near))), closed)
+
+        first = F.struct(empty.alias("settled"), empty.alias("open"), F.lit(True).alias("holds"))
+        started = lambda s, p: F.when(F.size(s.getField("open")) == 0, F.struct(s.getField("settled").alias("settled"), p.alias("open"), s.getField("holds").alias("holds"))).otherwise(seam(s, p))
+        return F.aggregate(sections, first, started)
+
+    @staticmethod
+    def _if_holds(otherwise: Column) -> Callable[[Column], Column]:
+        return lambda s: F.when(s.getField("holds"), F.concat(s.getField("settled"), s.getField("open"))).otherwise(otherwise)
+
+    def _neighbours(self, bound: Column, a: Column, b: Column) -> Column:
+        """Whether the last piece of one side and the first one of the other are what their bytes fold to; true at an end."""
+        pair = F.concat(a, b)
+        return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(True)).otherwise(self._pieces(bound, F.concat(F.get(a, F.lit(0)), F.get(b, F.lit(0)))) == pair)
+
     def fold(self, bound: Column, word: Column) -> Column:
         """Ids of one non-empty word by ranked merges of its bytes, given the bound rank table."""
         raw = word.cast("binary")
-        steps = F.sequence(F.lit(1), F.octet_length(raw))
-        bytes_ = F.transform(steps, lambda i: F.substring(raw, i, F.lit(1)))
-        return F.aggregate(steps, bytes_, lambda s, _: self._merged(bound, s), lambda s: self._ranks_of(bound, s))
+        pieces = self._pieces(bound, raw)
+        for width in reversed(self.SEAMS):
+            pieces = _with(self._long(bound, raw, width), self._if_holds(pieces))
+        pieces = F.when(F.octet_length(raw) <= self.WHOLE, self._pieces(bound, raw)).otherwise(pieces)
+        return _with(pieces, lambda s: self._ranks_of(bound, s))
 
     @staticmethod
     def words(text: Column) -> Column:
