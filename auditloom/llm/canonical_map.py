@@ -9,7 +9,7 @@ entry of the longest wins. What has no mention goes to a similarity of word sets
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from itertools import product
 
@@ -68,9 +68,12 @@ def edits(a: str, b: str, most: int) -> int:
     return last[-1]
 
 
-def _grams(text: str) -> set[str]:
-    padded = f"^{text}$"
-    return {padded[i : i + 2] for i in range(len(padded) - 1)}
+def letters(word: str) -> int:
+    """The letters of a word as bits. A letter of one word that the other lacks takes an edit."""
+    bits = 0
+    for ch in word:
+        bits |= 1 << (ord(ch) & 63)
+    return bits
 
 
 class CanonicalList:
@@ -103,18 +106,25 @@ class CanonicalList:
         self.searchable = len(self.automaton) > 0
         if self.searchable:
             self.automaton.make_automaton()
-        self.by_gram: dict[str, list[int]] = defaultdict(list)
-        for k, (_, name, _) in enumerate(self.entries):
-            for g in _grams(name):
-                self.by_gram[g].append(k)
+        #: (name, its letters, wrong letters allowed of the whole and of a run of words) of each entry.
+        self.shapes = [(name, letters(name), self._wrong(name), 1 if len(name) < 9 else 2) for _, name, _ in self.entries]
+        self.own_words = sorted({w for _, _, own in self.entries if len(own) > 1 for w in own})
+        self.word_shapes = [(w, letters(w), self._wrong(w), skeleton(w), SHORT_FORMS.get(w, ())) for w in self.own_words]
+        self.near_words: dict[str, dict[str, float]] = {}
 
     @staticmethod
     def _aliases(words: list[str]) -> set[str]:
+        """Every combination of the words and their short forms. Those of longer names would be too many; such names are
+        matched word by word, where short forms count just as well."""
         if not words or len(words) > 5:
             return set()
         forms = [{w, skeleton(w), *SHORT_FORMS.get(w, ())} for w in words]
         return {"".join(p) for p in product(*forms)} - {""}
 
+    @classmethod
+    def _wrong(cls, name: str) -> int:
+        return max(1, round(cls.WRONG * len(name)))
+
     def _mention(self, text: str) -> str | None:
         """The entry of the longest of the non-overlapping mentions; none if two entries tie for it."""
         if not self.searchable:
@@ -135,47 +145,67 @@ class CanonicalList:
         return hits[0] if len(hits) == 1 else None
 
     def _similar(self, value: str, text: str) -> str | None:
-        shared = Counter(k for g in _grams(text) for k in self.by_gram.get(g, ()))
+        """The entry most similar to the value, of all entries; none if two tie or the best is not similar enough."""
         words = words_of(value)
-        scored: list[tuple[float, str]] = []
-        for k, _ in shared.most_common(4):
-            code, name, own = self.entries[k]
-            most = max(1, round(self.WRONG * len(name)))
-            d = edits(text, name, most)
-            score = 1 - d / len(name) if d <= most else 0.0
-            score = max(score, self._word_set(words, name, own), self._anchored(text, name))
-            scored.append((score, code))
-        scored.sort(reverse=True)
-        if not scored or scored[0][0] < 1 - self.WRONG - 0.09 or (len(scored) > 1 and scored[1][0] == scored[0][0]):
-            return None
-        return scored[0][1]
+        runs = {"".join(words[i:j]) for i in range(len(words)) for j in range(i + 1, min(i + 4, len(words)) + 1)}
+        shapes = [(r, letters(r)) for r in runs]
+        near: dict[str, float] = {}
+        for v in set(words):
+            for w, right in self._near_words(v).items():
+                near[w] = max(near.get(w, 0.0), right)
+        bits = letters(text)
+        best, second, code = 0.0, 0.0, None
+        for (name, mine, most, least), (own_code, _, own) in zip(self.shapes, self.entries, strict=True):
+            score = max(
+                self._share(text, bits, name, mine, most),
+                max((self._share(r, rb, name, mine, least) for r, rb in shapes if abs(len(r) - len(name)) <= least), default=0.0),
+                self._word_set(near, own),
+                self._anchored(text, bits, name, mine),
+            )
+            if score > best:
+                best, second, code = score, best, own_code
+            elif score > second:
+                second = score
+        return None if best < 1 - self.WRONG - 0.09 or second == best else code
 
-    def _word_set(self, words: list[str], name: str, own: list[str]) -> float:
-        """Share of the entry's letters found in the value's words, each entry word against its best run of words."""
-        if not words:
+    @staticmethod
+    def _share(text: str, bits: int, name: str, mine: int, most: int) -> float:
+        """Share of the name's letters that are right, or 0 if more than ``most`` edits part the two."""
+        if abs(len(text) - len(name)) > most or (bits & ~mine).bit_count() > most or (mine & ~bits).bit_count() > most:
             return 0.0
-        runs = {"".join(words[i:j]) for i in range(len(words)) for j in range(i + 1, min(i + 4, len(words)) + 1)}
-        least = 1 if len(name) < 9 else 2
-        whole = min((edits(r, name, least) for r in runs if abs(len(r) - len(name)) <= least), default=least + 1)
-        best = 1 - whole / len(name) if whole <= least else 0.0
-        if len(own) > 1:
-            right = 0.0
-            for w in own:
-                most = max(1, round(self.WRONG * len(w)))
-                d = min((edits(v, w, most) for v in words if abs(len(v) - len(w)) <= most), default=most + 1)
-                if v_short := [v for v in words if v in SHORT_FORMS.get(w, ()) or (len(v) >= 3 and (v == skeleton(w) or w.startswith(v)))]:
-                    right += len(w) * (0.9 if v_short else 0)
-                elif d <= most:
-                    right += len(w) - d
-            if right / sum(map(len, own)) >= self.LEAST:
-                best = max(best, right / sum(map(len, own)))
-        return best
-
-    def _anchored(self, text: str, name: str) -> float:
+        d = edits(text, name, most)
+        return 1 - d / len(name) if d <= most else 0.0
+
+    def _near_words(self, v: str) -> dict[str, float]:
+        """The words of entries that a word of a value may stand for, with the number of letters that are right; kept for
+        the values that follow, as values share their words."""
+        found = self.near_words.get(v)
+        if found is None:
+            bits, found = letters(v), {}
+            for w, mine, most, bare, shorts in self.word_shapes:
+                if v in shorts or (len(v) >= 3 and (v == bare or w.startswith(v))):
+                    found[w] = 0.9 * len(w)
+                elif right := self._share(v, bits, w, mine, most):
+                    found[w] = right * len(w)
+            if len(self.near_words) < 200_000:
+                self.near_words[v] = found
+        return found
+
+    def _word_set(self, near: dict[str, float], own: list[str]) -> float:
+        """Share of the entry's letters found in the value's words, for entries of several words."""
+        if len(own) < 2:
+            return 0.0
+        share = sum(near.get(w, 0.0) for w in own) / sum(map(len, own))
+        return share if share >= self.LEAST else 0.0
+
+    @staticmethod
+    def _anchored(text: str, bits: int, name: str, mine: int) -> float:
         """Similarity with what the text begins or ends with, for values without usable breaks between words."""
         if len(text) <= len(name) or len(name) < 8:
             return 0.0
         most = 1 if len(name) < 10 else 2
+        if (mine & ~bits).bit_count() > most:
+            return 0.0
         d = min(edits(part, name, most) for n in range(len(name) - 1, len(name) + 2) for part in (text[:n], text[-n:]))
         return 1 - d / len(name) if d <= most else 0.0
 
@@ -184,9 +214,8 @@ class CanonicalList:
         text = folded(value)
         if text in self.whole or self._mention(text) or self._shortened(text):
             return True
-        shared = Counter(k for g in _grams(text) for k in self.by_gram.get(g, ()))
-        near = [self.entries[k][1] for k, _ in shared.most_common(2)]
-        return any(edits(text, name, most) <= most for name in near for most in (max(1, round(self.WRONG * len(name))),))
+        bits = letters(text)
+        return any(self._share(text, bits, name, mine, most) for name, mine, most, _ in self.shapes)
 
     def match(self, value: str) -> str | None:
         """Code of the entry that a value means, or None."""

@@ -220,3 +220,69 @@ def test_phrases_that_nobody_listed_are_learnt_at_any_size(spark):
 def test_word_sets_of_values_with_many_words():
     places = CanonicalList([*PLACES, ("SMW", "South Marrow")])
     assert places.match("a b c d e f g h i j k l m Nroth Marorw n o p") == "NMW"
+
+
+def test_every_entry_is_compared():
+    entries = [(f"C{i:03}", f"{a}{b}ville {c}") for i, (a, b, c) in enumerate(itertools.product(("Nor", "Sud", "Wes"), ("ana", "eno", "iru", "olo"), ("Green", "Hill", "Abbey Wood")))]
+    places = CanonicalList(entries)
+    rng = random.Random(8)
+    for code, name in entries:
+        k = rng.randrange(1, len(name) - 1)
+        assert places.match(f"the old place they call {name[:k]}{name[k + 1:]} these days") == code, name
+        assert places.match(name[:k] + "q" + name[k:]) == code
+    long = CanonicalList([("L", "Upper North Saint Orrin Heights Park Gardens"), ("M", "Lower North Saint Orrin Heights Park Gardens")])
+    assert long.match("Upr Nth St Orrin Hts Pk Gdns") == "L"
+
+
+# 7: long words
+@pytest.mark.skipif(not os.path.exists(RANKS), reason="no vocabulary file")
+def test_long_words_equal_the_library(spark):
+    import public_tokenizers
+    import tiktoken
+
+    from auditloom.llm.byte_bpe import ByteBpe, load_ranks
+
+    ranks = load_ranks(RANKS)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(9)
+    texts = ["a" * 6000, "." * 1501, "ß" * 400, "=" * 500 + "-" * 333, "".join(rng.choice("etaoinsrhldcu") for _ in range(32_000)), "日本語" * 200]
+    texts += ["".join(rng.choice("etaoin") for _ in range(rng.randint(150, 500))) for _ in range(20)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: list(r["ids"]) for r in ByteBpe(ranks).encode(df, "doc_id", "text", 100).collect()}
+    assert got == {i: library.encode_ordinary(t) for i, t in enumerate(texts)}
+
+
+# 5: all paths of the linking
+def test_large_blocks_are_linked_like_small_ones(spark):
+    from auditloom.llm.name_variants import components
+
+    rng = random.Random(10)
+    given = ["Robert", "Katherine", "Olga", "James"]
+    surnames = ["".join(rng.choice("bcdfglmnprstv") + rng.choice("aeiou") for _ in range(4)).capitalize() for _ in range(40)]
+
+    def typed(name):
+        k = rng.randrange(len(name) - 1)
+        return rng.choice([name, name[:k] + name[k + 1] + name[k] + name[k + 2 :], name[:k] + name[k + 1 :], name[:k] + "x" + name[k:]])
+
+    rows = [(i, rng.choice([f"{g} {typed(s)}", f"{typed(s)}, {g}", f"{g[0]}. {s}"]), "z") for i, (g, s) in enumerate((rng.choice(given), rng.choice(surnames)) for _ in range(300))]
+    rows += [(1000 + i, f"{g} Surname{chr(97 + k) * 6}", f"z{i}") for i, (k, g) in enumerate(itertools.product(range(8), given))]
+    df = spark.createDataFrame(rows, "row bigint, name string, zip string")
+    small, large, heavy = ({tuple(r) for r in linked_rows(df, "row", "name", [F.col("zip")], FORMS, [PLACES], cell_size=32, local=n, share=s).collect()} for n, s in ((1000, 0.5), (50, 0.95), (50, 0.1)))
+    assert len(small) > 100 and small == large == heavy
+    chain = spark.createDataFrame([(1, i, i + 1) for i in range(100)] + [(2, 5, 9), (2, 9, 7)], "block bigint, f_a bigint, f_b bigint")
+    assert {(r["block"], r["f"]): r["root"] for r in components(chain).collect()} == {(1, i): 0 for i in range(101)} | {(2, k): 5 for k in (5, 7, 9)}
+
+
+def test_distance_is_levenshtein():
+    from auditloom.llm.name_variants import distance
+
+    rng = random.Random(11)
+    for _ in range(2000):
+        a, b = ("".join(rng.choice("abc") for _ in range(rng.randint(0, 9))) for _ in range(2))
+        last = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row = [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+            last = row
+        assert distance(a, b) == last[-1]
