@@ -12,12 +12,14 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.parquet as pq
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from auditloom.functions.coerce import to_float, to_integer
+from auditloom.functions.session import durable
 from auditloom.functions.text import column, fold, is_null_cell
+from auditloom.operators.quantiles import bracketed, quantiles_between, sketch
 
 CHUNKS = (
     "path string, row_group int, rows bigint, load_low bigint, load_high bigint, column_name string, nulls bigint, "
@@ -88,12 +90,6 @@ def _dictionary(source, chunk, largest: int) -> list[str] | None:
     return entries
 
 
-def _all_in_dictionary(entries: list[str], nulls: int, rows: int) -> bool:
-    """One entry, nulls known: the chunk's encodings do not say which pages fell back, but one entry never makes a
-    writer fall back, as the dictionary stays below any page limit."""
-    return len(entries) == 1 and nulls is not None and nulls < rows
-
-
 def chunk_statistics(spark: SparkSession, paths: list[str], load: str, columns: list[str], largest_dictionary: int = 1 << 20) -> DataFrame:
     """One row per column chunk of the files: rows, exact nulls, extrema, the range of ``load`` and dictionary entries.
 
@@ -131,22 +127,24 @@ def chunk_statistics(spark: SparkSession, paths: list[str], load: str, columns:
     return files.mapInArrow(run, CHUNKS)
 
 
-def _answered(chunks: DataFrame) -> DataFrame:
-    """Chunks with a flag ``known``: their value counts follow from footer and dictionary."""
+def _answered(chunks: DataFrame, numeric: list[str]) -> DataFrame:
+    """Chunks with a flag ``known``: their value counts follow from footer and dictionary. A constant of a column whose
+    quantiles are wanted is scanned all the same, so that every number is one row and no weight meets the sketch."""
     one_load = F.col("load_low").isNotNull() & (F.col("load_low") == F.col("load_high"))
     all_null = F.col("nulls") == F.col("rows")
     constant = F.col("nulls").isNotNull() & (F.size("entries") == 1)
-    return chunks.withColumn("known", F.coalesce(one_load & (all_null | constant), F.lit(False)))
+    return chunks.withColumn("known", F.coalesce(one_load & (all_null | constant & ~F.col("column_name").isin(*numeric)), F.lit(False)))
 
 
-def cells_by_load(spark: SparkSession, table: DataFrame, load: str, columns: list[str]) -> DataFrame:
+def cells_by_load(spark: SparkSession, table: DataFrame, load: str, columns: list[str], numeric: list[str]) -> DataFrame:
     """(load, column_name, value, cnt): the text cells of a Parquet table, cnt of them alike; nulls are a value.
 
     Cells of files whose every chunk of a column is answered by footer and dictionary come from there, one row for each
     (file, load, column, value); the other files are scanned for the columns they still need, in at most 2^len(columns)
-    groups of equal need, and give one row a cell. No shuffle but that of the footers' few rows.
+    groups of equal need, and give one row a cell; so do all numbers of the ``numeric`` columns. No shuffle but that of
+    the footers' few rows.
     """
-    answered, scans = _plan(spark, table, load, columns)
+    answered, scans = _plan(spark, table, load, columns, numeric)
     parts = [] if answered is None else [answered]
     for part, wanted in scans:
         cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), column(c).alias("value")) for c in wanted]))
@@ -157,12 +155,12 @@ def cells_by_load(spark: SparkSession, table: DataFrame, load: str, columns: lis
     return out
 
 
-def _plan(spark: SparkSession, table: DataFrame, load: str, columns: list[str]) -> tuple[DataFrame | None, list[tuple[DataFrame, list[str]]]]:
+def _plan(spark: SparkSession, table: DataFrame, load: str, columns: list[str], numeric: list[str]) -> tuple[DataFrame | None, list[tuple[DataFrame, list[str]]]]:
     """(value counts known without a scan or None, [(files to scan as a table, columns needed of them)])."""
     paths = table.inputFiles()
     if not paths:
         return None, [(table, columns)]
-    chunks = _answered(chunk_statistics(spark, paths, load, columns))
+    chunks = _answered(chunk_statistics(spark, paths, load, columns), numeric)
     # Per file and column: may the data pages stay unread? One small row for each file reaches the driver.
     needs: dict[tuple[str, ...], list[str]] = {}
     verdicts = chunks.groupBy("path").agg(F.sort_array(F.collect_set(F.when(~F.col("known"), F.col("column_name")))).alias("need")).collect()
@@ -188,83 +186,6 @@ def _plan(spark: SparkSession, table: DataFrame, load: str, columns: list[str])
     return counts.groupBy("load", "column_name", "x.value").agg(F.sum("x.cnt").alias("cnt")), scans
 
 
-#: Half widths of the brackets offered, in units of the sketch's rank error; a group takes the narrowest that spans
-#: three ranks, and all of its values where none does (fewer than 3 * accuracy / 200 of them).
-_HALF_WIDTHS = (2, 20, 200)
-
-
-def sketch(value: Column, probabilities: list[float], accuracy: int) -> list[Column]:
-    """Aggregates n, lowest, highest and ladder: values at ranks around each probability, by a mergeable sketch."""
-    ranks = [min(max(p + sign * width / accuracy, 0.0), 1.0) for p in probabilities for width in _HALF_WIDTHS for sign in (-1, 1)]
-    ladder = F.percentile_approx(value, F.array(*[F.lit(r) for r in ranks]), F.lit(accuracy))
-    return [F.count(value).alias("n"), F.min(value).alias("lowest"), F.max(value).alias("highest"), ladder.alias("ladder")]
-
-
-def bracketed(sketched: DataFrame, probabilities: list[float], accuracy: int) -> DataFrame:
-    """Adds ``ends``: for each probability the two values between which its rank lies."""
-    ends = []
-    for i in range(len(probabilities)):
-        for side, widest in ((1, "lowest"), (2, "highest")):
-            end = F.col(widest)
-            for j, width in reversed(list(enumerate(_HALF_WIDTHS))):
-                at = (i * len(_HALF_WIDTHS) + j) * 2 + side
-                end = F.when(F.col("n") * width / accuracy >= 3, F.element_at("ladder", at)).otherwise(end)
-            ends.append(end)
-    return sketched.withColumn("ends", F.array(*ends)).drop("ladder", "lowest", "highest")
-
-
-def quantiles_between(rows: DataFrame, group: list[str], brackets: DataFrame, probabilities: list[float]) -> DataFrame:
-    """Exact, linearly interpolated quantiles of ``v`` (weight ``cnt``) per group, given the group's ``n`` and ``ends``.
-
-    What lies below a bracket is only counted; the values inside one (4/accuracy of a large group for each
-    probability) are counted one by one, and the neighbours of each rank are read off their running sum. No group is gathered whole.
-    A bracket that misses its rank raises; the sketch's error bound rules that out.
-    Columns: the group, then ``q``, an array in the order of ``probabilities``.
-    """
-    near = rows.join(brackets.select(*group, "ends"), group)
-    inside, below = [], []
-    for i in range(len(probabilities)):
-        low, high = F.element_at("ends", 2 * i + 1), F.element_at("ends", 2 * i + 2)
-        inside.append((F.col("v") >= low) & (F.col("v") <= high))
-        below.append(F.sum(F.when(F.col("v") < low, F.col("cnt")).otherwise(0)).alias(f"below{i}"))
-    any_inside = inside[0]
-    for x in inside[1:]:
-        any_inside = any_inside | x
-    counted = near.groupBy(*group).agg(*below)
-    values = near.filter(any_inside).groupBy(*group, "v").agg(F.sum("cnt").alias("w"))
-    frame = values.join(brackets.select(*group, "n", "ends"), group).join(counted, group)
-    running = Window.partitionBy(*group, "i").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    each = F.explode(F.array(*[
-        F.struct(F.lit(i).alias("i"), F.lit(p).alias("p"), F.col(f"below{i}").alias("below"), F.element_at("ends", 2 * i + 1).alias("low"), F.element_at("ends", 2 * i + 2).alias("high"))
-        for i, p in enumerate(probabilities)
-    ]))
-    ranked = (
-        frame.select(*group, "v", "w", "n", each.alias("b"))
-        .filter((F.col("v") >= F.col("b.low")) & (F.col("v") <= F.col("b.high")))
-        .select(*group, F.col("b.i").alias("i"), "v", "w", "n", F.col("b.p").alias("p"), F.col("b.below").alias("below"))
-        .withColumn("upto", F.col("below") + F.sum("w").over(running))
-    )
-    at = F.col("p") * (F.col("n") - 1)
-    low, high, before = F.floor(at), F.ceil(at), F.col("upto") - F.col("w")
-    picked = ranked.groupBy(*group, "i").agg(
-        F.max(F.when((low >= before) & (low < F.col("upto")), F.col("v"))).alias("a"),
-        F.max(F.when((high >= before) & (high < F.col("upto")), F.col("v"))).alias("b"),
-        F.max(at - low).alias("f"),
-    )
-    value = F.when(F.col("a").isNull() | F.col("b").isNull(), F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double")).when(
-        F.col("f") == 0, F.col("a")
-    ).otherwise(F.col("a") + (F.col("b") - F.col("a")) * F.col("f"))
-    sorted_q = F.transform(F.sort_array(F.collect_list(F.struct("i", value.alias("q")))), lambda x: x["q"])
-    return picked.groupBy(*group).agg(sorted_q.alias("q"))
-
-
-def exact_quantiles(df: DataFrame, group: list[str], value: str, probabilities: list[float], accuracy: int = 20_000) -> DataFrame:
-    """Exact quantiles of a column per group: (group..., n, q). Nulls are left out; a group without values is absent."""
-    rows = df.filter(column(value).isNotNull()).select(*[column(g) for g in group], column(value).cast("double").alias("v"), F.lit(1).cast("bigint").alias("cnt"))
-    brackets = bracketed(rows.groupBy(*group).agg(*sketch(F.col("v"), probabilities, accuracy)), probabilities, accuracy)
-    return quantiles_between(rows, group, brackets, probabilities).join(brackets.select(*group, "n"), group)
-
-
 def load_profile(spark: SparkSession, table: DataFrame, load: str, columns: list[str], numeric: dict[str, str], patterns: dict[str, str]) -> DataFrame:
     """The profile of every load and column: (load, column_name, rows, null_rate, distinct_values, low, high, lowest,
     highest, misshapen, top_value, top_share).
@@ -275,7 +196,7 @@ def load_profile(spark: SparkSession, table: DataFrame, load: str, columns: list
     these and the shares are of cells that are no null cells, and null where a load has none. Null loads are left out.
     """
     value, cnt, name = F.col("value"), F.col("cnt"), F.col("column_name")
-    counts = cells_by_load(spark, table, load, columns).filter(F.col("load").isNotNull()).groupBy("load", "column_name", "value").agg(F.sum("cnt").alias("cnt"))
+    counts = cells_by_load(spark, table, load, columns, []).filter(F.col("load").isNotNull()).groupBy("load", "column_name", "value").agg(F.sum("cnt").alias("cnt"))
     number = F.lit(None).cast("double")
     for c, kind in numeric.items():
         number = F.when(name == c, (to_integer if kind == "integer" else to_float)(value).cast("double")).otherwise(number)
@@ -322,7 +243,7 @@ def load_changes(
     compared; null rates always are. Ties, repeated rows and extra columns have no influence; an empty table gives none.
     """
     columns = list(dict.fromkeys([*numeric, *patterns, *shares]))
-    cells = cells_by_load(spark, table, load, columns).filter(F.col("load").isNotNull())
+    cells = cells_by_load(spark, table, load, columns, list(numeric)).filter(F.col("load").isNotNull())
     name, value, cnt = F.col("column_name"), F.col("value"), F.col("cnt")
     v = F.lit(None).cast("double")
     for c, (kind, _) in numeric.items():
@@ -332,17 +253,16 @@ def load_changes(
         off = F.when(name == c, ~value.rlike(pattern)).otherwise(off)
     missing = is_null_cell(value)
     given = cells.select("load", "column_name", "cnt", missing.alias("missing"), F.when(~missing, v).alias("v"), (~missing & off).alias("off"))
-    # One row for each cell of a weight, so that the sketch ranks rows; scanned cells have weight one already.
-    unit = given.withColumn("one", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("cnt"))))
     probabilities = [0.05, 0.5, 0.95]
-    profile = unit.groupBy("load", "column_name").agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count_if("missing").alias("missing"),
-        F.count_if("off").alias("off"),
+    profile = given.groupBy("load", "column_name").agg(
+        F.sum("cnt").alias("rows"),
+        F.coalesce(F.sum(F.when(F.col("missing"), F.col("cnt"))), F.lit(0)).alias("missing"),
+        F.coalesce(F.sum(F.when(F.col("off"), F.col("cnt"))), F.lit(0)).alias("off"),
         *sketch(F.col("v"), probabilities, accuracy),
     )
-    profile = bracketed(profile, probabilities, accuracy)
-    numbers = given.filter(name.isin(*numeric) & F.col("v").isNotNull()).select("load", "column_name", "v", "cnt")
+    # One row for each load and column; written, since all that follows reads it.
+    profile = durable(bracketed(profile, probabilities, accuracy))
+    numbers = given.filter(name.isin(*numeric) & F.col("v").isNotNull()).select("load", "column_name", "v")
     quantiles = quantiles_between(numbers, ["load", "column_name"], profile.filter(F.col("n") > 0), probabilities)
     loads = profile.select("load").distinct()
     # The profile is small: one row for each load and column. The order of loads is taken over it, column by column.

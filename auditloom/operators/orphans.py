@@ -27,20 +27,27 @@ def orphan_kind(at: Column, spans: Column, first: Column) -> Column:
     return F.when(spans.isNull(), F.lit("missing")).when(covered, F.lit(None)).when(at < first, F.lit("late")).otherwise(F.lit("deleted"))
 
 
-def key_weights(references: DataFrame) -> DataFrame:
-    """(key, period, refs) of references (key, at, row_key): counts per key and month, combined on the map side."""
-    period = F.date_format("at", "yyyy-MM")
-    return references.groupBy("key", period.alias("period")).agg(F.count(F.lit(1)).alias("refs"))
+def by_period(references: DataFrame) -> DataFrame:
+    """(key, load_month, refs, first_at, last_at) of references (key, at, row_key), combined on the map side."""
+    month = F.date_format("at", "yyyy-MM").alias("load_month")
+    return references.groupBy("key", month).agg(F.count(F.lit(1)).alias("refs"), F.min("at").alias("first_at"), F.max("at").alias("last_at"))
 
 
-def heavy_keys(references: DataFrame, share: float) -> list:
+def heavy_keys(periods: DataFrame, share: float) -> list:
     """Keys that take more than a share of all references: fewer than 1/share of them, whatever the table's size."""
-    weights = key_weights(references).groupBy("key").agg(F.sum("refs").alias("refs"))
+    weights = periods.groupBy("key").agg(F.sum("refs").alias("refs"))
     total = weights.agg(F.sum("refs").alias("total"))
     found = weights.join(F.broadcast(total), F.col("refs") > share * F.col("total")).select("key").limit(int(1 / share) + 1)
     return [r["key"] for r in found.collect()]
 
 
+def _split(df: DataFrame, hot: list) -> tuple[DataFrame | None, DataFrame]:
+    """(rows of the heavy keys or None, the others)."""
+    if not hot:
+        return None, df
+    return df.filter(F.col("key").isin(*hot)), df.filter(~F.col("key").isin(*hot))
+
+
 def orphans(references: DataFrame, spans: DataFrame, share: float = 0.002) -> DataFrame:
     """(row_key, load_month, orphan_kind) of the references (key, at, row_key) that no span of their key covers.
 
@@ -48,14 +55,11 @@ def orphans(references: DataFrame, spans: DataFrame, share: float = 0.002) -> Da
     broadcast of just their spans; all others are joined by a shuffle on the key, where no key can be hot any more.
     """
     live = references.filter(F.col("key").isNotNull())
-    hot = heavy_keys(live, share)
-    light, heavy = live, None
-    if hot:
-        is_hot = F.col("key").isin(*hot)
-        light, heavy = live.filter(~is_hot), live.filter(is_hot).join(F.broadcast(spans.filter(is_hot)), "key", "left")
+    hot = heavy_keys(by_period(live), share)
+    heavy, light = _split(live, hot)
     joined = light.join(spans, "key", "left")
     if heavy is not None:
-        joined = joined.unionByName(heavy)
+        joined = joined.unionByName(heavy.join(F.broadcast(_split(spans, hot)[0]), "key", "left"))
     kind = orphan_kind(F.col("at"), F.col("spans"), F.col("first"))
     return (
         joined.select("row_key", F.date_format("at", "yyyy-MM").alias("load_month"), kind.alias("orphan_kind"))
@@ -63,6 +67,28 @@ def orphans(references: DataFrame, spans: DataFrame, share: float = 0.002) -> Da
     )
 
 
-def orphan_counts(found: DataFrame) -> DataFrame:
-    """Orphans per table, month and kind."""
-    return found.groupBy("table_name", "load_month", "orphan_kind").agg(F.count(F.lit(1)).alias("orphans"))
+def orphan_counts(references: DataFrame, spans: DataFrame, share: float = 0.002) -> DataFrame:
+    """(load_month, orphan_kind, orphans) of the references (key, at, row_key), from counts per key and month.
+
+    The counts of the heavy keys meet a broadcast of their spans; of the others, those without a key come from an anti
+    join by shuffle, the rest from a join. A month in which no span of its key begins or ends is decided as a whole;
+    only the references of the other months are looked at one by one. Null keys are no references.
+    """
+    live = references.filter(F.col("key").isNotNull())
+    periods = by_period(live)
+    hot = heavy_keys(periods, share)
+    heavy, light = _split(periods, hot)
+    missing = light.join(spans, "key", "left_anti").select("load_month", F.lit("missing").alias("orphan_kind"), "refs")
+    known = light.join(spans, "key")
+    if heavy is not None:
+        looked_up = heavy.join(F.broadcast(_split(spans, hot)[0]), "key", "left")
+        missing = missing.unionByName(looked_up.filter(F.col("spans").isNull()).select("load_month", F.lit("missing").alias("orphan_kind"), "refs"))
+        known = known.unionByName(looked_up.filter(F.col("spans").isNotNull()))
+    turn = lambda at: at.isNotNull() & (F.col("first_at") < at) & (at <= F.col("last_at"))
+    turns = F.coalesce(F.exists("spans", lambda s: turn(s["start"]) | turn(s["end"])), F.lit(False))
+    whole = known.filter(~turns).select("load_month", orphan_kind(F.col("first_at"), F.col("spans"), F.col("first")).alias("orphan_kind"), "refs").filter("orphan_kind is not null")
+    mixed = known.filter(turns).select("key", "load_month")
+    rows = live.withColumn("load_month", F.date_format("at", "yyyy-MM")).join(mixed, ["key", "load_month"], "left_semi").drop("load_month")
+    singles = orphans(rows, spans, share).select("load_month", "orphan_kind", F.lit(1).cast("bigint").alias("refs"))
+    every = missing.unionByName(whole).unionByName(singles)
+    return every.groupBy("load_month", "orphan_kind").agg(F.sum("refs").alias("orphans"))

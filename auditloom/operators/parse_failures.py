@@ -31,6 +31,9 @@ _BREAK = re.compile(r"\r\n|\n|\r")
 _SIMPLE = re.compile(r'[^"\r\n]*\Z')
 
 
+_UNENDED = "a closing quote for the field that starts"
+
+
 class Violation(Exception):
     """The grammar is broken at an offset."""
 
@@ -56,16 +59,21 @@ class RecordGrammar:
     def __init__(self, width: int, key_pattern: str = r"\s*[0-9]+\s*"):
         self.width = width
         self.key = re.compile(key_pattern)
+        #: Where quoted fields without an end begin in the text at hand, so that none is read to the end twice.
+        self.endless: set[int] = set()
 
     def _quoted(self, text: str, at: int) -> tuple[str, int]:
         parts, start = [], at
+        if start in self.endless:
+            raise Violation(start, _UNENDED)
         at += 1
         while True:
             run = _QUOTED_RUN.match(text, at)
             parts.append(run.group())
             at = run.end()
             if at >= len(text):
-                raise Violation(start, "a closing quote for the field that starts")
+                self.endless.add(start)
+                raise Violation(start, _UNENDED)
             if text.startswith('""', at):
                 parts.append('"')
                 at += 2
@@ -109,6 +117,7 @@ class RecordGrammar:
     def parse(self, text: str | None) -> list[Parsed]:
         """Records and errors in order. Null reads as one empty record; one trailing line break ends the last record."""
         text = text or ""
+        self.endless.clear()
         found, at = [], 0
         while True:
             try:
@@ -188,3 +197,24 @@ def split_rows(df: DataFrame, types: dict[str, str]) -> tuple[DataFrame, DataFra
     typed = {n: F.when(~is_null_cell(column(n)), _READERS[k](strip(column(n)))) for n, k in types.items()}
     good = judged.filter(F.size(_REASONS) == 0).select(*[typed[c].alias(c) if c in types else column(c) for c in df.columns])
     return good, judged.filter(F.size(_REASONS) > 0)
+
+
+def load_records(df: DataFrame, text: str, keep: list[str], names: list[str], types: dict[str, str], key_pattern: str = r"\s*[0-9]+\s*") -> tuple[DataFrame, DataFrame]:
+    """Load texts of delimited records: (records that load, records that do not).
+
+    The first has the ``keep`` columns and ``names``, with the cells of ``types`` (integer, float or day) typed and null
+    cells as null. The second has ``keep``, ``reasons`` (``quoting``, ``columns`` or the names of the failing cells),
+    start_offset, end_offset, error_offset and expected. Every record is in one of the two. A kept column that is named
+    like one of these comes out as parse_records has it. Null and empty texts are one record of one field.
+    """
+    parsed = parse_records(df, text, keep, len(names), key_pattern)
+    kept = [f"kept_{k}" if k in _RECORD_COLUMNS else k for k in keep]
+    cells = {f"__field{i}": n for i, n in enumerate(names)}
+    wide = parsed.withColumns({c: F.get("fields", F.lit(i)) for i, c in enumerate(cells)})
+    judged = with_failures(wide, {c: types[n] for c, n in cells.items() if n in types})
+    failing = F.transform(F.col(_REASONS), lambda c: F.element_at(F.create_map(*[F.lit(x) for pair in cells.items() for x in pair]), c))
+    good = judged.filter(F.col("reason").isNull() & (F.size(_REASONS) == 0))
+    typed = [F.when(~is_null_cell(F.col(c)), _READERS[types[n]](strip(F.col(c)))).alias(n) if n in types else F.col(c).alias(n) for c, n in cells.items()]
+    bad = judged.filter(F.col("reason").isNotNull() | (F.size(_REASONS) > 0))
+    reasons = F.when(F.col("reason").isNotNull(), F.array("reason")).otherwise(failing)
+    return good.select(*[column(k) for k in kept], *typed), bad.select(*[column(k) for k in kept], reasons.alias("reasons"), "start_offset", "end_offset", "error_offset", "expected")

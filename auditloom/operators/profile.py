@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from auditloom.functions.text import column
 from auditloom.operators.frequency import value_frequencies
+from auditloom.operators.quantiles import column_quartiles
 
 TOP_VALUES, SAMPLES, OUTLIER_DISTINCT, IQR_FACTOR = 10, 5, 10, 1.5
 
@@ -46,7 +47,7 @@ class TableProfile:
 
 
 def wide_statistics(df: DataFrame, types: dict[str, str]) -> DataFrame:
-    """One row: rows, and for column i n_i, lo_i, hi_i, mean_i, q_i, as far as its type has them."""
+    """One row: rows, and for column i n_i, lo_i, hi_i, mean_i, as far as its type has them."""
     parts = [F.count(F.lit(1)).alias("rows")]
     for i, (name, kind) in enumerate(types.items()):
         c = column(name)
@@ -55,7 +56,7 @@ def wide_statistics(df: DataFrame, types: dict[str, str]) -> DataFrame:
         parts.append(F.count(c).alias(f"n_{i}"))
         if kind in ("integer", "float"):
             d = c.cast("double")
-            parts += [F.min(d).alias(f"lo_{i}"), F.max(d).alias(f"hi_{i}"), F.avg(d).alias(f"mean_{i}"), F.percentile(d, F.array(F.lit(0.25), F.lit(0.75))).alias(f"q_{i}")]
+            parts += [F.min(d).alias(f"lo_{i}"), F.max(d).alias(f"hi_{i}"), F.avg(d).alias(f"mean_{i}")]
         elif kind == "datetime":
             parts += [F.min(c).cast("string").alias(f"lo_{i}"), F.max(c).cast("string").alias(f"hi_{i}")]
     return df.agg(*parts)
@@ -72,7 +73,7 @@ def top_values(frequencies: DataFrame, most: int = TOP_VALUES) -> DataFrame:
 
 
 def profile_table(df: DataFrame, types: dict[str, str], frequencies: DataFrame | None = None) -> TableProfile:
-    """Profile of the typed columns; three small jobs, whatever the number of columns. Empty tables profile as zeros."""
+    """Profile of the typed columns; a few small jobs, whatever the number of columns. Empty tables profile as zeros."""
     vf = value_frequencies(df, list(types)) if frequencies is None else frequencies
     stats = wide_statistics(df, types).first()
     order = Window.partitionBy("column").orderBy("first_row", "value")
@@ -84,14 +85,14 @@ def profile_table(df: DataFrame, types: dict[str, str], frequencies: DataFrame |
     for r in top_values(vf.filter(F.col("column").isin(*categorical)) if categorical else vf.limit(0)).collect():
         tops.setdefault(r["column"], []).append((r["rank"], r["value"], r["cnt"]))
     distinct = {r["column"]: r["distinct"] for r in distinct_counts(vf).collect()}
+    quartiles = {r["column"]: (r["q1"], r["q3"]) for r in column_quartiles(df, [n for n, k in types.items() if k in ("integer", "float")]).collect()}
     rows = stats["rows"]
     columns = {}
     for i, (name, kind) in enumerate(types.items()):
         given, d = stats[f"n_{i}"], distinct.get(name, 0)
         p = ColumnProfile(name, kind, rows - given, (rows - given) / rows if rows else 0.0, d, d / given if given else 0.0)
         if kind in ("integer", "float"):
-            q = stats[f"q_{i}"]
-            p.low, p.high, p.mean, p.quartiles = stats[f"lo_{i}"], stats[f"hi_{i}"], stats[f"mean_{i}"], tuple(q) if q else None
+            p.low, p.high, p.mean, p.quartiles = stats[f"lo_{i}"], stats[f"hi_{i}"], stats[f"mean_{i}"], quartiles.get(name)
         elif kind == "datetime":
             p.low, p.high = stats[f"lo_{i}"], stats[f"hi_{i}"]
         p.top = [(v, n) for _, v, n in sorted(tops.get(name, []))]

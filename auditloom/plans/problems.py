@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from auditloom.functions.text import NULL_SPELLINGS, is_null_cell, strip
 from auditloom.operators.load_profile import load_changes, load_profile
 from auditloom.operators.orphans import life_spans, orphan_counts, orphans
-from auditloom.operators.parse_failures import parse_records, with_failures
+from auditloom.operators.parse_failures import load_records, parse_records, with_failures
 
 RECORD = ("id", "name", "age", "borough", "signup_date", "close_date", "status", "score", "borough_code", "zip_code")
 TYPES = {"age": "integer", "score": "float", "signup_date": "day"}
@@ -53,7 +53,8 @@ def p2_profile(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumnRenamed("load", "load_id")
 
 
-def _p4(spark: SparkSession, folder: str) -> DataFrame:
+def _references(spark: SparkSession, folder: str) -> dict[str, tuple[DataFrame, DataFrame]]:
+    """References (key, at, row_key) and the life spans of their keys, by table."""
     sample = table(spark, folder, "messy_sample")
     codes = table(spark, folder, "borough_reference").select(F.col("code").alias("key"), F.col("created_at").alias("start"), F.col("deleted_at").alias("end"))
     by_code = sample.filter(~is_null_cell(F.col("borough_code"))).select(
@@ -62,22 +63,34 @@ def _p4(spark: SparkSession, folder: str) -> DataFrame:
     first_seen = sample.filter(F.col("id").isNotNull()).groupBy(F.col("id").alias("key")).agg(F.min("loaded_at").alias("start"))
     people = first_seen.select("key", F.array(F.struct("start", F.lit(None).cast("timestamp_ntz").alias("end"))).alias("spans"), F.col("start").alias("first"))
     by_id = table(spark, folder, "emails").select(F.col("id").alias("key"), F.col("loaded_at").alias("at"), F.col("email_id").alias("row_key"))
-    a = orphans(by_code, life_spans(codes)).withColumn("table_name", F.lit("messy_sample"))
-    b = orphans(by_id, people).withColumn("table_name", F.lit("emails"))
-    return a.unionByName(b)
+    return {"messy_sample": (by_code, life_spans(codes)), "emails": (by_id, people)}
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """(table_name, load_month, row_key, orphan_kind) of every reference to a record that does not exist at its time."""
-    return _p4(spark, folder).select("table_name", "load_month", "row_key", "orphan_kind")
+    a, b = [orphans(refs, spans).withColumn("table_name", F.lit(name)) for name, (refs, spans) in _references(spark, folder).items()]
+    return a.unionByName(b).select("table_name", "load_month", "row_key", "orphan_kind")
 
 
 def p4_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """Orphans per table, month and kind."""
-    return orphan_counts(_p4(spark, folder))
+    """Orphans per table, month and kind, from counts per key and month."""
+    a, b = [orphan_counts(refs, spans).withColumn("table_name", F.lit(name)) for name, (refs, spans) in _references(spark, folder).items()]
+    return a.unionByName(b).select("table_name", "load_month", "orphan_kind", "orphans")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_profile": p2_profile, "p4_found": p4_found, "p4_counts": p4_counts}
+def load_valid_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """(line_id, id, age, score, signup_date) of the lines of messy_lines that load, with the typed cells."""
+    good, _ = load_records(table(spark, folder, "messy_lines"), "raw_line", ["line_id"], list(RECORD), TYPES)
+    return good.select("line_id", "id", F.col("age").cast("string").alias("age"), "score", F.col("signup_date").cast("string").alias("signup_date"))
+
+
+def load_rejects(spark: SparkSession, folder: str) -> DataFrame:
+    """(line_id, reason, error_offset) of every record of messy_lines that does not load; the offset of a syntax error."""
+    _, bad = load_records(table(spark, folder, "messy_lines"), "raw_line", ["line_id"], list(RECORD), TYPES)
+    return bad.select("line_id", F.explode("reasons").alias("reason"), "error_offset")
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_profile": p2_profile, "p4_found": p4_found, "p4_counts": p4_counts, "load_valid_lines": load_valid_lines, "load_rejects": load_rejects}
 
 # The same in SQL, for a check by another engine.
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)"
@@ -175,3 +188,9 @@ SQL["p2_profile"] = f"""
         min(v) FILTER (WHERE value IS NOT NULL) AS lowest, max(v) FILTER (WHERE value IS NOT NULL) AS highest, avg(off::INT) FILTER (WHERE value IS NOT NULL) AS misshapen,
         any_value(top_value) AS top_value, any_value(top_share) AS top_share
     FROM cells c LEFT JOIN tops t ON t.load_id = c.load_id AND t.column_name = c.column_name WHERE c.load_id IS NOT NULL GROUP BY c.load_id, c.column_name"""
+
+_TEXTS = f"(SELECT line_id, {', '.join(f"CASE WHEN cells[{RECORD.index(n) + 1}] LIKE '\"%' THEN replace(cells[{RECORD.index(n) + 1}][2:-2], '\"\"', '\"') ELSE cells[{RECORD.index(n) + 1}] END AS {n}" for n in ('id', *TYPES))} FROM {_LINES} WHERE whole AND len(cells) = 10)"
+_FITS = " AND ".join(f"({_null_cell(n)} OR NOT ({bad}))" for n, bad in _BAD.items())
+SQL["load_valid_lines"] = f"""
+    SELECT line_id, id, CASE WHEN NOT {_null_cell('age')} THEN CAST(CAST({_integer('age')} AS BIGINT) AS VARCHAR) END AS age, CASE WHEN NOT {_null_cell('score')} THEN {_SCORE} END AS score,
+        CASE WHEN NOT {_null_cell('signup_date')} THEN strftime({_day('signup_date')}, '%Y-%m-%d') END AS signup_date FROM {_TEXTS} WHERE {_FITS}"""

@@ -7,9 +7,10 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from auditloom.operators.load_profile import cells_by_load, chunk_statistics, exact_quantiles, load_changes, load_profile
-from auditloom.operators.orphans import life_spans, orphans
-from auditloom.operators.parse_failures import RecordGrammar, parse_records, split_rows
+from auditloom.operators.load_profile import cells_by_load, chunk_statistics, load_changes, load_profile
+from auditloom.operators.orphans import life_spans, orphan_counts, orphans
+from auditloom.operators.parse_failures import RecordGrammar, load_records, parse_records, split_rows
+from auditloom.operators.quantiles import column_quartiles, exact_quantiles
 
 
 def kinds(text, width=3):
@@ -80,7 +81,7 @@ def test_footers_answer_what_they_can(spark, tmp_path):
     stats = {(r["path"][-9:], r["column_name"]): r for r in chunk_statistics(spark, df.inputFiles(), "load", ["v", "w"]).collect()}
     assert stats["a.parquet", "v"]["entries"] == ["x"] and stats["a.parquet", "v"]["nulls"] == 10
     assert sorted(stats["b.parquet", "v"]["entries"]) == ["x", "y"]
-    cells = cells_by_load(spark, df, "load", ["v", "w"])
+    cells = cells_by_load(spark, df, "load", ["v", "w"], [])
     got = {(r["load"], r["column_name"], r["value"]): r["n"] for r in cells.groupBy("load", "column_name", "value").agg(F.sum("cnt").alias("n")).collect()}
     assert got[1, "v", "x"] == 40 and got[1, "v", None] == 10 and got[1, "w", None] == 50
     assert got[2, "v", "x"] == 25 and got[3, "v", "y"] == 20
@@ -119,3 +120,61 @@ def test_load_profile(spark, tmp_path):
     spark.createDataFrame(rows, "load bigint, age string").write.parquet(path)
     (r,) = load_profile(spark, spark.read.parquet(path), "load", ["age"], {"age": "integer"}, {}).collect()
     assert tuple(r) == (1, "age", 5, 0.2, 3, "40", "x", 5.0, 40.0, None, "5", 0.5)
+
+
+def test_a_billion_rows_by_footer_alone(spark, tmp_path):
+    """Files of one load and no value each: their counts are sums, however many rows they stand for."""
+    path = tmp_path / "f"
+    path.mkdir()
+    for k in range(6):
+        n = 200_000
+        pq.write_table(pa.table({"load": pa.array([k % 2 + 1] * n, pa.int64()), "v": pa.nulls(n, pa.string()), "s": pa.array(["a"] * n)}), path / f"{k}.parquet")
+    df = spark.read.parquet(str(path))
+    cells = cells_by_load(spark, df, "load", ["v", "s"], ["v"])
+    assert sorted((r["load"], r["column_name"], r["cnt"]) for r in cells.collect()) == [(1, "s", 600_000), (1, "v", 600_000), (2, "s", 600_000), (2, "v", 600_000)]
+    assert load_changes(spark, df, "load", {"v": ("integer", 1.0)}, {}, {"s": "written"}).count() == 0
+
+
+def test_numbers_are_scanned_where_others_come_from_the_footer(spark, tmp_path):
+    path = tmp_path / "g"
+    path.mkdir()
+    pq.write_table(pa.table({"load": pa.array([1] * 100, pa.int64()), "v": ["5"] * 100}), path / "a.parquet")
+    pq.write_table(pa.table({"load": pa.array([2] * 100, pa.int64()), "v": ["5"] * 30 + ["9"] * 70}), path / "b.parquet")
+    found = load_changes(spark, spark.read.parquet(str(path)), "load", {"v": ("integer", 3.0)}, {}, {})
+    assert sorted((r["load"], r["changed"]) for r in found.collect()) == [(2, "median"), (2, "spread")]
+
+
+def test_column_quartiles(spark):
+    df = spark.createDataFrame([(float(i), float("nan") if i % 2 else 1.0, None) for i in range(1, 102)], "a double, b double, c double")
+    got = {r["column"]: tuple(r)[1:] for r in column_quartiles(df, ["a", "b", "c"]).collect()}
+    assert got == {"a": (26.0, 76.0, 101), "b": (1.0, 1.0, 50)}
+    assert column_quartiles(df.limit(0), ["a"]).count() == 0 and column_quartiles(df, []).count() == 0
+
+
+def test_orphan_counts_agree_with_the_rows(spark):
+    at = lambda m, d: dt.datetime(2023, m, d)
+    keys = spark.createDataFrame([("A", at(1, 10), at(3, 5)), ("A", at(4, 8), None), ("B", None, at(2, 1)), ("D", at(9, 1), None)], "key string, start timestamp_ntz, end timestamp_ntz")
+    refs = [(k, at(m, d), i) for i, (k, m, d) in enumerate((k, m, d) for k in "ABCD" for m in range(1, 7) for d in (1, 5, 9, 20))] + [("A", None, 900), ("C", None, 901), (None, at(1, 1), 902)]
+    df = spark.createDataFrame(refs, "key string, at timestamp_ntz, row_key bigint")
+    for share in (0.002, 0.2, 0.9):
+        rows = orphans(df, life_spans(keys), share).groupBy("load_month", "orphan_kind").agg(F.count(F.lit(1)).alias("n")).collect()
+        counts = orphan_counts(df, life_spans(keys), share).collect()
+        assert {tuple(r) for r in rows} == {tuple(r) for r in counts} and len(rows) == len(counts)
+    assert orphan_counts(df.limit(0), life_spans(keys)).count() == 0
+
+
+def test_load_records(spark):
+    lines = ['1,5,x', '2,"a ""b""",y\n3,7,z', '4,bad"quote,z\n5,8,w', "6,9", None, ""]
+    df = spark.createDataFrame(list(enumerate(lines)), "no int, line string").withColumn("fields", F.lit("f"))
+    good, bad = load_records(df, "line", ["no", "fields"], ["k", "v", "t"], {"v": "integer"})
+    assert sorted((r["no"], r["k"], r["v"], r["t"]) for r in good.collect()) == [(0, "1", 5, "x"), (1, "3", 7, "z"), (2, "5", 8, "w")]
+    assert sorted((r["no"], r["reasons"], r["error_offset"]) for r in bad.collect()) == [(1, ["v"], None), (2, ["quoting"], 5), (3, ["columns"], None), (4, ["columns"], None), (5, ["columns"], None)]
+    assert load_records(df.limit(0), "line", ["no"], ["k"], {})[0].count() == 0
+
+
+def test_fields_without_an_end_are_read_once():
+    grammar = RecordGrammar(2)
+    text = '1,"' + "\n" * 20 + "\n".join(f'{i},"a' + "\n" * 3 + 'b" ' for i in range(3000))
+    assert grammar.parse(text)[0].fields is None
+    long = "1,x\n" * 20_000 + '2,"no end' + '\n3,""""""' * 20_000
+    assert len(grammar.parse(long)) == 40_001
