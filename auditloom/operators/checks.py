@@ -19,13 +19,20 @@ END_WORDS = ("end", "close", "closed", "finish", "finished", "resolved", "comple
 
 @dataclass
 class CheckResult:
-    """``check`` is kind, or kind:detail; ``details`` are the rows concerned, computed only when asked for."""
+    """``check`` is kind, or kind:detail; ``details`` are the rows concerned, computed only when asked for.
+
+    ``column`` is the column or columns concerned, ``topic`` what the check reports on, ``covers`` the rules that say the
+    same: (kind of rule, column, rows against it or None for any number).
+    """
 
     check: str
     passed: bool
     summary: str
     affected: int = 0
     details: DataFrame | None = None
+    column: str | None = None
+    topic: str = ""
+    covers: tuple[tuple[str, str, int | None], ...] = ()
 
     @property
     def kind(self) -> str:
@@ -42,7 +49,7 @@ def null_checks(profile: TableProfile, nulls_expected: set[str]) -> list[CheckRe
     for name, p in profile.columns.items():
         limit = EXPECTED_NULL_SHARE if name in nulls_expected else 0.0
         note = f", up to {limit:.0%} expected" if limit else ""
-        found.append(CheckResult(f"nulls:{name}", p.null_share <= limit, f"{p.nulls} of {profile.rows} values missing ({p.null_share:.1%}{note})", p.nulls))
+        found.append(CheckResult(f"nulls:{name}", p.null_share <= limit, f"{p.nulls} of {profile.rows} values missing ({p.null_share:.1%}{note})", p.nulls, column=name, topic="missing", covers=(("not_null", name, p.nulls),)))
     return found
 
 
@@ -52,20 +59,23 @@ def duplicate_groups(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*[column(k) for k in keys]).agg(F.count(F.lit(1)).alias(count)).filter(F.col(count) > 1)
 
 
-def duplicate_check(df: DataFrame, keys: list[str], check: str, noun: str) -> CheckResult:
+def duplicate_check(df: DataFrame, keys: list[str], check: str, noun: str, **about) -> CheckResult:
     groups = duplicate_groups(df, keys)
     count = "copies" if "copies" not in keys else "__copies"
     n, affected = groups.agg(F.count(F.lit(1)), F.coalesce(F.sum(count), F.lit(0))).first()
-    return CheckResult(check, n == 0, f"{n} groups of repeated {noun}, {affected} rows in all" if n else f"no repeated {noun}", affected, groups)
+    return CheckResult(check, n == 0, f"{n} groups of repeated {noun}, {affected} rows in all" if n else f"no repeated {noun}", affected, groups, **about)
 
 
 def exact_duplicates(df: DataFrame) -> CheckResult:
-    return duplicate_check(df, df.columns, "duplicates:exact_rows", "rows")
+    return duplicate_check(df, df.columns, "duplicates:exact_rows", "rows", topic="same_rows")
 
 
 def key_duplicates(df: DataFrame, keys: list[str]) -> CheckResult | None:
     """None without a key."""
-    return duplicate_check(df, keys, f"duplicates:key[{', '.join(keys)}]", f"keys ({', '.join(keys)})") if keys else None
+    if not keys:
+        return None
+    shown = ", ".join(keys)
+    return duplicate_check(df, keys, f"duplicates:key[{shown}]", f"keys ({shown})", column=shown, topic="same_keys", covers=(("unique", shown, None),))
 
 
 def outside(name: str, lo: float, hi: float) -> Column:
@@ -82,7 +92,7 @@ def outlier_checks(df: DataFrame, profile: TableProfile) -> list[CheckResult]:
         return []
     counts = df.agg(*[F.count_if(outside(n, *f)) for n, f in fences.items()]).first()
     return [
-        CheckResult(f"outliers:{n}", k == 0, f"{k} values outside [{f[0]:.2f}, {f[1]:.2f}]" if k else f"all values within [{f[0]:.2f}, {f[1]:.2f}]", k, df.filter(outside(n, *f)))
+        CheckResult(f"outliers:{n}", k == 0, f"{k} values outside [{f[0]:.2f}, {f[1]:.2f}]" if k else f"all values within [{f[0]:.2f}, {f[1]:.2f}]", k, df.filter(outside(n, *f)), column=n, topic="outlier", covers=(("between", n, k),))
         for (n, f), k in zip(fences.items(), counts, strict=True)
     ]
 
@@ -90,11 +100,11 @@ def outlier_checks(df: DataFrame, profile: TableProfile) -> list[CheckResult]:
 def schema_drift(current: dict[str, str], prior: dict[str, str] | None) -> CheckResult:
     """Columns added, removed or of another type than in the schema confirmed before."""
     if prior is None:
-        return CheckResult("schema_drift", True, "no earlier schema to compare with")
+        return CheckResult("schema_drift", True, "no earlier schema to compare with", topic="drift")
     added, removed = sorted(set(current) - set(prior)), sorted(set(prior) - set(current))
     changed = [f"{c}: {prior[c]} -> {current[c]}" for c in current if c in prior and prior[c] != current[c]]
     parts = [f"{what} {', '.join(names)}" for what, names in (("added", added), ("removed", removed), ("changed", changed)) if names]
-    return CheckResult("schema_drift", not parts, "; ".join(parts) or "same columns and types as before")
+    return CheckResult("schema_drift", not parts, "; ".join(parts) or "same columns and types as before", topic="drift")
 
 
 def variant_groups(frequencies: DataFrame, categorical: list[str]) -> DataFrame:
@@ -116,7 +126,7 @@ def variant_checks(df: DataFrame, frequencies: DataFrame, categorical: list[str]
     for r in groups.groupBy("column").agg(F.count(F.lit(1)).alias("n"), F.sum("rows").alias("rows"), F.min("canonical").alias("example")).orderBy("column").collect():
         own = groups.filter(F.col("column") == r["column"]).select(F.col("key").alias("__key"))
         rows = df.join(own, match_key(column(r["column"]).cast("string")) == F.col("__key"), "left_semi")
-        found.append(CheckResult(f"categorical_standardization:{r['column']}", False, f"{r['n']} values are written in several ways (such as {r['example']!r}), in {r['rows']} rows", r["rows"], rows))
+        found.append(CheckResult(f"categorical_standardization:{r['column']}", False, f"{r['n']} values are written in several ways (such as {r['example']!r}), in {r['rows']} rows", r["rows"], rows, column=r["column"], topic="spelling"))
     return found
 
 
@@ -129,14 +139,14 @@ def orphan_rows(main: DataFrame, key: str, reference: DataFrame, reference_key:
 def referential_check(main: DataFrame, key: str, reference: DataFrame, reference_key: str) -> CheckResult:
     rows = orphan_rows(main, key, reference, reference_key)
     n = rows.count()
-    return CheckResult(f"referential:{key}->{reference_key}", n == 0, f"{n} rows refer by '{key}' to no '{reference_key}'" if n else f"every '{key}' is a known '{reference_key}'", n, rows)
+    return CheckResult(f"referential:{key}->{reference_key}", n == 0, f"{n} rows refer by '{key}' to no '{reference_key}'" if n else f"every '{key}' is a known '{reference_key}'", n, rows, column=key, topic="orphan")
 
 
 def consistency_check(df: DataFrame, start: str, end: str) -> CheckResult:
     """Rows whose end lies before their start; rows that lack either are consistent."""
     rows = df.filter(column(start).isNotNull() & column(end).isNotNull() & (column(end) < column(start)))
     n = rows.count()
-    return CheckResult(f"consistency:{end}>={start}", n == 0, f"{n} rows have '{end}' before '{start}'" if n else f"'{end}' is never before '{start}'", n, rows)
+    return CheckResult(f"consistency:{end}>={start}", n == 0, f"{n} rows have '{end}' before '{start}'" if n else f"'{end}' is never before '{start}'", n, rows, column=f"{end}, {start}", topic="order")
 
 
 def suggest_pairs(types: dict[str, str]) -> list[tuple[str, str]]:

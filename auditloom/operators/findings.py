@@ -1,4 +1,4 @@
-"""Findings: failed checks, failed rules, coercion failures and placeholders in one list, ranked by rows affected."""
+"""Findings: what is to be done about a table, from its checks, rules, coercion and placeholders, most rows first."""
 
 from __future__ import annotations
 
@@ -18,102 +18,119 @@ class Finding:
     action: str
 
 
-# Issue and advice by kind of check; {c} is the column.
-_CHECKS = {
-    "nulls": ("Missing values", "Find out what an empty '{c}' means, then fill, keep or drop these rows."),
-    "exact_rows": ("Duplicate rows", "Make sure that the copies are not separate events, then keep one of each."),
-    "duplicates": ("Duplicate keys", "Choose the valid record for each repeated '{c}', or drop the claim that it is a key."),
-    "outliers": ("Outliers", "Compare these '{c}' values with their source; mend errors, keep true extremes."),
-    "categorical_standardization": ("Inconsistent casing/whitespace", "Write each value of '{c}' in one way only."),
-    "typos": ("Possible typos", "Go through the listed '{c}' values; mend misspellings, dismiss what is right."),
-    "referential": ("Referential integrity break", "Add the missing reference entries, or mend the '{c}' values without one."),
-    "consistency": ("Cross-column inconsistency", "Look into the rows that end before they start; one of the two values is wrong."),
-    "schema_drift": ("Schema drift", "Confirm that the change is meant, and adapt what depends on the former schema."),
+# The issue labels of the report's contract, by the topic that a check or rule reports on.
+ISSUES = {
+    "missing": "Missing values",
+    "same_rows": "Duplicate rows",
+    "same_keys": "Duplicate keys",
+    "outlier": "Outliers",
+    "spelling": "Inconsistent casing/whitespace",
+    "typo": "Possible typos",
+    "orphan": "Referential integrity break",
+    "order": "Cross-column inconsistency",
+    "drift": "Schema drift",
+    "repeated": "Values that should be unique repeat",
+    "range": "Values outside the expected range",
+    "set": "Values outside the allowed set",
+    "pattern": "Values not matching the expected pattern",
+    "size": "Row count outside the expected range",
+    "type": "Values not matching the confirmed type",
+    "placeholder": "Placeholder values treated as null",
+    "broken_rule": "Validation rule could not run",
 }
-_RULES = {
-    "not_null": ("Missing values", "Find out what an empty '{c}' means, then fill, keep or drop these rows."),
-    "unique": ("Values that should be unique repeat", "Choose the valid record for each repeated '{c}', or drop the rule."),
-    "between": ("Values outside the expected range", "Compare these '{c}' values with their source, or widen the range."),
-    "in_set": ("Values outside the allowed set", "Mend the unexpected '{c}' values, or allow them."),
-    "regex": ("Values not matching the expected pattern", "Mend the '{c}' values that do not follow the pattern, or relax it."),
-    "row_count_between": ("Row count outside the expected range", "Look for lost or repeated rows, or change the expected number."),
+
+#: What each kind of rule reports on when it fails.
+_RULE_TOPIC = {"not_null": "missing", "unique": "repeated", "between": "range", "in_set": "set", "regex": "pattern", "row_count_between": "size"}
+
+_WHERE = {
+    "missing": "List the rows where the cell is null and trace how they were loaded.",
+    "same_rows": "The details table has one row for each set of copies; trace why they were delivered again.",
+    "same_keys": "The details table has the repeated keys with their number of rows; settle which row counts.",
+    "outlier": "The details table has the rows beyond the fences; look their source up before changing any.",
+    "spelling": "The details table has the rows of these groups; settle on the most frequent spelling.",
+    "typo": "The details table has the rows with the rare spelling; dismiss those that are right.",
+    "orphan": "The details table has the rows without a partner; either side may be the one to mend.",
+    "order": "The details table has the rows that end before they start.",
+    "drift": "Confirm the new schema, or reload the table in its former one.",
+    "repeated": "Group the table by this column to see the repeated values.",
+    "range": "Filter the table by the bounds to see the rows outside.",
+    "set": "Group the table by this column to see the values outside the set.",
+    "pattern": "Filter the table by the pattern to see the rows that do not match.",
+    "size": "Compare with the number of rows of earlier loads.",
+    "type": "The raw table still has these cells as text; they are null in the typed one.",
+    "placeholder": "Make sure that each of these spellings means a missing value in this column.",
+    "broken_rule": "Rewrite the rule for this table, or drop it.",
 }
 
 
-def column_of(check: CheckResult) -> str | None:
-    if check.kind == "duplicates":
-        return check.detail[4:-1] if check.detail.startswith("key[") else None
-    if check.kind == "referential":
-        return check.detail.split("->", 1)[0]
-    if check.kind == "consistency":
-        return ", ".join(check.detail.split(">=", 1))
-    return None if check.kind == "schema_drift" else check.detail
+def _topic_of(check: CheckResult) -> str:
+    return check.topic or check.kind
 
 
-def _of_check(check: CheckResult, rows: int) -> Finding:
-    name = column_of(check)
-    kind = "exact_rows" if check.check == "duplicates:exact_rows" else check.kind
-    issue, action = _CHECKS.get(kind, (check.kind.replace("_", " ").capitalize(), "Review this finding."))
-    return Finding(name, issue, check.affected, check.affected / rows if rows else 0.0, check.summary, action.format(c=name))
+def _finding(topic: str, column: str | None, affected: int, share: float, text: str) -> Finding:
+    return Finding(column, ISSUES.get(topic, topic.replace("_", " ").capitalize()), affected, share, text, _WHERE.get(topic, "See the details of the check."))
 
 
-def _of_outcome(o: Outcome, rows: int) -> Finding:
-    r = o.rule
+def _rule_text(o: Outcome, rows: int) -> str:
     if o.status == "ERROR":
-        where = f" on '{r.column}'" if r.column else ""
-        return Finding(r.column, "Validation rule could not run", 0, 0.0, f"rule {r.kind}{where} was not evaluated: {o.error}", "Mend or remove the rule, then validate again.")
-    issue, action = _RULES.get(r.kind, (r.kind.replace("_", " ").capitalize(), "Review this rule."))
-    text = f"{o.failures} rows ({o.share:.1%}) are against rule {r.kind} {r.text()}".rstrip() if r.kind != "row_count_between" else f"{rows:,} rows, expected {r.text()}"
-    return Finding(r.column, issue, o.failures, o.share, text, action.format(c=r.column))
-
-
-def _reported(o: Outcome, found: list[Finding]) -> bool:
-    """Whether a check has reported the same as a failed rule already."""
-    kind = o.rule.kind
-    same = {"not_null": "Missing values", "between": "Outliers", "unique": "Duplicate keys"}.get(kind)
-    if o.status == "ERROR" or same is None:
-        return False
-    return any(f.issue == same and f.column == o.rule.column and (kind == "unique" or f.affected == o.failures) for f in found)
+        return f"{o.rule.kind} was not evaluated: {o.error}"
+    if o.rule.kind == "row_count_between":
+        return f"the table has {rows:,} rows; {o.rule.text()} were expected"
+    return f"{o.failures:,} of {rows:,} rows break the rule {o.rule.kind} {o.rule.text()}".rstrip()
 
 
 def rank_findings(
     checks: list[CheckResult], outcomes: list[Outcome], coercion_failures: dict[str, int], placeholders: dict[str, int], rows: int
 ) -> list[Finding]:
-    """Everything to act on, most rows first, then by issue and column."""
-    share = lambda n: n / rows if rows else 0.0
-    found = [_of_check(c, rows) for c in checks if not c.passed]
-    for name, n in coercion_failures.items():
-        if n:
-            found.append(Finding(name, "Values not matching the confirmed type", n, share(n), f"{n} values of '{name}' do not fit the confirmed type and count as missing", f"Mend the values at their source, or confirm another type for '{name}'."))
-    for name, n in placeholders.items():
-        if n:
-            found.append(Finding(name, "Placeholder values treated as null", n, share(n), f"{n} values of '{name}' are spellings of a missing value", "Confirm that they mean missing, and record missing values in one way."))
-    by_checks = list(found)
-    found += [_of_outcome(o, rows) for o in outcomes if o.status != "PASS" and not _reported(o, by_checks)]
+    """Everything to act on, most rows first, then by issue and column.
+
+    A failed rule that says what a failed check has said already is left out: every check names the rules it covers
+    (kind, column, rows against it; None where the number may differ), and these are taken from the failed rules.
+    """
+    part = lambda n: n / rows if rows else 0.0
+    failed = [c for c in checks if not c.passed]
+    found = [_finding(_topic_of(c), c.column, c.affected, part(c.affected), c.summary) for c in failed]
+    found += [_finding("type", name, n, part(n), f"{n:,} cells of {name!r} do not fit its type") for name, n in coercion_failures.items() if n]
+    found += [_finding("placeholder", name, n, part(n), f"{n:,} cells of {name!r} spell a missing value") for name, n in placeholders.items() if n]
+    covered = {rule for c in failed for rule in c.covers}
+    for o in outcomes:
+        if o.status == "ERROR":
+            found.append(_finding("broken_rule", o.rule.column, 0, 0.0, _rule_text(o, rows)))
+        elif o.status != "PASS" and not covered & {(o.rule.kind, o.rule.column, o.failures), (o.rule.kind, o.rule.column, None)}:
+            found.append(_finding(_RULE_TOPIC.get(o.rule.kind, o.rule.kind), o.rule.column, o.failures, o.share, _rule_text(o, rows)))
     return sorted(found, key=lambda f: (-f.affected, f.issue, f.column or ""))
 
 
-# Sections of a report: kind of check, title, what it looks for.
+@dataclass(frozen=True)
+class Section:
+    """A part of the report: the kind of its checks, its title and what it tells."""
+
+    kind: str
+    title: str
+    about: str
+
+
 SECTIONS = (
-    ("nulls", "Missing values", "Empty cells; where nulls are expected, more than a fifth of them."),
-    ("duplicates", "Duplicates", "Rows alike in every column, and repeated keys."),
-    ("outliers", "Outliers", "Numbers far outside the middle half of their column."),
-    ("categorical_standardization", "Inconsistent casing / whitespace", "Values that differ only by letter case or spaces."),
-    ("typos", "Possible typos", "Rare values within two edits of a more frequent one."),
-    ("schema_drift", "Schema drift", "Columns or types that changed since the last confirmed schema."),
-    ("referential", "Referential integrity", "Values without an entry in their reference table."),
-    ("consistency", "Cross-column consistency", "Spans of time that end before they start."),
+    Section("nulls", "Missing values", "How many cells of each column are null, against what was expected of it."),
+    Section("duplicates", "Duplicates", "Rows that repeat as wholes or by their key."),
+    Section("outliers", "Outliers", "Numbers beyond one and a half times the quartile range."),
+    Section("categorical_standardization", "Inconsistent casing / whitespace", "Categories spelled with other case or space."),
+    Section("typos", "Possible typos", "Rare categories at most two edits from a frequent one."),
+    Section("schema_drift", "Schema drift", "Columns and types against the schema confirmed before."),
+    Section("referential", "Referential integrity", "Keys that the table they refer to does not have."),
+    Section("consistency", "Cross-column consistency", "Spans of time whose end comes first."),
 )
 
 
 def sections(checks: list[CheckResult]) -> list[tuple[str, str, str, list[CheckResult]]]:
     """(kind, title, description, checks) in the order above, then unknown kinds; failed checks first, most rows first."""
-    known = {k: (t, d) for k, t, d in SECTIONS}
-    order = [k for k, _, _ in SECTIONS] + [k for k in dict.fromkeys(c.kind for c in checks) if k not in known]
+    by_kind: dict[str, list[CheckResult]] = {s.kind: [] for s in SECTIONS}
+    for c in checks:
+        by_kind.setdefault(c.kind, []).append(c)
+    named = {s.kind: s for s in SECTIONS}
     out = []
-    for kind in order:
-        own = sorted((c for c in checks if c.kind == kind), key=lambda c: (c.passed, -c.affected))
+    for kind, own in by_kind.items():
         if own:
-            title, text = known.get(kind, (kind.replace("_", " ").capitalize(), ""))
-            out.append((kind, title, text, own))
+            s = named.get(kind) or Section(kind, kind.replace("_", " ").capitalize(), "")
+            out.append((kind, s.title, s.about, sorted(own, key=lambda c: (c.passed, -c.affected))))
     return out

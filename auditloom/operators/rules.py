@@ -108,7 +108,7 @@ def _member(df: DataFrame, name: str, values: list) -> Column:
     elif kind in ("long", "integer", "short", "byte", "float", "double", "decimal"):
         own = [v for v in values if isinstance(v, (int, float)) and not isinstance(v, bool)]
         if kind in ("long", "integer", "short", "byte"):
-            own = [int(v) for v in own if v == int(v)]
+            own = [int(v) for v in own if math.isfinite(v) and v == int(v) and abs(v) < 2**63]
     else:
         c, own = c.cast("string"), [str(v) for v in values]
     return c.isin(*own) if own else F.when(c.isNotNull(), F.lit(False))
@@ -146,6 +146,26 @@ def baseline_rules(df: DataFrame, profile: TableProfile, frequencies: DataFrame,
     return rules
 
 
+def _counted(df: DataFrame, rules: dict[tuple, Rule]) -> tuple[int, dict[tuple, int], dict[tuple, str]]:
+    """(rows, rows against each rule, error of each rule that cannot run), by one aggregate.
+
+    Should the aggregate fail, each rule runs on its own, so that one that fails on the data leaves the others alone.
+    """
+    try:
+        counts = df.agg(F.count(F.lit(1)), *[F.count_if(against(df, r)) for r in rules.values()]).first()
+        return counts[0], dict(zip(rules, counts[1:], strict=True)), {}
+    except (PySparkException, ValueError, TypeError, OverflowError) as e:
+        if len(rules) == 1:
+            (key,) = rules
+            return df.count(), {}, {key: f"{type(e).__name__}: {str(e).strip().splitlines()[0][:150]}"}
+    failures, broken = {}, {}
+    for key, rule in rules.items():
+        _, own, error = _counted(df, {key: rule})
+        failures |= own
+        broken |= error
+    return df.count(), failures, broken
+
+
 def run_rules(df: DataFrame, rules: list[Rule], types: dict[str, str] | None = None, frequencies: DataFrame | None = None) -> list[Outcome]:
     """An outcome for each rule, in order: one pass for the rules of rows, one shared shuffle for uniqueness.
 
@@ -158,9 +178,8 @@ def run_rules(df: DataFrame, rules: list[Rule], types: dict[str, str] | None = N
         unique[(r.kind, r.column, repr(sorted(r.params.items(), key=lambda e: e[0])))] = r
     errors = {k: problem(df, r, types) for k, r in unique.items()}
     rowwise = {k: r for k, r in unique.items() if not errors[k] and r.kind not in ("unique", "row_count_between")}
-    counts = df.agg(F.count(F.lit(1)), *[F.count_if(against(df, r)) for r in rowwise.values()]).first()
-    rows = counts[0]
-    failures = dict(zip(rowwise, counts[1:], strict=True))
+    rows, failures, broken = _counted(df, rowwise)
+    errors |= broken
     distinct = sorted({r.column for k, r in unique.items() if r.kind == "unique" and not errors[k]})
     if distinct:
         vf = frequencies if frequencies is not None else value_frequencies(df, distinct)

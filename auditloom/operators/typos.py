@@ -64,7 +64,7 @@ def typo_checks(df: DataFrame, frequencies: DataFrame, categorical: list[str], d
     found = []
     for name in categorical:
         if name in skipped:
-            found.append(CheckResult(f"typos:{name}", True, f"Skipped: more than {MOST_VALUES} different values"))
+            found.append(CheckResult(f"typos:{name}", True, f"Skipped: more than {MOST_VALUES} different values", column=name, topic="typo"))
             continue
         own = {r: k for r, k in claims.get(name, {}).items() if r not in {v.strip().lower() for v in (dismissed or {}).get(name, ())}}
         if not own:
@@ -72,5 +72,5 @@ def typo_checks(df: DataFrame, frequencies: DataFrame, categorical: list[str], d
         rows = df.filter(match_key(column(name)).isin(*own))
         n = rows.count()
         shown = ", ".join(f"{r!r} for {k!r}" for r, k in sorted(own.items())[:5])
-        found.append(CheckResult(f"typos:{name}", False, f"{len(own)} rare values look like misspellings ({shown}), in {n} rows", n, rows))
+        found.append(CheckResult(f"typos:{name}", False, f"{len(own)} rare values look like misspellings ({shown}), in {n} rows", n, rows, column=name, topic="typo"))
     return found

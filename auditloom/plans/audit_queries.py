@@ -8,16 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditloom.functions.coerce import to_boolean, to_datetime, to_day, to_float, to_integer
-from auditloom.functions.schema_store import ConfirmedSchema
-from auditloom.functions.text import NULL_SPELLINGS, column, is_null_cell
+from auditloom.functions.schema_store import ConfirmedSchema, confirm
+from auditloom.functions.text import NULL_SPELLINGS, is_null_cell
 from auditloom.operators import checks as C
 from auditloom.operators.frequency import value_frequencies
 from auditloom.operators.guess import blank_placeholders, guess_types
-from auditloom.operators.profile import IQR_FACTOR, distinct_counts, top_values, wide_statistics
-from auditloom.operators.rules import Rule, run_rules
+from auditloom.operators.profile import TableProfile, distinct_counts, profile_table, top_values, wide_statistics
+from auditloom.operators.rules import Rule, baseline_rules, run_rules
 from auditloom.operators.typos import typo_claims
 from auditloom.plans.audit import audit
-from auditloom.plans.problems import _day, _null_cell, table
+from auditloom.plans.problems import _day, _integer, _null_cell, _number, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -48,25 +48,29 @@ _HOLED = "(SELECT o_custkey, CASE WHEN o_orderkey % 20 <> 0 THEN o_totalprice EN
 _NULLS = " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) - count({c}) AS nulls, (count(*) - count({c}))::DOUBLE / count(*) AS null_share FROM {_HOLED}" for c in ("o_custkey", "o_totalprice", "o_orderstatus"))
 
 
-def _null_profile(spark: SparkSession, folder: str) -> DataFrame:
-    names = ["o_custkey", "o_totalprice", "o_orderstatus"]
-    o = _holed_orders(spark, folder).agg(F.count(F.lit(1)).alias("rows"), *[F.count(c).alias(c) for c in names])
-    return _rows([(F.lit(c), F.col("rows") - F.col(c), (F.col("rows") - F.col(c)) / F.col("rows")) for c in names], o, ["column_name", "nulls", "null_share"])
+_HOLED_TYPES = {"o_custkey": "integer", "o_totalprice": "float", "o_orderstatus": "categorical"}
+
+
+def _null_checks(spark: SparkSession, folder: str, expected: set[str]) -> DataFrame:
+    """(column_name, nulls, null_share, flagged) by the null check over the profile."""
+    profile = profile_table(_holed_orders(spark, folder).select(*_HOLED_TYPES), _HOLED_TYPES)
+    rows = [(c.column, c.affected, profile.columns[c.column].null_share, not c.passed) for c in C.null_checks(profile, expected)]
+    return spark.createDataFrame(rows, "column_name string, nulls bigint, null_share double, flagged boolean")
 
 
 @query(_NULLS)
 def null_profile(spark: SparkSession, folder: str) -> DataFrame:
-    return _null_profile(spark, folder)
+    return _null_checks(spark, folder, set()).select("column_name", "nulls", "null_share")
 
 
 @query(f"SELECT column_name, nulls, nulls > 0 AS flagged FROM ({_NULLS})")
 def null_flags_strict(spark: SparkSession, folder: str) -> DataFrame:
-    return _null_profile(spark, folder).select("column_name", "nulls", (F.col("null_share") > 0).alias("flagged"))
+    return _null_checks(spark, folder, set()).select("column_name", "nulls", "flagged")
 
 
 @query(f"SELECT column_name, nulls, null_share > 0.2 AS flagged FROM ({_NULLS})")
 def null_flags_lenient(spark: SparkSession, folder: str) -> DataFrame:
-    return _null_profile(spark, folder).select("column_name", "nulls", (F.col("null_share") > C.EXPECTED_NULL_SHARE).alias("flagged"))
+    return _null_checks(spark, folder, set(_HOLED_TYPES)).select("column_name", "nulls", "flagged")
 
 
 _NUMERIC = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
@@ -111,36 +115,28 @@ _FENCED = (("events", "value"), ("customer", "c_acctbal"), ("documents", "n_char
 _BOUNDS = " UNION ALL ".join(f"SELECT '{c}' AS column_name, q1 - 1.5 * (q3 - q1) AS low, q3 + 1.5 * (q3 - q1) AS high FROM (SELECT quantile_cont({c}::DOUBLE, 0.25) AS q1, quantile_cont({c}::DOUBLE, 0.75) AS q3 FROM {t})" for t, c in _FENCED)
 
 
-def _bounds(spark: SparkSession, folder: str, name: str, c: str) -> DataFrame:
-    q = table(spark, folder, name).agg(F.percentile(F.col(c).cast("double"), F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
-    q = q.select(F.get("q", F.lit(0)).alias("q1"), F.get("q", F.lit(1)).alias("q3"))
-    return q.select(F.lit(c).alias("column_name"), (F.col("q1") - IQR_FACTOR * (F.col("q3") - F.col("q1"))).alias("low"), (F.col("q3") + IQR_FACTOR * (F.col("q3") - F.col("q1"))).alias("high"))
+def _outlier_checks(spark: SparkSession, folder: str, name: str, c: str, keep: tuple[str, ...] = ()) -> tuple[TableProfile, list[C.CheckResult]]:
+    df = table(spark, folder, name).select(*keep, c)
+    profile = profile_table(df.select(c), {c: "float"})
+    return profile, C.outlier_checks(df, profile)
 
 
 @query(_BOUNDS)
 def iqr_bounds(spark: SparkSession, folder: str) -> DataFrame:
-    out = None
-    for name, c in _FENCED:
-        part = _bounds(spark, folder, name, c)
-        out = part if out is None else out.unionByName(part)
-    return out
+    rows = [(c, *profile_table(table(spark, folder, name).select(c), {c: "float"}).columns[c].fences()) for name, c in _FENCED]
+    return spark.createDataFrame(rows, "column_name string, low double, high double")
 
 
 @query(f"SELECT event_id, value FROM events, ({_BOUNDS}) AS b WHERE b.column_name = 'value' AND (value < low OR value > high)")
 def outlier_rows(spark: SparkSession, folder: str) -> DataFrame:
-    b = _bounds(spark, folder, "events", "value").select("low", "high")  # one row
-    e = table(spark, folder, "events").select("event_id", "value")
-    return e.join(F.broadcast(b), (F.col("value") < F.col("low")) | (F.col("value") > F.col("high"))).select("event_id", "value")
+    _, (check,) = _outlier_checks(spark, folder, "events", "value", ("event_id",))
+    return check.details
 
 
 @query(" UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) FILTER (WHERE {c} < low OR {c} > high) AS outliers FROM {t}, ({_BOUNDS}) AS b WHERE b.column_name = '{c}'" for t, c in _FENCED))
 def outlier_counts(spark: SparkSession, folder: str) -> DataFrame:
-    out = None
-    for name, c in _FENCED:
-        b = _bounds(spark, folder, name, c)
-        part = table(spark, folder, name).select(c).join(F.broadcast(b)).groupBy("column_name").agg(F.count_if((F.col(c) < F.col("low")) | (F.col(c) > F.col("high"))).alias("outliers"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    rows = [(check.column, check.affected) for name, c in _FENCED for check in _outlier_checks(spark, folder, name, c)[1]]
+    return spark.createDataFrame(rows, "column_name string, outliers bigint")
 
 
 def _segments(spark: SparkSession, folder: str) -> DataFrame:
@@ -200,7 +196,7 @@ def fk_orphan_count(spark: SparkSession, folder: str) -> DataFrame:
 @query("SELECT l_orderkey, l_linenumber, l_shipdate, o_orderdate FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate < o_orderdate")
 def consistency_violations(spark: SparkSession, folder: str) -> DataFrame:
     joined = table(spark, folder, "lineitem").join(table(spark, folder, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return joined.filter(F.col("l_shipdate") < F.col("o_orderdate")).select("l_orderkey", "l_linenumber", "l_shipdate", "o_orderdate")
+    return C.consistency_check(joined.select("l_orderkey", "l_linenumber", "l_shipdate", "o_orderdate"), "o_orderdate", "l_shipdate").details
 
 
 def _outcomes(spark: SparkSession, df: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -238,9 +234,9 @@ def rule_regex(spark: SparkSession, folder: str) -> DataFrame:
     return _outcomes(spark, table(spark, folder, "emails"), [Rule("regex", "email", {"regex": "^[a-z._-]+[0-9]*@"})])
 
 
-@query("SELECT 'row_count_between' AS kind, CAST(NULL AS VARCHAR) AS column_name, CASE WHEN count(*) BETWEEN 10 AND 1000000000 THEN 'PASS' ELSE 'FAIL' END AS status, 0::BIGINT AS failures FROM orders")
+@query("SELECT 'row_count_between' AS kind, CAST(NULL AS VARCHAR) AS column_name, CASE WHEN count(*) BETWEEN 10 AND 1000 THEN 'PASS' ELSE 'FAIL' END AS status, 0::BIGINT AS failures FROM orders")
 def rule_row_count(spark: SparkSession, folder: str) -> DataFrame:
-    return _outcomes(spark, table(spark, folder, "orders"), [Rule("row_count_between", None, {"min_value": 10, "max_value": 1_000_000_000})])
+    return _outcomes(spark, table(spark, folder, "orders"), [Rule("row_count_between", None, {"min_value": 10, "max_value": 1000})])
 
 
 _TRIM = "trim({c}, ' ' || chr(9) || chr(10) || chr(13) || chr(160))"
@@ -269,26 +265,33 @@ def coerce_float(spark: SparkSession, folder: str) -> DataFrame:
     return s.select("row_id", F.when(~is_null_cell(F.col("score")), to_float(F.col("score"))).alias("score")).filter("score is not null")
 
 
-@query("SELECT o_orderkey, o_orderstatus = 'O' AS is_open FROM orders")
+_BOOLEANS = (" True", "t", "YES", "y ", "1", "False", "F", " no", "N", "0", "maybe", "", "2", "on")
+
+
+@query(
+    "SELECT o_orderkey, CASE WHEN k < 5 THEN true WHEN k < 10 THEN false END AS answer FROM (SELECT o_orderkey, o_orderkey % 14 AS k FROM orders)"
+)
 def coerce_boolean(spark: SparkSession, folder: str) -> DataFrame:
-    typed = F.when(F.col("o_orderstatus") == "O", "Yes").otherwise("f")
-    return table(spark, folder, "orders").select("o_orderkey", to_boolean(typed).alias("is_open"))
+    """All ten spellings, padded and in either case, and four texts that are none."""
+    typed = F.element_at(F.array(*[F.lit(b) for b in _BOOLEANS]), (F.col("o_orderkey") % len(_BOOLEANS)).cast("int") + 1)
+    return table(spark, folder, "orders").select("o_orderkey", to_boolean(typed).alias("answer"))
 
 
-@query("SELECT o_orderkey, o_orderdate AS parsed FROM orders")
-def coerce_datetime(spark: SparkSession, folder: str) -> DataFrame:
-    written = F.when(F.col("o_orderkey") % 2 == 0, F.date_format("o_orderdate", "M/d/yyyy HH:mm:ss")).otherwise(F.col("o_orderdate").cast("string"))
-    return table(spark, folder, "orders").select("o_orderkey", to_datetime(written).alias("parsed"))
+_CLOCKS = ("M/d/yyyy HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy/M/d HH:mm:ss", "d MMMM yyyy HH:mm:ss", "MMM d yyyy h:mm:ss a", "yyyyMMdd HH:mm:ss")
 
 
-@query("SELECT row_id, strftime(CAST(signup_date AS DATE), '%Y-%m-%d') AS day FROM messy_sample WHERE regexp_full_match(signup_date, '[0-9]{4}-[0-9]{2}-[0-9]{2}( 00:00:00)?') AND TRY_CAST(signup_date AS DATE) IS NOT NULL")
-def coerce_day(spark: SparkSession, folder: str) -> DataFrame:
-    s = table(spark, folder, "messy_sample").filter(F.col("signup_date").rlike(r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}( 00:00:00)?\z"))
-    return s.select("row_id", to_day(F.col("signup_date")).cast("string").alias("day")).filter("day is not null")
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 8 < 7 THEN o_orderdate END AS parsed FROM orders")
+def coerce_datetime(spark: SparkSession, folder: str) -> DataFrame:
+    """Every order's time in one of seven written forms, and an eighth that is none."""
+    k = F.col("o_orderkey") % 8
+    written = F.when(k == 7, F.lit("10:30")).when(k == 6, F.col("o_orderdate").cast("string"))
+    for i, form in enumerate(_CLOCKS):
+        written = written.when(k == i, F.date_format("o_orderdate", form))
+    return table(spark, folder, "orders").select("o_orderkey", to_datetime(written).alias("parsed"))
 
 
 @query(f"SELECT row_id, strftime(day, '%Y-%m-%d') AS day FROM (SELECT row_id, {_day('signup_date')} AS day FROM messy_sample WHERE NOT {_null_cell('signup_date')}) WHERE day IS NOT NULL")
-def coerce_day_forms(spark: SparkSession, folder: str) -> DataFrame:
+def coerce_day(spark: SparkSession, folder: str) -> DataFrame:
     """The day of every cell that is no null cell, in whichever form it is written."""
     s = table(spark, folder, "messy_sample")
     return s.select("row_id", F.when(~is_null_cell(F.col("signup_date")), to_day(F.col("signup_date"))).cast("string").alias("day")).filter("day is not null")
@@ -299,23 +302,79 @@ _MESSY = ("name", "age", "borough", "signup_date", "close_date", "status", "scor
 
 @query(" UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) FILTER (WHERE {_sql(_PLACED, c)}) AS placeholders FROM messy_sample" for c in _MESSY))
 def sentinel_counts(spark: SparkSession, folder: str) -> DataFrame:
-    s = table(spark, folder, "messy_sample").agg(*[F.count_if(is_null_cell(column(c))).alias(c) for c in _MESSY])
-    return _rows([(F.lit(c), F.col(c)) for c in _MESSY], s, ["column_name", "placeholders"])
+    _, counts = blank_placeholders(table(spark, folder, "messy_sample").select(*_MESSY))
+    return spark.createDataFrame([(c, counts.get(c, 0)) for c in _MESSY], "column_name string, placeholders bigint")
 
 
-@query()
+def _guess_sql(c: str) -> str:
+    """The type rules over the cells of a column that are no null cells; no column here is boolean."""
+    return f"""SELECT '{c}' AS column_name, CASE WHEN n = 0 THEN 'string' WHEN numbers >= 0.95 * n THEN CASE WHEN parts > 0 THEN 'float' ELSE 'integer' END
+        WHEN days >= 0.95 * n THEN 'datetime' WHEN kinds <= 200 AND kinds <= 0.5 * n THEN 'categorical' ELSE 'string' END AS semantic
+        FROM (SELECT count(*) AS n, count({_number(c)}) AS numbers, count(*) FILTER (WHERE {_number(c)} IS NOT NULL AND {_integer(c)} IS NULL) AS parts,
+            count({_day(c)}) AS days, count(DISTINCT {c}) AS kinds FROM messy_sample WHERE NOT {_null_cell(c)})"""
+
+
+@query(" UNION ALL ".join(_guess_sql(c) for c in _MESSY))
 def type_guess(spark: SparkSession, folder: str) -> DataFrame:
-    names = ["age", "borough_code", "close_date", "score", "signup_date", "zip_code"]
-    cleaned, _ = blank_placeholders(table(spark, folder, "messy_sample").select(*names))
+    cleaned, _ = blank_placeholders(table(spark, folder, "messy_sample").select(*_MESSY))
     return spark.createDataFrame(sorted((n, g.semantic) for n, g in guess_types(cleaned).items()), "column_name string, semantic string")
 
 
-@query("SELECT false AS passed, 'added c; removed b; changed a: integer -> float' AS summary")
+_SEMANTIC = {"bigint": "integer", "int": "integer", "double": "float", "string": "string", "timestamp_ntz": "datetime", "timestamp": "datetime"}
+
+
+def _types(df: DataFrame) -> dict[str, str]:
+    return {name: _SEMANTIC[kind] for name, kind in df.dtypes}
+
+
+def _names_sql(name: str) -> str:
+    kind = "CASE data_type WHEN 'BIGINT' THEN 'integer' WHEN 'INTEGER' THEN 'integer' WHEN 'DOUBLE' THEN 'float' WHEN 'VARCHAR' THEN 'string' ELSE 'datetime' END"
+    return f"(SELECT regexp_replace(column_name, '^[a-z]_', '') AS c, {kind} AS k FROM information_schema.columns WHERE table_name = '{name}')"
+
+
+@query(
+    f"""WITH now AS {_names_sql("supplier")}, was AS {_names_sql("orders")},
+        parts AS (SELECT 1 AS o, 'added ' || string_agg(c, ', ' ORDER BY c) AS t FROM now WHERE c NOT IN (SELECT c FROM was)
+            UNION ALL SELECT 2, 'removed ' || string_agg(c, ', ' ORDER BY c) FROM was WHERE c NOT IN (SELECT c FROM now)
+            UNION ALL SELECT 3, 'changed ' || string_agg(c || ': ' || was.k || ' -> ' || now.k, ', ' ORDER BY c) FROM now JOIN was USING (c) WHERE now.k <> was.k)
+        SELECT count(t) = 0 AS passed, coalesce(string_agg(t, '; ' ORDER BY o), 'same columns and types as before') AS summary FROM parts"""
+)
 def schema_drift(spark: SparkSession, folder: str) -> DataFrame:
-    check = C.schema_drift({"a": "float", "c": "string"}, {"a": "integer", "b": "string"})
+    """From the schema of orders to that of supplier, by the names without their prefix."""
+    now, was = ({c.split("_", 1)[1]: k for c, k in _types(table(spark, folder, name)).items()} for name in ("supplier", "orders"))
+    check = C.schema_drift(now, was)
     return spark.createDataFrame([(check.passed, check.summary)], "passed boolean, summary string")
 
 
+_CUSTOMER_TYPES = {"c_custkey": "integer", "c_name": "string", "c_acctbal": "float", "c_mktsegment": "categorical"}
+_FENCES = "(SELECT quantile_cont({c}::DOUBLE, 0.25) AS q1, quantile_cont({c}::DOUBLE, 0.75) AS q3 FROM customer)"
+
+
+@query(
+    " UNION ALL ".join(f"SELECT 'not_null' AS kind, '{c}' AS column_name, NULL::DOUBLE AS low, NULL::DOUBLE AS high, NULL::BIGINT AS allowed" for c in _CUSTOMER_TYPES)
+    + "".join(f" UNION ALL SELECT 'between', '{c}', q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1), NULL FROM {_FENCES.replace('{c}', c)}" for c in ("c_custkey", "c_acctbal"))
+    + " UNION ALL SELECT 'unique', 'c_custkey', NULL, NULL, NULL"
+    + " UNION ALL SELECT 'in_set', 'c_mktsegment', NULL, NULL, count(*) FILTER (WHERE n >= 0.01 * total) FROM (SELECT count(*) AS n, sum(count(*)) OVER () AS total FROM customer GROUP BY c_mktsegment) HAVING count(*) FILTER (WHERE n >= 0.01 * total) < count(*)"
+)
+def baseline_suite(spark: SparkSession, folder: str) -> DataFrame:
+    """The rules that the profile of customer suggests."""
+    df = table(spark, folder, "customer").select(*_CUSTOMER_TYPES)
+    frequencies = value_frequencies(df, list(_CUSTOMER_TYPES))
+    rules = baseline_rules(df, profile_table(df, _CUSTOMER_TYPES, frequencies), frequencies, ["c_custkey"], set())
+    rows = [(r.kind, r.column, r.params.get("min_value"), r.params.get("max_value"), len(r.params["value_set"]) if "value_set" in r.params else None) for r in rules]
+    return spark.createDataFrame(rows, "kind string, column_name string, low double, high double, allowed bigint")
+
+
+@query("SELECT s.c_custkey FROM (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_nationkey + 5 ELSE c_nationkey END AS k FROM customer) s WHERE k NOT IN (SELECT n_nationkey FROM nation)")
+def fk_coerced_orphans(spark: SparkSession, folder: str) -> DataFrame:
+    """Keys written as decimals on one side: both take the confirmed type before they meet."""
+    c = table(spark, folder, "customer")
+    key = F.when(F.col("c_custkey") % 3 == 0, F.col("c_nationkey") + 5).otherwise(F.col("c_nationkey"))
+    main, _ = confirm(c.select(F.col("c_custkey").cast("string").alias("c_custkey"), F.concat(key.cast("string"), F.lit(".0")).alias("k")), {"c_custkey": "integer", "k": "integer"})
+    known, _ = confirm(table(spark, folder, "nation").select(F.concat(F.lit(" "), F.col("n_nationkey").cast("string")).alias("k")), {"k": "integer"})
+    return C.referential_check(main, "k", known, "k").details.select("c_custkey")
+
+
 MESSY_TYPES = {
     "id": "integer", "name": "string", "age": "integer", "borough": "categorical", "signup_date": "datetime", "close_date": "datetime",
     "status": "categorical", "score": "float", "borough_code": "categorical", "zip_code": "string",
@@ -334,22 +393,14 @@ def findings_ranked(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _line_findings(items: DataFrame) -> DataFrame:
-    """The four basic checks of lineitem as one long table, without collecting anything."""
-    names = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-    stats = items.agg(F.count(F.lit(1)).alias("rows"), *[F.count(c).alias(f"n_{c}") for c in names], *[F.percentile(F.col(c), F.array(F.lit(0.25), F.lit(0.75))).alias(f"q_{c}") for c in names])
-    nulls = _rows([(F.lit("nulls"), F.lit(c), F.col("rows") - F.col(f"n_{c}")) for c in names], stats, ["check", "target", "affected"])
-    fences = stats.select(*[F.col(f"q_{c}") for c in names])
-    marked = items.select(*names).join(F.broadcast(fences))
-
-    def beyond(c: str):
-        q1, q3 = F.get(f"q_{c}", F.lit(0)), F.get(f"q_{c}", F.lit(1))
-        return F.count_if((q3 > q1) & ((F.col(c) < q1 - IQR_FACTOR * (q3 - q1)) | (F.col(c) > q3 + IQR_FACTOR * (q3 - q1))))
-
-    counted = marked.agg(*[beyond(c).alias(c) for c in names])
-    outliers = _rows([(F.lit("outliers"), F.lit(c), F.col(c)) for c in names], counted, ["check", "target", "affected"])
-    keys = C.duplicate_groups(items, ["l_orderkey", "l_linenumber"]).agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("affected"))
-    keys = keys.select(F.lit("duplicate_keys").alias("check"), F.lit("l_orderkey, l_linenumber").alias("target"), "affected")
-    return nulls.unionByName(outliers).unionByName(keys)
+    """The four basic checks of lineitem as one long table; only their counts reach the driver."""
+    types = dict.fromkeys(_NUMERIC, "float")
+    profile = profile_table(items.select(*_NUMERIC), types)
+    rows = [("nulls", c.column, c.affected) for c in C.null_checks(profile, set())]
+    found = {c.column: c.affected for c in C.outlier_checks(items.select(*_NUMERIC), profile)}
+    rows += [("outliers", n, found.get(n, 0)) for n in _NUMERIC]
+    keys = C.key_duplicates(items, ["l_orderkey", "l_linenumber"])
+    return items.sparkSession.createDataFrame([*rows, ("duplicate_keys", keys.column, keys.affected)], "check string, target string, affected bigint")
 
 
 @query(

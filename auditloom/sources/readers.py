@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import csv
+import json
 import xml.parsers.expat
 from dataclasses import dataclass, field
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StringType, StructField, StructType
 
@@ -39,18 +40,25 @@ def extension(path: str) -> str:
     return found
 
 
-def _bytes(spark: SparkSession, path: str) -> bytes:
-    """A whole small file through the session's file systems."""
-    rows = spark.read.format("binaryFile").load(path).select("content").head(1)
-    if not rows:
+def _bytes(spark: SparkSession, path: str, most: int | None = None) -> bytes:
+    """A file, or its first ``most`` bytes, through the session's file systems."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(at):
         raise SourceError(f"no file at {path}")
-    return bytes(rows[0]["content"])
+    wanted = system.getFileStatus(at).getLen()
+    stream = system.open(at)
+    try:
+        return bytes(stream.readNBytes(int(wanted if most is None else min(most, wanted))))
+    finally:
+        stream.close()
 
 
 def encoding_of(spark: SparkSession, path: str) -> str:
-    """UTF-8 if every line is valid UTF-8, else ISO-8859-1, decided by one distributed aggregate."""
-    raw = spark.read.format("binaryFile").load(path).select(F.is_valid_utf8(F.col("content").cast("string")).alias("valid"))
-    return "UTF-8" if raw.agg(F.bool_and("valid")).first()[0] is not False else "ISO-8859-1"
+    """UTF-8 if every line is valid UTF-8, else ISO-8859-1, decided by one aggregate over the lines of the file."""
+    lines = spark.read.text(path).select(F.is_valid_utf8("value").alias("valid"))
+    return "UTF-8" if lines.agg(F.bool_and("valid")).first()[0] is not False else "ISO-8859-1"
 
 
 def delimiter_of(head: str) -> str:
@@ -73,22 +81,92 @@ def _distinct_names(names: list[str]) -> list[str]:
     return out
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All cells as text. The header names the columns; fields beyond it are dropped, missing ones are null."""
+@dataclass
+class CsvShape:
+    """What the head of a delimited file says of it."""
+
+    names: list[str]
+    sep: str
+    encoding: str
+
+
+def _csv_shape(spark: SparkSession, path: str) -> CsvShape:
     encoding = encoding_of(spark, path)
-    lines = [r["value"] for r in spark.read.option("encoding", encoding).text(path).limit(50).collect()]
-    head = "\n".join(lines).lstrip("﻿")
-    if not head.strip():
+    text = _bytes(spark, path, 4 * HEAD_CHARACTERS).decode("utf-8-sig" if encoding == "UTF-8" else "latin-1", "ignore")
+    if not text.strip():
         raise SourceError("the file is empty")
-    sep = delimiter_of(head)
-    names = _distinct_names(next(csv.reader([head], delimiter=sep) if "\n" not in head else csv.reader(head.splitlines(), delimiter=sep)))
-    schema = StructType([StructField(f"c{i}", StringType()) for i in range(len(names))])
-    options = {"header": True, "enforceSchema": True, "multiLine": True, "escape": '"', "sep": sep, "encoding": encoding}
-    return spark.read.options(**options).schema(schema).csv(path).toDF(*names)
+    sep = delimiter_of(text)
+    return CsvShape(_distinct_names(next(csv.reader(text.splitlines(), delimiter=sep))), sep, encoding)
+
+
+def _quotes_span_lines(spark: SparkSession, path: str, encoding: str) -> bool:
+    """Whether a quoted field may hold a line break: some line has an odd number of quotes."""
+    lines = spark.read.option("encoding", encoding).text(path)
+    return bool(lines.filter(F.regexp_count("value", F.lit('"')) % 2 == 1).limit(1).count())
+
+
+def _csv_cells(spark: SparkSession, path: str, shape: CsvShape) -> DataFrame:
+    """The fields c0, c1 and so on of every record, the first field beyond the header as ``more``, and ``record``, the text
+    of a record that does not end there. Absent and empty fields are null.
+
+    A file without line breaks inside quotes is read in parts, by any number of tasks.
+    """
+    width = len(shape.names)
+    schema = StructType([StructField(f"c{i}", StringType()) for i in range(width)] + [StructField("more", StringType()), StructField("record", StringType())])
+    spans = _quotes_span_lines(spark, path, shape.encoding)
+    options = {"header": True, "enforceSchema": True, "multiLine": spans, "escape": '"', "sep": shape.sep, "encoding": shape.encoding, "columnNameOfCorruptRecord": "record", "mode": "PERMISSIVE", "columnPruning": False}
+    return spark.read.options(**options).schema(schema).csv(path)
+
+
+def _fields(cells: DataFrame, names: list[str]) -> DataFrame:
+    return cells.select(*[f"c{i}" for i in range(len(names))]).toDF(*names)
+
+
+def load_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(the records that fit the header, the others as (reason, record)): ``columns`` for records of too many fields.
+
+    All cells are text; empty and missing ones are null. One empty field at the end, beyond the header, is no field.
+    """
+    shape = _csv_shape(spark, path)
+    cells = _csv_cells(spark, path, shape)
+    known = F.concat_ws(shape.sep, *[F.coalesce(f"c{i}", F.lit("")) for i in range(len(shape.names))], F.col("more"))
+    commas = F.regexp_count(F.regexp_replace("record", r'"([^"]|"")*"', ""), F.lit(f"[{shape.sep}]"))
+    wide = F.col("more").isNotNull() | F.coalesce(commas >= len(shape.names), F.lit(False))
+    rejects = cells.filter(wide).select(F.lit("columns").alias("reason"), F.coalesce("record", known).alias("record"))
+    return _fields(cells.filter(~wide), shape.names), rejects
+
+
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """The records of a file of which all fit the header. One with more fields is an error, as nobody knows which of them
+    belong to which column; ``load_csv`` separates such records."""
+    good, rejects = load_csv(spark, path)
+    if rejects.limit(1).count():
+        raise SourceError(f"{rejects.count()} records have more fields than the header; load_csv separates them")
+    return good
+
+
+def _json_text(value: Column, kind) -> Column:
+    """JSON text of a nested cell with sorted keys and a blank after commas and colons; null stays null."""
+    if isinstance(kind, ArrayType):
+        items = F.transform(value, lambda x: F.coalesce(_json_text(x, kind.elementType), F.lit("null")))
+        return F.concat(F.lit("["), F.array_join(items, ", "), F.lit("]"))
+    if isinstance(kind, StructType):
+        parts = []
+        for f in sorted(kind.fields, key=lambda f: f.name):
+            text = _json_text(value.getField(f.name), f.dataType)
+            parts.append(F.when(value.getField(f.name).isNotNull(), F.concat(F.lit(json.dumps(f.name, ensure_ascii=False) + ": "), text)))
+        return F.when(value.isNotNull(), F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}")))
+    if isinstance(kind, MapType):
+        return F.to_json(value)
+    if isinstance(kind, StringType):
+        # The text as the only member of an array, without the brackets: quoted and escaped.
+        quoted = F.to_json(F.array(value))
+        return F.when(value.isNotNull(), F.substring(quoted, F.lit(2), F.length(quoted) - 2))
+    return value.cast("string")
 
 
 def flatten(df: DataFrame) -> DataFrame:
-    """Structs as columns with dotted names, arrays and maps as JSON text, everything else as text."""
+    """Structs as columns with dotted names, arrays and maps as JSON text with sorted keys, everything else as text."""
     cells = []
 
     def walk(value, kind, name: str) -> None:
@@ -96,7 +174,7 @@ def flatten(df: DataFrame) -> DataFrame:
             for f in kind.fields:
                 walk(value.getField(f.name), f.dataType, f"{name}.{f.name}" if name else f.name)
         elif isinstance(kind, (ArrayType, MapType)):
-            cells.append(F.regexp_replace(F.regexp_replace(F.to_json(value), '","', '", "'), r'":(?! )', '": ').alias(name))
+            cells.append(_json_text(value, kind).alias(name))
         else:
             cells.append(value.cast("string").alias(name))
 
@@ -105,28 +183,72 @@ def flatten(df: DataFrame) -> DataFrame:
     return df.select(*cells)
 
 
+_DAMAGED = "__damaged"
+
+
+def json_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(records of a file of one record a line, the lines that are none as (reason, record)); blank lines are neither."""
+    options = {"primitivesAsString": "true", "columnNameOfCorruptRecord": _DAMAGED, "mode": "PERMISSIVE"}
+    kinds = [f for f in spark.read.options(**options).json(path).schema.fields if f.name != _DAMAGED]
+    lines = spark.read.text(path).select(F.regexp_replace("value", "^\ufeff", "").alias("record")).filter(F.trim("record") != "")
+    parsed = lines.select("record", F.from_json("record", StructType([*kinds, StructField(_DAMAGED, StringType())]), options).alias("x"))
+    bad = F.col("x").isNull() | F.col("x").getField(_DAMAGED).isNotNull()
+    good = parsed.filter(~bad).select(*[F.col("x").getField(f.name).alias(f.name) for f in kinds])
+    return flatten(good), parsed.filter(bad).select(F.lit("syntax").alias("reason"), "record")
+
+
+def _first_list(text: str) -> str | None:
+    """The name of the first member of an object that is a list with an object in it, in the order of the file."""
+    found = json.loads(text)
+    return next((k for k, v in found.items() if isinstance(v, list) and any(isinstance(x, dict) for x in v)), None)
+
+
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """An array of records, one record a line, or an object that holds a list of records; else one single record."""
-    head = _bytes(spark, path)[:4096].decode("utf-8-sig", "replace").lstrip()
+    """An array of records, one record a line, or an object that holds a list of records; else one single record.
+
+    In a file of one record a line, a line that is no record is an error; ``json_lines`` gives both kinds of lines.
+    """
+    head = _bytes(spark, path, 4096).decode("utf-8-sig", "replace").lstrip()
     if head[:1] not in ("[", "{"):
         raise SourceError("the file holds no records")
-    reader = spark.read.option("primitivesAsString", True)
-    lines = reader.json(path)
-    if head[0] == "{" and "_corrupt_record" not in lines.columns and lines.limit(2).count() > 1:
-        return flatten(lines)
+    reader = spark.read.option("primitivesAsString", True).option("columnNameOfCorruptRecord", _DAMAGED)
+    if head[0] == "{" and _one_a_line(spark, path, head):
+        good, bad = json_lines(spark, path)
+        if damaged := bad.count():
+            raise SourceError(f"{damaged} lines are no valid JSON; json_lines separates them")
+        return good
     whole = reader.option("multiLine", True).json(path)
-    if "_corrupt_record" in whole.columns:
+    if _DAMAGED in whole.columns:
         raise SourceError("the file is no valid JSON")
     if head[0] == "{":
-        for f in whole.schema.fields:
-            if isinstance(f.dataType, ArrayType) and isinstance(f.dataType.elementType, StructType):
-                inner = whole.select(F.explode(column(f.name)).alias("record"))
-                return flatten(inner.select("record.*"))
+        name = _first_list(_bytes(spark, path).decode("utf-8-sig"))
+        if name is not None:
+            return flatten(whole.select(F.explode(column(name)).alias("record")).select("record.*"))
     if not whole.columns:
         raise SourceError("the file holds no records")
     return flatten(whole)
 
 
+#: A larger file is no single JSON document, as one task could not hold it.
+LARGEST_DOCUMENT = 256 << 20
+
+
+def _one_a_line(spark: SparkSession, path: str, head: str) -> bool:
+    """Whether a file that begins with an object has more than one line of records, or is no document as a whole."""
+    if _is_json(head.splitlines()[0]):
+        return spark.read.text(path).filter(F.trim("value") != "").limit(2).count() > 1
+    text = _bytes(spark, path, LARGEST_DOCUMENT + 1)
+    return len(text) > LARGEST_DOCUMENT or not _is_json(text.decode("utf-8-sig", "replace"))
+
+
+def _is_json(text: str) -> bool:
+    try:
+        json.loads(text)
+    except ValueError:
+        return False
+    return True
+
+
 def xml_row_tag(content: bytes) -> str:
     """The tag of the root's first child. Entity declarations and external references are refused before any parsing
     of content; text that is no XML is left for the reader to report."""

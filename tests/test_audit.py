@@ -15,7 +15,7 @@ from auditloom.operators.profile import profile_table
 from auditloom.operators.rules import Rule, run_rules
 from auditloom.operators.typos import MOST_VALUES, resolve, typo_checks
 from auditloom.plans.audit import Reference, audit
-from auditloom.sources.readers import SourceError, delimiter_of, extension, list_sheets, read_table, xml_row_tag
+from auditloom.sources.readers import SourceError, delimiter_of, extension, json_lines, list_sheets, load_csv, read_raw, read_table, xml_row_tag
 from auditloom.sources.workbook import read_sheet, write_workbook
 
 
@@ -209,3 +209,69 @@ def test_sources(spark, tmp_path):
     with pytest.raises(SourceError):
         xml_row_tag(b'<!DOCTYPE r [<!ENTITY e SYSTEM "file:///etc/passwd">]><r><a>&e;</a></r>')
     assert delimiter_of("a;b;c\n1;2;3\n") == ";" and delimiter_of("abc") == "," and extension("X.XLSM") == "xlsm"
+
+
+def test_records_with_too_many_fields_are_reported(spark, tmp_path):
+    path = tmp_path / "w.csv"
+    path.write_text("a,b\n1,2\n3,4,5,6\n7\n8,9,\n'x',\"y, z\"\n,\n3,4,,5\n3,\"4,,,\"\n3,4,5\n", encoding="utf-8")
+    good, bad = load_csv(spark, str(path))
+    assert [tuple(r) for r in good.collect()] == [("1", "2"), ("7", None), ("8", "9"), ("'x'", "y, z"), (None, None), ("3", "4,,,")]
+    assert [tuple(r) for r in bad.collect()] == [("columns", "3,4,5,6"), ("columns", "3,4,,5"), ("columns", "3,4,5")]
+    with pytest.raises(SourceError, match="3 records have more fields"):
+        read_raw(spark, str(path))
+
+
+def test_line_breaks_inside_quotes(spark, tmp_path):
+    path = tmp_path / "q.csv"
+    path.write_text('a,b\n1,"x\ny"\n2,z\n', encoding="utf-8")
+    assert [tuple(r) for r in read_raw(spark, str(path)).collect()] == [("1", "x\ny"), ("2", "z")]
+    (tmp_path / "latin.csv").write_bytes("a;b\nCaf\xe9;1\n".encode("latin-1"))
+    assert [tuple(r) for r in read_raw(spark, str(tmp_path / "latin.csv")).collect()] == [("Café", "1")]
+
+
+def test_damaged_json_lines_are_reported(spark, tmp_path):
+    path = tmp_path / "l.json"
+    path.write_text('{"a": 1, "b": [2, "x"]}\n\n{"a": 2}\n{"a": 3, \n{"a": 4, "b": null}\n', encoding="utf-8")
+    good, bad = json_lines(spark, str(path))
+    assert [r["a"] for r in good.collect()] == ["1", "2", "4"] and [tuple(r) for r in bad.collect()] == [("syntax", '{"a": 3, ')]
+    with pytest.raises(SourceError, match="1 lines are no valid JSON"):
+        read_raw(spark, str(path))
+    (tmp_path / "first.json").write_text('{"a": 3, \n{"a": 4}\n{"a": 5}\n', encoding="utf-8")
+    with pytest.raises(SourceError, match="1 lines are no valid JSON"):
+        read_raw(spark, str(tmp_path / "first.json"))
+
+
+def test_json_documents(spark, tmp_path):
+    (tmp_path / "e.json").write_text('{"meta": [], "x": [{"q": {"z": 1}, "t": ["a", "b: \\"c\\""]}], "records": [{"q": 9}]}', encoding="utf-8")
+    assert [tuple(r) for r in read_raw(spark, str(tmp_path / "e.json")).select("`q.z`", "t").collect()] == [("1", '["a", "b: \\"c\\""]')]
+    (tmp_path / "n.json").write_text('[{"k": [{"b": "2", "a": null}, null], "m": []}, {"k": null}]', encoding="utf-8")
+    assert [r["k"] for r in read_raw(spark, str(tmp_path / "n.json")).collect()] == ['[{"b": "2"}, null]', None]
+    (tmp_path / "o.json").write_text('{\n "a": 1\n}', encoding="utf-8")
+    assert [r["a"] for r in read_raw(spark, str(tmp_path / "o.json")).collect()] == ["1"]
+    (tmp_path / "s.json").write_text("5", encoding="utf-8")
+    with pytest.raises(SourceError):
+        read_raw(spark, str(tmp_path / "s.json"))
+
+
+def test_rules_that_fail_on_the_data_leave_the_others_alone(spark, monkeypatch):
+    from auditloom.operators import rules
+
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "n bigint, s string")
+    inf = Rule("in_set", "n", {"value_set": [1, float("inf"), float("nan"), 1e300]})
+    got = {o.rule.kind: (o.status, o.failures) for o in run_rules(df, [inf, Rule("not_null", "n"), Rule("regex", "s", {"regex": "["})])}
+    assert got == {"in_set": ("FAIL", 1), "not_null": ("FAIL", 1), "regex": ("ERROR", 0)}
+    plain = rules.against
+    monkeypatch.setattr(rules, "against", lambda d, r: F.raise_error(F.lit("no")).isNull() if r.kind == "between" else plain(d, r))
+    got = {o.rule.kind: (o.status, o.failures) for o in run_rules(df, [Rule("between", "n", {"min_value": 0}), Rule("not_null", "n")])}
+    assert got == {"between": ("ERROR", 0), "not_null": ("FAIL", 1)}
+
+
+def test_what_a_check_says_is_not_said_again_by_a_rule(spark):
+    df = spark.createDataFrame([(i % 9, float(i) if i else None, "x") for i in range(40)] + [(9, 1e6, "x")], "k bigint, v double, s string")
+    types = {"k": "integer", "v": "float", "s": "categorical"}
+    profile = profile_table(df, types)
+    checks = [*C.null_checks(profile, set()), C.exact_duplicates(df), C.key_duplicates(df, ["k"]), *C.outlier_checks(df, profile)]
+    lo, hi = profile.columns["v"].fences()
+    rules = [Rule("not_null", "v"), Rule("unique", "k"), Rule("between", "v", {"min_value": lo, "max_value": hi}), Rule("between", "k", {"max_value": 3})]
+    found = [(f.issue, f.column) for f in rank_findings(checks, run_rules(df, rules), {}, {"s": 2}, 41)]
+    assert found == [("Duplicate keys", "k"), ("Values outside the expected range", "k"), ("Placeholder values treated as null", "s"), ("Missing values", "v"), ("Outliers", "v")]

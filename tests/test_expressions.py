@@ -60,8 +60,8 @@ def test_names_are_quoted():
 
 
 def test_the_day_query_reads_every_form(spark, tmp_path):
-    from auditloom.plans.audit_queries import coerce_day_forms
+    from auditloom.plans.audit_queries import coerce_day
 
     cells = ["2020-01-05", "1/5/2020", "2020/1/5", "20200105", "Jan 5 2020", "5 January 2020", " 2020-01-05 ", "2020-02-30", "N/A", None]
     spark.createDataFrame(list(enumerate(cells)), "row_id bigint, signup_date string").write.parquet(str(tmp_path / "messy_sample.parquet"))
-    assert sorted(map(tuple, coerce_day_forms(spark, str(tmp_path)).collect())) == [(i, "2020-01-05") for i in range(7)]
+    assert sorted(map(tuple, coerce_day(spark, str(tmp_path)).collect())) == [(i, "2020-01-05") for i in range(7)]
