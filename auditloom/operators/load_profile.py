@@ -1,18 +1,20 @@
 """Column-level data quality profile: footers first, dictionaries next, and a scan only where these do not suffice.
 
 Row groups of Parquet files carry row counts, null counts and extrema; dictionary pages list the distinct values of a
-chunk. ``chunk_statistics`` reads both in tasks, one file each, without touching a data page. ``answered_chunks`` turns
-the chunks whose value counts follow from that alone (one load only, and all null or one dictionary entry) into value
-counts; ``unanswered_files`` names the files whose data pages must be read, with the columns needed.
+chunk. ``chunk_statistics`` reads both in tasks, one file each, without touching a data page. ``cells_by_load`` turns the
+chunks whose value counts follow from that alone (one load only, and all null or one dictionary entry) into value counts;
+``load_ranges`` takes distinct values and extrema of all chunks of one load from their dictionaries. Both choose chunk by
+chunk and read the data pages of the others only.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -66,8 +68,31 @@ def _compact_struct(data: bytes, at: int) -> tuple[dict[int, object], int]:
     return fields, at + 1
 
 
+#: Encodings of data pages that refer to the dictionary, and the most bytes of a page header.
+_BY_DICTIONARY, _HEADER_BYTES = (2, 8), 1 << 16
+
+
+def _all_pages_refer(source, chunk) -> bool:
+    """Whether every data page of a chunk holds indexes into its dictionary, by the page headers alone."""
+    at, end = chunk.data_page_offset, chunk.dictionary_page_offset + chunk.total_compressed_size
+    while at < end:
+        source.seek(at)
+        try:
+            header, body = _compact_struct(source.read(min(_HEADER_BYTES, end - at)), 0)
+        except (IndexError, ValueError):
+            return False
+        page = header.get(5) or header.get(8)
+        if not isinstance(page, dict) or page.get(2 if 5 in header else 4) not in _BY_DICTIONARY:
+            return False
+        at += body + int(header[3])
+    return True
+
+
 def _dictionary(source, chunk, largest: int) -> list[str] | None:
-    """Entries of a text chunk's dictionary page, or None if not every data page refers to it or it is too large."""
+    """Entries of a text chunk's dictionary page, or None if not every data page refers to it or it is too large.
+
+    A writer puts only values into a dictionary that occur, so the entries are the distinct values of the chunk.
+    """
     if not chunk.has_dictionary_page or chunk.physical_type != "BYTE_ARRAY":
         return None
     start = chunk.dictionary_page_offset
@@ -79,6 +104,8 @@ def _dictionary(source, chunk, largest: int) -> list[str] | None:
     header, body = _compact_struct(raw, 0)
     if header.get(1) != 2:
         return None
+    if not _all_pages_refer(source, chunk):
+        return None
     data = raw[body : body + int(header[3])]
     if chunk.compression != "UNCOMPRESSED":
         data = pa.Codec(chunk.compression.lower()).decompress(data, int(header[2])).to_pybytes()
@@ -127,63 +154,89 @@ def chunk_statistics(spark: SparkSession, paths: list[str], load: str, columns:
     return files.mapInArrow(run, CHUNKS)
 
 
-def _answered(chunks: DataFrame, numeric: list[str]) -> DataFrame:
-    """Chunks with a flag ``known``: their value counts follow from footer and dictionary. A constant of a column whose
-    quantiles are wanted is scanned all the same, so that every number is one row and no weight meets the sketch."""
-    one_load = F.col("load_low").isNotNull() & (F.col("load_low") == F.col("load_high"))
-    all_null = F.col("nulls") == F.col("rows")
-    constant = F.col("nulls").isNotNull() & (F.size("entries") == 1)
-    return chunks.withColumn("known", F.coalesce(one_load & (all_null | constant & ~F.col("column_name").isin(*numeric)), F.lit(False)))
+def _one_load() -> Column:
+    """Whether all rows of a chunk are of one load."""
+    return F.col("load_low").isNotNull() & (F.col("load_low") == F.col("load_high"))
 
 
-def cells_by_load(spark: SparkSession, table: DataFrame, load: str, columns: list[str], numeric: list[str]) -> DataFrame:
-    """(load, column_name, value, cnt): the text cells of a Parquet table, cnt of them alike; nulls are a value.
+def _scanned(spark: SparkSession, groups: DataFrame, load: str) -> DataFrame:
+    """(load, column_name, value) of the row groups (path, row_group, columns), read chunk by chunk in tasks."""
 
-    Cells of files whose every chunk of a column is answered by footer and dictionary come from there, one row for each
-    (file, load, column, value); the other files are scanned for the columns they still need, in at most 2^len(columns)
-    groups of equal need, and give one row a cell; so do all numbers of the ``numeric`` columns. No shuffle but that of
-    the footers' few rows.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                system, inner = fs.FileSystem.from_uri(row["path"])
+                with system.open_input_file(inner) as source:
+                    for part in pq.ParquetFile(source).iter_batches(65_536, row_groups=[row["row_group"]], columns=[load, *row["columns"]]):
+                        at = part.schema.get_field_index(load)
+                        for name in row["columns"]:
+                            cells = part.column(part.schema.get_field_index(name)).cast(pa.string())
+                            names = pa.repeat(pa.scalar(name, pa.string()), len(cells))
+                            yield pa.RecordBatch.from_arrays([part.column(at).cast(pa.int64()), names, cells], names=["load", "column_name", "value"])
+
+    tasks = groups.repartition(max(1, min(groups.count(), 10_000)), "path", "row_group")
+    return tasks.mapInArrow(run, "load bigint, column_name string, value string")
+
+
+def _by_chunk(spark: SparkSession, table: DataFrame, load: str, columns: list[str], known: Column) -> tuple[DataFrame | None, DataFrame | None, DataFrame | None]:
+    """(chunks that are ``known``, the cells of the other chunks of their files, the files without a known chunk).
+
+    A part is None where it is empty. The driver gets one path for each file with a known chunk; entries stay in tasks.
     """
-    answered, scans = _plan(spark, table, load, columns, numeric)
-    parts = [] if answered is None else [answered]
-    for part, wanted in scans:
-        cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), column(c).alias("value")) for c in wanted]))
-        parts.append(part.select(column(load).alias("load"), cells.alias("x")).select("load", "x.column_name", "x.value", F.lit(1).cast("bigint").alias("cnt")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def _plan(spark: SparkSession, table: DataFrame, load: str, columns: list[str], numeric: list[str]) -> tuple[DataFrame | None, list[tuple[DataFrame, list[str]]]]:
-    """(value counts known without a scan or None, [(files to scan as a table, columns needed of them)])."""
     paths = table.inputFiles()
     if not paths:
-        return None, [(table, columns)]
-    chunks = _answered(chunk_statistics(spark, paths, load, columns), numeric)
-    # Per file and column: may the data pages stay unread? One small row for each file reaches the driver.
-    needs: dict[tuple[str, ...], list[str]] = {}
-    verdicts = chunks.groupBy("path").agg(F.sort_array(F.collect_set(F.when(~F.col("known"), F.col("column_name")))).alias("need")).collect()
-    for row in verdicts:
-        needs.setdefault(tuple(row["need"]), []).append(row["path"])
-    seen = {row["path"] for row in verdicts}
-    rest = [p for p in paths if p not in seen]
-    if rest:
-        needs.setdefault(tuple(sorted(columns)), []).extend(rest)
-    scans = []
-    for need, group in needs.items():
-        if need:
-            part = table if len(group) == len(paths) else spark.read.schema(table.schema).parquet(*group)
-            scans.append((part, [c for c in columns if c in need]))
-    whole = {p: set(columns) - set(need) for need, group in needs.items() for p in group}
-    if not any(whole.values()):
-        return None, scans
-    sure = spark.createDataFrame([(p, c) for p, cs in whole.items() for c in cs], "path string, column_name string")
-    known = chunks.join(F.broadcast(sure), ["path", "column_name"])
-    entry = F.when(F.col("nulls") < F.col("rows"), F.struct(F.element_at("entries", 1).alias("value"), (F.col("rows") - F.col("nulls")).alias("cnt")))
-    gap = F.when(F.col("nulls") > 0, F.struct(F.lit(None).cast("string").alias("value"), F.col("nulls").alias("cnt")))
-    counts = known.select(F.col("load_low").alias("load"), "column_name", F.explode(F.array_compact(F.array(entry, gap))).alias("x"))
-    return counts.groupBy("load", "column_name", "x.value").agg(F.sum("x.cnt").alias("cnt")), scans
+        return None, None, table
+    chunks = chunk_statistics(spark, paths, load, columns).withColumn("known", F.coalesce(known, F.lit(False)))
+    kept = durable(chunks.select("path", "row_group", "column_name", "known"))
+    some = [r["path"] for r in kept.filter("known").select("path").distinct().collect()]
+    if not some:
+        return None, None, table
+    chosen = spark.createDataFrame([(p,) for p in some], "path string")
+    mixed = kept.join(chosen, "path", "left_semi").filter("not known").groupBy("path", "row_group").agg(F.sort_array(F.collect_set("column_name")).alias("columns"))
+    rest = sorted(set(paths) - set(some))
+    return chunks.filter("known"), _scanned(spark, mixed, load), spark.read.schema(table.schema).parquet(*rest) if rest else None
+
+
+def _cells(table: DataFrame, load: str, columns: list[str]) -> DataFrame:
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), column(c).alias("value")) for c in columns]))
+    return table.select(column(load).alias("load"), cells.alias("x")).select("load", "x.column_name", "x.value")
+
+
+def cells_by_load(spark: SparkSession, table: DataFrame, load: str, columns: list[str], numeric: list[str]) -> DataFrame:
+    """(load, column_name, value, cnt): the text cells of a Parquet table, cnt of them alike; nulls are a value.
+
+    Cells of chunks that footer and dictionary answer come from there, one row for each (load, column, value); those of
+    all other chunks are scanned and give one row a cell. A constant of a ``numeric`` column is scanned all the same, so
+    that every number is one row and no weight meets a sketch. No shuffle but that of the footers' few rows.
+    """
+    constant = F.col("nulls").isNotNull() & (F.size("entries") == 1) & ~F.col("column_name").isin(*numeric)
+    answered, others, rest = _by_chunk(spark, table, load, columns, _one_load() & ((F.col("nulls") == F.col("rows")) | constant))
+    one = F.lit(1).cast("bigint").alias("cnt")
+    parts = [] if rest is None else [_cells(rest, load, columns).select("*", one)]
+    if answered is not None:
+        entry = F.when(F.col("nulls") < F.col("rows"), F.struct(F.element_at("entries", 1).alias("value"), (F.col("rows") - F.col("nulls")).alias("cnt")))
+        gap = F.when(F.col("nulls") > 0, F.struct(F.lit(None).cast("string").alias("value"), F.col("nulls").alias("cnt")))
+        counts = answered.select(F.col("load_low").alias("load"), "column_name", F.explode(F.array_compact(F.array(entry, gap))).alias("x"))
+        parts += [counts.groupBy("load", "column_name", "x.value").agg(F.sum("x.cnt").alias("cnt")), others.select("*", one)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def load_ranges(spark: SparkSession, table: DataFrame, load: str, columns: list[str]) -> DataFrame:
+    """(load, column_name, distinct_values, low, high) of the text cells as written, nulls aside; all exact.
+
+    Chunks of one load whose pages all refer to a dictionary give its entries, each once; chunks that hold nulls only, by
+    their footer, give nothing; all other chunks are scanned. A load without a value in a column is absent, as are null
+    loads and empty tables.
+    """
+    known = _one_load() & (F.col("entries").isNotNull() | (F.col("nulls") == F.col("rows")))
+    answered, others, rest = _by_chunk(spark, table, load, columns, known)
+    parts = [] if rest is None else [_cells(rest, load, columns)]
+    if answered is not None:
+        parts += [answered.select(F.col("load_low").alias("load"), "column_name", F.explode("entries").alias("value")), others]
+    values = reduce(DataFrame.unionByName, parts).filter("load is not null and value is not null").distinct()
+    return values.groupBy("load", "column_name").agg(F.count(F.lit(1)).alias("distinct_values"), F.min("value").alias("low"), F.max("value").alias("high"))
 
 
 def load_profile(spark: SparkSession, table: DataFrame, load: str, columns: list[str], numeric: dict[str, str], patterns: dict[str, str]) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -74,7 +75,7 @@ def top_values(frequencies: DataFrame, most: int = TOP_VALUES) -> DataFrame:
 
 def profile_table(df: DataFrame, types: dict[str, str], frequencies: DataFrame | None = None) -> TableProfile:
     """Profile of the typed columns; a few small jobs, whatever the number of columns. Empty tables profile as zeros."""
-    vf = value_frequencies(df, list(types)) if frequencies is None else frequencies
+    vf = value_frequencies(df, list(types)).persist(StorageLevel.MEMORY_AND_DISK) if frequencies is None else frequencies
     stats = wide_statistics(df, types).first()
     order = Window.partitionBy("column").orderBy("first_row", "value")
     early = {}
@@ -82,9 +83,11 @@ def profile_table(df: DataFrame, types: dict[str, str], frequencies: DataFrame |
         early.setdefault(r["column"], []).append((r["rank"], r["value"]))
     tops = {}
     categorical = [n for n, k in types.items() if k == "categorical"]
-    for r in top_values(vf.filter(F.col("column").isin(*categorical)) if categorical else vf.limit(0)).collect():
+    for r in top_values(vf.filter(F.col("column").isin(*categorical))).collect() if categorical else ():
         tops.setdefault(r["column"], []).append((r["rank"], r["value"], r["cnt"]))
     distinct = {r["column"]: r["distinct"] for r in distinct_counts(vf).collect()}
+    if frequencies is None:
+        vf.unpersist()
     quartiles = {r["column"]: (r["q1"], r["q3"]) for r in column_quartiles(df, [n for n, k in types.items() if k in ("integer", "float")]).collect()}
     rows = stats["rows"]
     columns = {}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditloom.functions.text import NULL_SPELLINGS, is_null_cell, strip
-from auditloom.operators.load_profile import load_changes, load_profile
+from auditloom.operators.load_profile import load_changes, load_profile, load_ranges
 from auditloom.operators.orphans import life_spans, orphan_counts, orphans
 from auditloom.operators.parse_failures import load_records, parse_records, with_failures
 
@@ -53,6 +53,11 @@ def p2_profile(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumnRenamed("load", "load_id")
 
 
+def p2_ranges(spark: SparkSession, folder: str) -> DataFrame:
+    """(load_id, column_name, distinct_values, low, high) of every load, from dictionaries where these suffice."""
+    return load_ranges(spark, table(spark, folder, "messy_sample"), "load_id", ["age", "score", "zip_code", "status"]).withColumnRenamed("load", "load_id")
+
+
 def _references(spark: SparkSession, folder: str) -> dict[str, tuple[DataFrame, DataFrame]]:
     """References (key, at, row_key) and the life spans of their keys, by table."""
     sample = table(spark, folder, "messy_sample")
@@ -90,7 +95,7 @@ def load_rejects(spark: SparkSession, folder: str) -> DataFrame:
     return bad.select("line_id", F.explode("reasons").alias("reason"), "error_offset")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_profile": p2_profile, "p4_found": p4_found, "p4_counts": p4_counts, "load_valid_lines": load_valid_lines, "load_rejects": load_rejects}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_profile": p2_profile, "p2_ranges": p2_ranges, "p4_found": p4_found, "p4_counts": p4_counts, "load_valid_lines": load_valid_lines, "load_rejects": load_rejects}
 
 # The same in SQL, for a check by another engine.
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)"
@@ -194,3 +199,7 @@ _FITS = " AND ".join(f"({_null_cell(n)} OR NOT ({bad}))" for n, bad in _BAD.item
 SQL["load_valid_lines"] = f"""
     SELECT line_id, id, CASE WHEN NOT {_null_cell('age')} THEN CAST(CAST({_integer('age')} AS BIGINT) AS VARCHAR) END AS age, CASE WHEN NOT {_null_cell('score')} THEN {_SCORE} END AS score,
         CASE WHEN NOT {_null_cell('signup_date')} THEN strftime({_day('signup_date')}, '%Y-%m-%d') END AS signup_date FROM {_TEXTS} WHERE {_FITS}"""
+SQL["p2_ranges"] = " UNION ALL ".join(
+    f"SELECT load_id, '{c}' AS column_name, count(DISTINCT {c}) AS distinct_values, min({c}) AS low, max({c}) AS high FROM messy_sample WHERE load_id IS NOT NULL AND {c} IS NOT NULL GROUP BY load_id"
+    for c in ("age", "score", "zip_code", "status")
+)

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from auditloom.operators.load_profile import cells_by_load, chunk_statistics, load_changes, load_profile
+from auditloom.operators.load_profile import cells_by_load, chunk_statistics, load_changes, load_profile, load_ranges
 from auditloom.operators.orphans import life_spans, orphan_counts, orphans
 from auditloom.operators.parse_failures import RecordGrammar, load_records, parse_records, split_rows
 from auditloom.operators.quantiles import column_quartiles, exact_quantiles
@@ -178,3 +178,30 @@ def test_fields_without_an_end_are_read_once():
     assert grammar.parse(text)[0].fields is None
     long = "1,x\n" * 20_000 + '2,"no end' + '\n3,""""""' * 20_000
     assert len(grammar.parse(long)) == 40_001
+
+
+def test_load_ranges_by_chunk(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    loads = np.repeat([1, 1, 2, 3, 4], 500)
+    values = [None if rng.random() < 0.2 else f"v{rng.integers(0, 40)}" for _ in loads]
+    path = tmp_path / "r"
+    path.mkdir()
+    columns = pa.table({"load": pa.array(loads, pa.int64()), "v": pa.array(values, pa.string()), "w": pa.array([None] * 1000 + ["b"] * 1500, pa.string())})
+    pq.write_table(columns, path / "a.parquet", row_group_size=700)  # mixed and single loads in one file
+    pq.write_table(columns, path / "b.parquet", row_group_size=500, use_dictionary=["w"])  # no dictionary for v
+    pq.write_table(columns, path / "c.parquet", row_group_size=500, dictionary_pagesize_limit=60, data_page_size=200, write_batch_size=20)  # pages that fall back
+    df = spark.read.parquet(str(path))
+    got = {(r["load"], r["column_name"]): tuple(r)[2:] for r in load_ranges(spark, df, "load", ["v", "w"]).collect()}
+    want = {}
+    for k in (1, 2, 3, 4):
+        own = {v for n, v in zip(loads, values, strict=True) if n == k and v is not None}
+        want[k, "v"] = (len(own), min(own), max(own))
+        if k > 1:
+            want[k, "w"] = (1, "b", "b")
+    assert got == want
+    stats = {(r["path"][-9:], r["row_group"], r["column_name"]): r["entries"] for r in chunk_statistics(spark, df.inputFiles(), "load", ["v", "w"]).collect()}
+    assert stats["a.parquet", 0, "v"] and stats["b.parquet", 2, "w"] == ["b"] and stats["b.parquet", 0, "v"] is None and stats["c.parquet", 0, "v"] is None
+    cells = cells_by_load(spark, df, "load", ["v", "w"], [])
+    assert {(r["load"], r["column_name"], r["value"]): r["n"] for r in cells.groupBy("load", "column_name", "value").agg(F.sum("cnt").alias("n")).collect()}[1, "w", None] == 3000
+    empty = spark.createDataFrame([], "load bigint, v string")
+    assert load_ranges(spark, empty, "load", ["v"]).count() == 0
