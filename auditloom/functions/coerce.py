@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 from auditloom.functions.text import strip
 
-SEMANTIC_TYPES = ("string", "integer", "float", "boolean", "datetime", "categorical")
-
 # The literals of the boolean type, in lower case.
 TRUE_WORDS = ("true", "t", "yes", "y", "1")
 FALSE_WORDS = ("false", "f", "no", "n", "0")

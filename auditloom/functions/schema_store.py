@@ -33,8 +33,8 @@ class ConfirmedSchema:
 
 
 def file_name(dataset: str) -> str:
-    slug = re.sub(r"[^a-z0-9]+", "_", dataset.lower()).strip("_") or "dataset"
-    return slug + SUFFIX
+    words = re.findall("[a-z0-9]+", dataset.lower())
+    return ("_".join(words) if words else "dataset") + SUFFIX
 
 
 def save(schema: ConfirmedSchema, folder: str) -> Path:

@@ -43,11 +43,6 @@ def stripped_is_null_cell(s: Column) -> Column:
     return s.isNull() | F.lower(s).isin(*NULL_SPELLINGS)
 
 
-def null_if_placeholder(c: Column) -> Column:
-    """The cell as it stands, or null if it is a placeholder spelling."""
-    return F.when(~is_null_cell(c), c)
-
-
 def fold(c: Column) -> Column:
     """Lower case without anything but letters and digits. Null folds to the empty string."""
     return F.coalesce(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", ""), F.lit(""))

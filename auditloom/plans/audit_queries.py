@@ -16,8 +16,8 @@ from auditloom.operators.guess import blank_placeholders, guess_types
 from auditloom.operators.profile import TableProfile, distinct_counts, profile_table, top_values, wide_statistics
 from auditloom.operators.rules import Rule, baseline_rules, run_rules
 from auditloom.operators.typos import typo_claims
-from auditloom.plans.audit import audit
-from auditloom.plans.problems import _day, _integer, _null_cell, _number, table
+from auditloom.plans.audit import Reference, audit
+from auditloom.plans.problems import _SCORE, _day, _integer, _null_cell, _number, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -392,6 +392,41 @@ def findings_ranked(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame(rows, "place int, column_name string, issue string, affected bigint, finding string")
 
 
+_TYPED = f"""typed AS MATERIALIZED (SELECT CAST(id AS VARCHAR) AS id, {', '.join(f"CASE WHEN NOT {_null_cell(c)} THEN {c} END AS {c}" for c in ('name', 'borough', 'status', 'borough_code', 'zip_code'))},
+    CASE WHEN NOT {_null_cell('age')} THEN CAST({_integer('age')} AS BIGINT) END AS age, CASE WHEN NOT {_null_cell('score')} THEN {_SCORE} END AS score,
+    {', '.join(f"CASE WHEN NOT {_null_cell(c)} THEN {_day(c)} END AS {c}" for c in ('signup_date', 'close_date'))} FROM messy_sample)"""
+_COUNTED = [f"SELECT '{c}' AS column_name, 'Missing values' AS issue, count(*) - count({c}) AS affected FROM typed" for c in MESSY_TYPES]
+_COUNTED += [f"SELECT '{c}', 'Placeholder values treated as null', count(*) FILTER (WHERE {_null_cell(f'CAST({c} AS VARCHAR)')}) FROM messy_sample" for c in MESSY_TYPES]
+_COUNTED += [f"SELECT '{c}', 'Values not matching the confirmed type', (SELECT count(*) FILTER (WHERE NOT {_null_cell(c)}) FROM messy_sample) - (SELECT count({c}) FROM typed)" for c in ("age", "score", "signup_date", "close_date")]
+_COUNTED += [
+    f"SELECT '{c}', 'Outliers', count(*) FILTER (WHERE v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1)) FROM (SELECT CAST({c} AS DOUBLE) AS v FROM typed), (SELECT quantile_cont(CAST({c} AS DOUBLE), 0.25) AS q1, quantile_cont(CAST({c} AS DOUBLE), 0.75) AS q3 FROM typed)"
+    for c in ("id", "age", "score")
+]
+_COUNTED += [
+    f"SELECT NULL, 'Duplicate rows', sum(n) FROM (SELECT count(*) AS n FROM typed GROUP BY {', '.join(MESSY_TYPES)} HAVING count(*) > 1)",
+    "SELECT 'id', 'Duplicate keys', sum(n) FROM (SELECT count(*) AS n FROM typed GROUP BY id HAVING count(*) > 1)",
+    "SELECT 'close_date, signup_date', 'Cross-column inconsistency', count(*) FROM typed WHERE close_date < signup_date",
+    "SELECT 'borough_code', 'Referential integrity break', count(*) FROM typed WHERE borough_code IS NOT NULL AND borough_code NOT IN (SELECT code FROM borough_reference)",
+    "SELECT NULL, 'Schema drift', 0",
+    "SELECT 'age', 'Values outside the expected range', count(*) FILTER (WHERE age < 25 OR age > 60) FROM typed",
+]
+
+
+@query(f"WITH {_TYPED} SELECT column_name, issue, affected::BIGINT AS affected FROM ({' UNION ALL '.join(_COUNTED)}) WHERE affected > 0 OR issue = 'Schema drift'")
+def findings_counted(spark: SparkSession, folder: str) -> DataFrame:
+    """The audit of the messy sample against a reference table, an earlier schema and a rule of one's own: what is found,
+    without categories, whose spellings and typos SQL does not express."""
+    raw = table(spark, folder, "messy_sample").select(*[F.col(c).cast("string").alias(c) for c in MESSY_TYPES])
+    cleaned, placeholders = blank_placeholders(raw)
+    schema = ConfirmedSchema("messy sample", MESSY_TYPES, ["id"])
+    prior = ConfirmedSchema("messy sample", MESSY_TYPES | {"age": "float"}, ["id"])
+    references = [Reference("borough_code", table(spark, folder, "borough_reference"), "code")]
+    done = audit(cleaned, schema, placeholders, prior, references, [("signup_date", "close_date")], [Rule("between", "age", {"min_value": 25, "max_value": 60})])
+    done.table.unpersist()
+    rows = [(f.column, f.issue, f.affected) for f in done.findings if f.issue not in ("Inconsistent casing/whitespace", "Possible typos", "Values outside the allowed set")]
+    return spark.createDataFrame(rows, "column_name string, issue string, affected bigint")
+
+
 def _line_findings(items: DataFrame) -> DataFrame:
     """The four basic checks of lineitem as one long table; only their counts reach the driver."""
     types = dict.fromkeys(_NUMERIC, "float")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from html import escape
 from pathlib import Path
 
@@ -72,3 +73,16 @@ def write_bundle(files: dict[str, bytes], folder: str) -> list[Path]:
     for name, content in files.items():
         (target / name).write_bytes(content)
     return [target / name for name in files]
+
+
+def write_details(checks: list[CheckResult], folder: str) -> list[str]:
+    """Write the rows that failed checks concern, each check as a Parquet table of its own below a folder of any file
+    system that Spark knows; returns the paths. Nothing passes through the driver."""
+    written = []
+    for c in checks:
+        if not c.passed and c.details is not None:
+            name = "_".join(re.findall("[a-z0-9]+", c.check.lower()))
+            path = f"{folder.rstrip('/')}/{name}"
+            c.details.write.mode("overwrite").parquet(path)
+            written.append(path)
+    return written

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StringType, StructField, StructType
 
 from auditloom.functions.text import column
+from auditloom.operators.frequency import ROW, with_row_ids
 from auditloom.operators.guess import Guess, blank_placeholders, guess_types
 from auditloom.sources.workbook import read_sheet, sheet_names
 
@@ -302,6 +303,11 @@ def read_raw(spark: SparkSession, path: str, sheet: str | None = None) -> DataFr
     return spark.createDataFrame(rows, schema)
 
 
+def first_rows(df: DataFrame, most: int = 10) -> DataFrame:
+    """The first rows in the order of the scan: a preview, or the rows up to a cap that the caller asked for."""
+    return with_row_ids(df).orderBy(ROW).limit(most).drop(ROW)
+
+
 def read_table(spark: SparkSession, path: str, sheet: str | None = None, max_rows: int | None = None) -> RawTable:
     """Read, cap if asked to, blank the placeholders and guess the types. A table without rows is an error."""
     df = read_raw(spark, path, sheet)
@@ -311,7 +317,7 @@ def read_table(spark: SparkSession, path: str, sheet: str | None = None, max_row
         capped = df.limit(max_rows + 1)
         if capped.count() > max_rows:
             warnings.append(f"only the first {max_rows:,} rows were read")
-        df = df.limit(max_rows)
+        df = first_rows(df, max_rows)
     if not df.head(1):
         raise SourceError("the file has no rows")
     cleaned, placeholders = blank_placeholders(df)

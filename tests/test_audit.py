@@ -15,7 +15,7 @@ from auditloom.operators.profile import profile_table
 from auditloom.operators.rules import Rule, run_rules
 from auditloom.operators.typos import MOST_VALUES, resolve, typo_checks
 from auditloom.plans.audit import Reference, audit
-from auditloom.sources.readers import SourceError, delimiter_of, extension, json_lines, list_sheets, load_csv, read_raw, read_table, xml_row_tag
+from auditloom.sources.readers import SourceError, delimiter_of, extension, first_rows, json_lines, list_sheets, load_csv, read_raw, read_table, xml_row_tag
 from auditloom.sources.workbook import read_sheet, write_workbook
 
 
@@ -275,3 +275,38 @@ def test_what_a_check_says_is_not_said_again_by_a_rule(spark):
     rules = [Rule("not_null", "v"), Rule("unique", "k"), Rule("between", "v", {"min_value": lo, "max_value": hi}), Rule("between", "k", {"max_value": 3})]
     found = [(f.issue, f.column) for f in rank_findings(checks, run_rules(df, rules), {}, {"s": 2}, 41)]
     assert found == [("Duplicate keys", "k"), ("Values outside the expected range", "k"), ("Placeholder values treated as null", "s"), ("Missing values", "v"), ("Outliers", "v")]
+
+
+def test_previews_and_details(spark, tmp_path):
+    from auditloom.reports.render import write_details
+
+    df = spark.createDataFrame([(i, i % 3) for i in range(30)], "a bigint, b bigint").coalesce(1)
+    assert [r["a"] for r in first_rows(df).collect()] == list(range(10)) and first_rows(df.limit(0)).count() == 0
+    checks = [C.key_duplicates(df, ["b"]), C.exact_duplicates(df), C.schema_drift({"a": "integer"}, {})]
+    (path,) = write_details(checks, str(tmp_path / "details"))
+    assert path.endswith("duplicates_key_b") and sorted(tuple(r) for r in spark.read.parquet(path).collect()) == [(0, 10), (1, 10), (2, 10)]
+
+
+def test_a_small_table_with_known_faults(spark):
+    """Every check on one table whose faults are counted by hand."""
+    places = ["Alder", "ALDER", "alder ", "Birch", "Brich"]
+    rows = [(str(i), f"n{i}", str(30 + i % 20), places[0] if i < 40 else places[3], "2020-01-01", "2020-02-01", str(50 + i % 30), "A" if i % 2 else "B") for i in range(80)]
+    rows[3] = ("3", "n3", "999", "ALDER", "2020-01-01", "2019-12-31", "N/A", "Z")
+    rows[4] = ("4", "n4", "x", "alder ", "2020-01-01", "", "50.5", "A")
+    rows[5] = ("5", "n5", "-", "Brich", "2020-01-01", "2020-01-01", "51", "B")
+    rows += [rows[10], (rows[11][0], *rows[12][1:])]
+    names = ("id", "name", "age", "place", "opened", "closed", "score", "code")
+    types = dict(zip(names, ("integer", "string", "integer", "categorical", "datetime", "datetime", "float", "string"), strict=True))
+    raw = spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names))
+    cleaned, placeholders = blank_placeholders(raw)
+    assert placeholders == {"age": 1, "closed": 1, "score": 1}
+    known = spark.createDataFrame([("A",), ("B",)], "code string")
+    done = audit(cleaned, ConfirmedSchema("t", types, ["id"]), placeholders, references=[Reference("code", known, "code")], pairs=[("opened", "closed")])
+    done.table.unpersist()
+    got = {(f.issue, f.column): f.affected for f in done.findings}
+    assert got == {
+        ("Missing values", "age"): 2, ("Missing values", "closed"): 1, ("Missing values", "score"): 1, ("Duplicate rows", None): 2, ("Duplicate keys", "id"): 4,
+        ("Outliers", "age"): 1, ("Inconsistent casing/whitespace", "place"): 41, ("Possible typos", "place"): 1, ("Referential integrity break", "code"): 1,
+        ("Cross-column inconsistency", "closed, opened"): 1, ("Values not matching the confirmed type", "age"): 1, ("Placeholder values treated as null", "age"): 1,
+        ("Placeholder values treated as null", "closed"): 1, ("Placeholder values treated as null", "score"): 1,
+    }, got
