@@ -52,12 +52,15 @@ class ItemIndex:
             for t, w in own.items():
                 self.postings[t].append((item, w))
         self.largest = np.array([max((w for _, w in p), default=0.0) for p in self.postings] + [0.0])
-        self.blocks = [[(p[k : k + self.BLOCK][-1][0], max(w for _, w in p[k : k + self.BLOCK])) for k in range(0, len(p), self.BLOCK)] for p in self.postings]
         slack = 1e-9
         self.threshold = [
             min(sum(own[t] for t in set(s[k : k + run])) for k in range(len(s) - run + 1)) - slack for own, s in zip(impacts, self.sequences, strict=True)
         ]
         self.least = min(self.threshold, default=math.inf)
+        # (last item, largest impact, least threshold) of every block of postings.
+        self.blocks = [
+            [(part[-1][0], max(w for _, w in part), min(self.threshold[i] for i, _ in part)) for part in (p[k : k + self.BLOCK] for k in range(0, len(p), self.BLOCK))] for p in self.postings
+        ]
         self.runs = [{tuple(s[k : k + run]) for k in range(len(s) - run + 1)} for s in self.sequences]
 
     def search(self, terms: list[int]) -> list[int]:
@@ -78,7 +81,7 @@ class ItemIndex:
             item = lists[live[pivot]][at[live[pivot]]][0]
             while pivot + 1 < len(live) and lists[live[pivot + 1]][at[live[pivot + 1]]][0] == item:
                 pivot += 1
-            block_bound, block_end = 0.0, math.inf
+            block_bound, block_end, needed = 0.0, math.inf, math.inf
             for k in live[: pivot + 1]:
                 b = at[k] // self.BLOCK
                 ends = self.blocks[terms[k]]
@@ -87,8 +90,9 @@ class ItemIndex:
                 if b < len(ends):
                     block_bound += ends[b][1]
                     block_end = min(block_end, ends[b][0])
-            if block_bound < self.least:
-                # No item up to the end of these blocks can reach any threshold.
+                    needed = min(needed, ends[b][2])
+            if block_bound < needed:
+                # No item up to the end of these blocks can reach its threshold.
                 beyond = lists[live[pivot + 1]][at[live[pivot + 1]]][0] if pivot + 1 < len(live) else math.inf
                 target = min(block_end + 1, beyond)
                 for k in live[: pivot + 1]:
