@@ -131,7 +131,7 @@ class ByteBpe:
             before, touching = F.slice(left, F.lit(1), keep), F.slice(left, keep + 1, F.lit(width))
 
             def closed(mended: Column) -> Column:
-                holds = self._neighbours(bound, F.slice(before, -1, 1), F.slice(mended, 1, 1)) & self._neighbours(bound, F.slice(mended, -1, 1), F.slice(rest, 1, 1))
+                holds = self._neighbours(bound, F.slice(before, -1, 1), F.slice(mended, 1, 1), F.slice(mended, -1, 1), F.slice(rest, 1, 1))
                 return F.struct(
                     F.concat(done.getField("settled"), before).alias("settled"), F.concat(mended, rest).alias("open"), (done.getField("holds") & holds).alias("holds")
                 )
@@ -147,18 +147,17 @@ class ByteBpe:
     def _if_holds(otherwise: Column) -> Callable[[Column], Column]:
         return lambda s: F.when(s.getField("holds"), F.concat(s.getField("settled"), s.getField("open"))).otherwise(otherwise)
 
-    def _neighbours(self, bound: Column, a: Column, b: Column) -> Column:
-        """Whether the last piece of one side and the first one of the other are what their bytes fold to; true at an end."""
-        pair = F.concat(a, b)
-        return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(True)).otherwise(self._pieces(bound, F.concat(F.get(a, F.lit(0)), F.get(b, F.lit(0)))) == pair)
+    def _neighbours(self, bound: Column, a: Column, b: Column, c: Column, d: Column) -> Column:
+        """Whether the pieces on both sides of two seams (lists of one or none) are what their bytes fold to."""
+        pairs = F.filter(F.array(F.concat(a, b), F.concat(c, d)), lambda p: F.size(p) == 2)
+        return F.forall(pairs, lambda p: self._pieces(bound, F.concat(F.get(p, F.lit(0)), F.get(p, F.lit(1)))) == p)
 
     def fold(self, bound: Column, word: Column) -> Column:
         """Ids of one non-empty word by ranked merges of its bytes, given the bound rank table."""
         raw = word.cast("binary")
         pieces = self._pieces(bound, raw)
         for width in reversed(self.SEAMS):
-            pieces = _with(self._long(bound, raw, width), self._if_holds(pieces))
-        pieces = F.when(F.octet_length(raw) <= self.WHOLE, self._pieces(bound, raw)).otherwise(pieces)
+            pieces = _with(F.when(F.octet_length(raw) > self.WHOLE, self._long(bound, raw, width)), self._if_holds(pieces))
         return _with(pieces, lambda s: self._ranks_of(bound, s))
 
     @staticmethod
