@@ -1,10 +1,11 @@
 """Variant spellings of names typed by people: metric-space partitioning, exact radius joins, then a check of the parts.
 
 Names are compared inside blocks of rows that agree in what a registrant keeps. The metric is the Levenshtein distance of
-the distinctive word (a surname, an organisation's own name), for blocking and for linking. A block of few rows is one
-cell, joined exactly by the task that holds it. Blocks with many rows are partitioned by pivots: each name goes to its
-nearest pivot and, by the triangle inequality, to every pivot that is at most twice the radius further away, so any two
-names within the radius share the cell of one of them; cells that are still large are partitioned again. The pairs within
+the distinctive word (a surname, an organisation's own name), for blocking and for linking. A block that one task can hold
+is one cell, joined exactly by that task. Larger blocks are partitioned by pivots: each name goes to its nearest pivot and,
+by the triangle inequality, to every pivot that is at most twice the radius further away, so any two names within the
+radius share the cell of one of them; cells that are still large are partitioned again. Where pivots hardly part the names
+of a cell, it is cut into shares instead, so that levels do not multiply the rows by the number of pivots. The pairs within
 the radius are checked part by part (given names, nicknames, initials, kinds of business), and linked spellings are
 closed over.
 """
@@ -16,6 +17,7 @@ import unicodedata
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import combinations, islice
 
 import numpy as np
 import pandas as pd
@@ -101,6 +103,7 @@ class NameReader:
                     self.by_end.setdefault(end, []).append(w)
         self.by_length = sorted(self.known, key=len, reverse=True)
         self.others = [CanonicalList(entries) for entries in other_fields]
+        self._fitting: dict[tuple[str, str], bool] = {}
 
     def read(self, text: str) -> Name | None:
         """The parsed name, or None if the cell holds a value of one of the other fields or no letter or digit."""
@@ -207,6 +210,15 @@ class NameReader:
             return 2
         return 0
 
+    def given_fits(self, a: str, b: str) -> bool:
+        """Whether two first given names may be those of one person; none fits any. Pairs come often, so they are kept."""
+        fits = self._fitting.get((a, b))
+        if fits is None:
+            if len(self._fitting) >= 1 << 19:
+                self._fitting.clear()
+            fits = self._fitting[a, b] = not a or not b or self._given(a, b) != 0
+        return fits
+
     def compare(self, a: Name, b: Name) -> int:
         """2: spellings of one registrant; 1 or -1: so if nobody else fits the first or second, which has only an initial
         for its given name, or none; 0: of two registrants."""
@@ -271,6 +283,9 @@ def distance(a: str, b: str) -> int:
     return d
 
 
+#: Pairs that a task hands on at once.
+_PAIRS = 1 << 18
+
 #: The largest distance of distinctive words that may be spellings of each other; the radius of the joins.
 RADIUS = 4
 
@@ -317,7 +332,8 @@ def cells(parsed: DataFrame, radius: int, cell_size: int, levels: int = 3) -> Da
 
     Blocks of at most ``cell_size`` names are one cell. A larger block gets one pivot for every half cell, at most 64 at a
     time, chosen by hash; the triangle inequality decides where a name is replicated. Cells that are still larger are
-    partitioned in turn, up to ``levels`` times; what is left after that is one cell, whatever its size.
+    partitioned in turn, up to ``levels`` times; what is left after that is one cell, whatever its size. A cell whose names
+    would come into more than ``_COPIES`` cells each is cut into shares instead and is then done.
     """
     open_ = parsed.withColumns({"cell": F.col("block"), "home": F.lit(True)})
     done = None
@@ -333,31 +349,79 @@ def cells(parsed: DataFrame, radius: int, cell_size: int, levels: int = 3) -> Da
     return done
 
 
+#: New cells that a name may come into on average, and the names of a share where pivots would bring it into more.
+_COPIES, _SHARE = 3, 32_768
+
+
 def _partitioned(big: DataFrame, radius: int, cell_size: int, level: int) -> DataFrame:
-    """One level of pivots, with the size of the new cells; a name is at home where it was and is nearest."""
+    """One level of pivots, with the size of the new cells; a name is at home where it was and is nearest.
+
+    Where pivots hardly part the names, which one in sixteen of them tells, the cell is cut into shares by ``f``, and every
+    two shares are compared in a cell of theirs, which is home to the names of the lesser one. The size of such cells is
+    given as 0: they are done.
+    """
     wanted = F.least(F.lit(64), F.ceil(F.col("size") / (cell_size / 2))).cast("int")
     order = F.xxhash64("own", F.lit(17 + level))
     # The names with the smallest hashes of a cell are its pivots; the candidates are thinned before they are gathered.
     candidate = F.pmod(order, F.col("size")) < 4 * wanted
     pivots = big.filter(candidate).groupBy("cell").agg(F.slice(F.array_sort(F.collect_set(F.struct(order.alias("h"), "own"))), 1, 64).alias("pivots"), F.max(wanted).alias("wanted"))
-    pivots = pivots.select("cell", F.transform(F.slice("pivots", 1, F.col("wanted")), lambda p: p["own"]).alias("pivots"))
-    far = big.join(pivots, "cell", "left").withColumn("d", F.transform(F.coalesce("pivots", F.array(F.lit(""))), lambda p: F.levenshtein(F.col("own"), p)))
-    near = far.withColumn("least", F.array_min("d"))
-    chosen = F.filter(F.sequence(F.lit(0), F.size("d") - 1), lambda i: F.element_at("d", i + 1) <= F.col("least") + 2 * radius)
-    nearest = F.array_position("d", F.col("least")).cast("int") - 1
-    replicated = near.withColumn("pivot", F.explode(chosen)).withColumns({"home": F.col("home") & (F.col("pivot") == nearest), "cell": F.xxhash64("cell", "pivot")}).drop("pivots", "d", "least", "pivot", "size")
-    sizes = replicated.groupBy("cell").agg(F.count(F.lit(1)).alias("size"))
-    return replicated.join(sizes, "cell")
-
-
-def near_pairs(parsed: DataFrame, radius: int, cell_size: int) -> DataFrame:
-    """(block, f_a, f_b, name_a, name_b) of the spellings whose distinctive words lie within the radius, each once:
-    in the cell that is home to the first of the two, where the second one has its replica."""
+    pivots = durable(pivots.select("cell", F.transform(F.slice("pivots", 1, F.col("wanted")), lambda p: p["own"]).alias("pivots")))
+    distances = F.transform("pivots", lambda p: F.levenshtein(F.col("own"), p))
+    chosen = F.filter(F.sequence(F.lit(0), F.size("d") - 1), lambda i: F.element_at("d", i + 1) <= F.array_min("d") + 2 * radius)
+    nearest = F.array_position("d", F.array_min("d")).cast("int") - 1
+    some = big.filter(F.pmod(F.xxhash64("f"), F.lit(16)) == 0).join(pivots, "cell").withColumn("d", distances)
+    parting = durable(some.groupBy("cell").agg(F.avg(F.size(chosen)).alias("copies")).filter(F.col("copies") <= _COPIES).join(pivots, "cell").select("cell", "pivots"))
+    near = big.join(parting, "cell", "left").withColumn("d", F.when(F.col("pivots").isNotNull(), distances))
+    parted = F.col("d").isNotNull()
+    shares = F.ceil(F.col("size") / _SHARE).cast("int")
+    # Hashes are spread evenly over the 64-bit numbers, in whose order the shares are.
+    share = F.least(shares - 1, F.floor((F.col("f") / 2.0**64 + 0.5) * shares)).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), shares - 1), lambda k: F.least(k, share) * shares + F.greatest(k, share))
+    placed = near.withColumn("to", F.explode(F.when(parted, F.transform(chosen, lambda k: k.cast("int"))).otherwise(pairs)))
+    home = F.col("home") & (F.col("to") == F.when(parted, nearest).otherwise(share * shares + F.col("to") % shares))
+    replicated = placed.withColumns({"home": home, "cell": F.xxhash64("cell", "to"), "parted": parted}).drop("pivots", "d", "to", "size")
+    sizes = replicated.groupBy("cell").agg(F.when(F.max("parted"), F.count(F.lit(1))).otherwise(0).alias("size"))
+    return replicated.drop("parted").join(sizes, "cell")
+
+
+def whole_groups(batches: Iterable[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
+    """The rows, which come sorted by ``key``, in frames that hold all rows of each of their keys."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        last = batch[key].iloc[-1]
+        if held and held[0][key].iloc[0] == last:
+            held.append(batch)
+            continue
+        whole = pd.concat([*held, batch], ignore_index=True)
+        tail = whole[key] == last
+        held = [whole[tail]]
+        if not tail.all():
+            yield whole[~tail]
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def near_pairs(parsed: DataFrame, radius: int, cell_size: int, reader: NameReader | None = None) -> DataFrame:
+    """(block, f_a, f_b, link) of the spellings whose distinctive words lie within the radius, each once: in the cell that
+    is home to the first of the two, where the second one has its replica. With a reader, those that it links, and how."""
     placed = cells(parsed, radius, cell_size).select("block", "cell", "home", "f", "name", "own")
-    a = placed.filter("home").select("block", "cell", F.col("f").alias("f_a"), F.col("name").alias("name_a"), F.col("own").alias("own_a"))
-    b = placed.select("block", "cell", F.col("f").alias("f_b"), F.col("name").alias("name_b"), F.col("own").alias("own_b"))
-    close = F.levenshtein(F.col("own_a"), F.col("own_b"), radius) >= 0
-    return a.join(b, ["block", "cell"]).filter((F.col("f_a") < F.col("f_b")) & close).select("block", "f_a", "f_b", "name_a", "name_b")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in whole_groups(batches, "cell"):
+            for (block, _), cell in whole.groupby(["block", "cell"]):
+                cell = cell.sort_values("f")
+                f, home = cell["f"].tolist(), cell["home"].to_numpy(bool)
+                if reader:
+                    found = _cell_links(reader, list(zip(f, map(reader.parse, cell["name"]), strict=True)), home)
+                else:
+                    own = cell["own"].tolist()
+                    found = ((f[i], f[j], 2) for i, j in combinations(range(len(f)), 2) if home[i] and distance(own[i], own[j]) <= radius)
+                while some := list(islice(found, _PAIRS)):
+                    yield pd.DataFrame(some, columns=["f_a", "f_b", "link"]).assign(block=block)[["block", "f_a", "f_b", "link"]]
+
+    return placed.repartition("cell").sortWithinPartitions("cell").mapInPandas(run, "block bigint, f_a bigint, f_b bigint, link int")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -390,43 +454,82 @@ def _written(name: str) -> tuple:
     return words > 1, -sum(not (ch.isalnum() or ch == " ") for ch in name), -words, name
 
 
-def block_pairs(reader: NameReader, f: list[int], names: list[str], rows: list[int]) -> list[tuple[int, int]]:
-    """Pairs of rows of one block that are different spellings of one registrant, smaller id first."""
+def block_pairs(reader: NameReader, f: list[int], names: list[str], rows: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one block that are different spellings of one registrant, in pieces: smaller ids, larger ids."""
     best: dict[int, str] = {}
     for k, name in zip(f, names, strict=True):
         if k not in best or _written(name) > _written(best[k]):
             best[k] = name
     if len(best) < 2:
-        return []
+        return
     parsed = [(k, n) for k in sorted(best) if (n := reader.read(best[k])) is not None]
     links = list(_cell_links(reader, parsed))
     if not links:
-        return []
+        return
     root = joined(links)
-    members: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    members: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
     for k, row in zip(f, rows, strict=True):
         if k in root:
-            members[root[k]].append((row, k))
-    return [(min(x, y), max(x, y)) for group in members.values() for i, (x, p) in enumerate(group) for y, q in group[i + 1 :] if p != q]
-
-
-def _cell_links(reader: NameReader, parsed: list[tuple[int, Name]]) -> Iterator[tuple[int, int, int]]:
-    """(f_a, f_b, link) of the names of one cell within the radius. A letter of one word that the other lacks is an edit,
-    which rules most pairs out before their distance is taken."""
-    if len(parsed) < 2:
+            members[root[k]][k].append(row)
+    for group in members.values():
+        spelled = [np.array(of, np.int64) for of in group.values()]
+        for i in range(len(spelled) - 1):
+            rest = np.concatenate(spelled[i + 1 :])
+            for row in spelled[i]:
+                yield np.minimum(row, rest), np.maximum(row, rest)
+
+
+#: Up to so many names are compared one by one; of more, those that cannot be linked are ruled out in tables of so many cells.
+_FEW, _TABLE = 12, 1 << 20
+
+
+def _cell_links(reader: NameReader, parsed: list[tuple[int, Name]], home: np.ndarray | None = None) -> Iterator[tuple[int, int, int]]:
+    """(f_a, f_b, link) of the names of one cell within the radius, which come by f. Without ``home``, spellings with the
+    same parts are compared once for all; with it, only pairs come out whose first name is at home."""
+    first: dict[tuple, int] = {}
+    kinds: tuple[list, list] = [], []
+    for at, (k, n) in enumerate(parsed):
+        key = (n.organisation, n.own, n.rest)
+        if home is not None or key not in first:
+            first[key] = k
+            kinds[n.organisation].append((k, n, home is None or home[at]))
+        elif reader.compare(n, n):
+            yield first[key], k, 2
+    for ones in kinds:
+        for i, j in _candidates(reader, [n for _, n, _ in ones]):
+            if ones[i][2] and (link := reader.compare(ones[i][1], ones[j][1])):
+                yield ones[i][0], ones[j][0], link
+
+
+def _candidates(reader: NameReader, names: list[Name]) -> Iterator[tuple[int, int]]:
+    """Positions i < j of the names, all of persons or all of organisations, that may be linked. A letter of one word that
+    the other lacks is an edit, and persons need given names that fit, which rules most pairs out before their distance is taken."""
+    n = len(names)
+    if n <= _FEW:
+        yield from combinations(range(n), 2)
         return
-    own = [n.own for _, n in parsed]
-    letters = np.array([sum({1 << (ord(ch) & 31 if ch.isascii() else 31) for ch in w}) for w in own], np.int64)
-    most = np.array([radius_of(len(w)) for w in own])
-    size = np.array([len(w) for w in own])
-    for i in range(len(own) - 1):
-        other = letters[i + 1 :]
-        limit = np.minimum(most[i], most[i + 1 :])
-        lacks = np.maximum(np.bitwise_count(other & ~letters[i]), np.bitwise_count(letters[i] & ~other))
-        for j in np.flatnonzero((lacks <= limit) & (np.abs(size[i + 1 :] - size[i]) <= limit)).tolist():
-            link = reader.compare(parsed[i][1], parsed[i + 1 + j][1])
-            if link:
-                yield parsed[i][0], parsed[i + 1 + j][0], link
+    letters = np.array([sum({1 << (ord(ch) & 31 if ch.isascii() else 31) for ch in x.own}) for x in names], np.uint32)
+    most = np.array([radius_of(len(x.own)) for x in names], np.uint8)
+    size = np.array([min(len(x.own), 32_000) for x in names], np.int16)
+    words, given = [], None
+    if not names[0].organisation:
+        at: dict[str, int] = {}
+        given = np.array([at.setdefault(x.rest[0] if x.rest else "", len(at)) for x in names], np.int64)
+        words = list(at)
+    step = max(1, _TABLE // n)
+    for start in range(0, n, step):
+        rows, rest = slice(start, start + step), slice(start, None)
+        limit = np.minimum(most[rows, None], most[None, rest])
+        near = np.abs(size[rows, None] - size[None, rest]) <= limit
+        near &= np.bitwise_count(letters[rows, None] & ~letters[None, rest]) <= limit
+        near &= np.bitwise_count(letters[None, rest] & ~letters[rows, None]) <= limit
+        i, j = np.nonzero(np.triu(near, 1))
+        i, j = i + start, j + start
+        if given is not None and len(i):
+            pairs, which = np.unique(given[i] * len(words) + given[j], return_inverse=True)
+            fits = np.array([reader.given_fits(words[p // len(words)], words[p % len(words)]) for p in pairs.tolist()])
+            i, j = i[fits[which]], j[fits[which]]
+        yield from zip(i.tolist(), j.tolist(), strict=True)
 
 
 def joined(links: Iterable[tuple[int, int, int]]) -> dict[int, int]:
@@ -457,11 +560,16 @@ def joined(links: Iterable[tuple[int, int, int]]) -> dict[int, int]:
     return {k: top(k) for k in list(up)}
 
 
-def heavy_blocks(keyed: DataFrame, share: float, local: int) -> list[int]:
-    """Blocks of more than ``local`` rows and more than a share of all rows: fewer than 1/share of them."""
-    counts = keyed.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
-    total = keyed.count()
-    return [r["block"] for r in counts.filter(F.col("n") > max(share * total, local)).limit(int(1 / share) + 1).collect()]
+#: Blocks of up to so many rows are not worth spreading over several tasks.
+_SMALL = 1024
+
+
+def large_blocks(keyed: DataFrame, share: float, local: int) -> list[int]:
+    """Blocks of more rows than one task is to hold: more than ``local``, or than a share of all rows where that is less.
+    Fewer than 1/share of them, or than one for each ``local`` rows."""
+    counts = durable(keyed.groupBy("block").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > min(local, _SMALL)))
+    limit = min(local, max(share * keyed.count(), _SMALL))
+    return [r["block"] for r in counts.filter(F.col("n") > limit).collect()]
 
 
 def linked_rows(
@@ -472,7 +580,7 @@ def linked_rows(
     short_forms: list[tuple[str, str]],
     other_fields: list[list[tuple[str, str]]],
     cell_size: int = 64,
-    local: int = 1024,
+    local: int = 65_536,
     share: float = 0.002,
 ) -> DataFrame:
     """(row_id_a, row_id_b): all pairs of rows, smaller id first, whose names are different spellings of one registrant.
@@ -481,75 +589,43 @@ def linked_rows(
     cell, folds to nothing or is a value of one of ``other_fields`` are in no pair. Spellings linked only through
     initials join the one registrant of the block they fit, and none if they fit several. An empty table gives no pair.
 
-    Blocks of at most ``local`` rows are brought together by one shuffle and joined where they are. Larger ones, and
-    those above ``share`` of all rows, which are not brought together at all, are partitioned by pivots.
+    Blocks are brought together by one shuffle and joined where they are; pairs are handed on as they are found and never
+    kept. Blocks of more than ``local`` rows, and those above ``share`` of all rows, are not brought together but
+    partitioned by pivots; all ways give the same pairs.
     """
     keyed = table.filter(~is_null_cell(F.col(name))).select(
         F.col(row).alias("row_id"), F.col(name).alias("name"), F.xxhash64(*[F.coalesce(b.cast("string"), F.lit("\u0000")) for b in block]).alias("block"), fold(F.col(name)).alias("flat")
     ).filter("flat <> ''").select("row_id", "name", "block", F.xxhash64("flat").alias("f"))
     keyed = durable(keyed)
     reader = NameReader(common_words(keyed), short_forms, other_fields)
-    hot = heavy_blocks(keyed, share, local)
-    heavy = keyed.filter(F.col("block").isin(*hot)) if hot else None
-    light = keyed.filter(~F.col("block").isin(*hot)) if hot else keyed
-    columns = ["row_id_a", "row_id_b", "block", "f", "name"]
+    large = large_blocks(keyed, share, local)
+    light = keyed.filter(~F.col("block").isin(*large)) if large else keyed
+
+    def pairs_of(whole: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        b = whole["block"].to_numpy()
+        starts = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1])))
+        ends = np.append(starts[1:], len(b))
+        many = ends - starts > 1
+        f, names, rows = whole["f"].to_numpy(), whole["name"].to_numpy(), whole["row_id"].to_numpy()
+        for s, e in zip(starts[many].tolist(), ends[many].tolist(), strict=True):
+            yield from block_pairs(reader, f[s:e].tolist(), names[s:e].tolist(), rows[s:e].tolist())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """The pairs of the blocks, which come sorted; rows of blocks that are too large pass through with their name."""
-        held: list[pd.DataFrame] = []
-        passing = None
-
-        def finished(whole: pd.DataFrame) -> list[tuple]:
-            b = whole["block"].to_numpy()
-            starts = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1])))
-            ends = np.append(starts[1:], len(b))
-            many = ends - starts > 1
-            f, names, rows = whole["f"].to_numpy(), whole["name"].to_numpy(), whole["row_id"].to_numpy()
-            pairs = []
-            for s, e in zip(starts[many].tolist(), ends[many].tolist(), strict=True):
-                pairs += block_pairs(reader, f[s:e].tolist(), names[s:e].tolist(), rows[s:e].tolist())
-            return pairs
-
-        def through(rows: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({"row_id_a": rows["row_id"], "row_id_b": None, "block": rows["block"], "f": rows["f"], "name": rows["name"]})[columns]
-
-        def paired(whole: pd.DataFrame) -> pd.DataFrame:
-            pairs = finished(whole) if len(whole) else []
-            return pd.DataFrame({"row_id_a": [p[0] for p in pairs], "row_id_b": [p[1] for p in pairs], "block": None, "f": None, "name": None}, columns=columns)
-
-        for batch in batches:
-            if not len(batch):
-                continue
-            if passing is not None:
-                same = batch["block"] == passing
-                yield through(batch[same])
-                batch = batch[~same]
-                if not len(batch):
-                    continue
-                passing = None
-            whole = pd.concat([*held, batch], ignore_index=True) if held else batch.reset_index(drop=True)
-            last = whole["block"].iloc[-1]
-            tail = whole["block"] == last
-            sizes = whole.groupby("block")["f"].transform("size")
-            large = (sizes > local) & ~tail
-            yield through(whole[large])
-            yield paired(whole[~large & ~tail].reset_index(drop=True))
-            held = [whole[tail]]
-            if tail.sum() > local:
-                yield through(whole[tail])
-                held, passing = [], last
-        if held:
-            yield paired(held[0].reset_index(drop=True))
+        for whole in whole_groups(batches, "block"):
+            a, b, n = [], [], 0
+            for x, y in pairs_of(whole):
+                a.append(x)
+                b.append(y)
+                n += len(x)
+                if n >= _PAIRS:
+                    yield pd.DataFrame({"row_id_a": np.concatenate(a), "row_id_b": np.concatenate(b)})
+                    a, b, n = [], [], 0
+            if n:
+                yield pd.DataFrame({"row_id_a": np.concatenate(a), "row_id_b": np.concatenate(b)})
 
     parts = light.repartition(F.col("block")).sortWithinPartitions("block")
-    found = durable(parts.mapInPandas(run, "row_id_a bigint, row_id_b bigint, block bigint, f bigint, name string"))
-    pairs = found.filter("row_id_b is not null").select("row_id_a", "row_id_b")
-    large = found.filter("row_id_b is null").select(F.col("row_id_a").alias("row_id"), "name", "block", "f")
-    if heavy is not None:
-        large = large.unionByName(heavy.select("row_id", "name", "block", "f"))
-    if not large.limit(1).count():
-        return pairs
-    return pairs.unionByName(_large_block_pairs(large, reader, cell_size))
+    pairs = parts.mapInPandas(run, "row_id_a bigint, row_id_b bigint")
+    return pairs.unionByName(_large_block_pairs(keyed.filter(F.col("block").isin(*large)), reader, cell_size)) if large else pairs
 
 
 def _large_block_pairs(keyed: DataFrame, reader: NameReader, cell_size: int) -> DataFrame:
@@ -562,15 +638,7 @@ def _large_block_pairs(keyed: DataFrame, reader: NameReader, cell_size: int) ->
             yield batch[batch["own"].notna()]
 
     parsed = spellings(keyed).mapInPandas(parse, "block bigint, f bigint, name string, size bigint, own string")
-    pairs = near_pairs(durable(parsed), RADIUS, cell_size)
-
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            read = {n: reader.parse(n) for n in {*batch["name_a"], *batch["name_b"]}}
-            batch["link"] = [reader.compare(read[a], read[b]) for a, b in zip(batch["name_a"], batch["name_b"], strict=True)]
-            yield batch.loc[batch["link"] != 0, ["block", "f_a", "f_b", "link"]]
-
-    links = durable(pairs.mapInPandas(judge, "block bigint, f_a bigint, f_b bigint, link int"))
+    links = durable(near_pairs(durable(parsed), RADIUS, cell_size, reader))
     strong = components(links.filter("link = 2"))
     labels = _with_initials(links, strong)
     members = keyed.join(labels, ["block", "f"]).select("row_id", "block", "root", "f")

@@ -286,3 +286,18 @@ def test_distance_is_levenshtein():
                 row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
             last = row
         assert distance(a, b) == last[-1]
+
+
+def test_pivots_that_do_not_part_names_do_not_multiply_them(spark):
+    from auditloom.llm.name_variants import block_pairs, cells
+
+    rng = random.Random(12)
+    names = ["".join(rng.choice("abcdefghi") for _ in range(rng.randint(4, 8))) for _ in range(2000)]
+    df = spark.createDataFrame([(1, rng.getrandbits(63) - 2**62, n, len(names), n) for n in names], "block bigint, f bigint, name string, size bigint, own string")
+    placed = cells(df, 4, 64)
+    assert placed.filter("home").count() == len(names) and placed.count() <= 3 * len(names)
+    # Copies of rows give pairs in pieces, each pair once.
+    reader = NameReader(GIVEN, FORMS, [PLACES])
+    spelled = ["Robert Marsden", "Marsden, Bob", "Olga Marsden"]
+    found = [p for a, b in block_pairs(reader, [i % 3 for i in range(90)], [spelled[i % 3] for i in range(90)], list(range(90))) for p in zip(a.tolist(), b.tolist(), strict=True)]
+    assert sorted(found) == [(i, j) for i in range(90) for j in range(i + 1, 90) if {i % 3, j % 3} == {0, 1}]
