@@ -1,30 +1,36 @@
-"""Encoding of texts by a byte-level BPE vocabulary, with Spark's higher-order functions only.
+"""Encoding of texts by a byte-level BPE vocabulary.
 
 A text is cut into words by the vocabulary's pattern. A word's bytes are folded: in every step the neighbouring pieces
-whose joined bytes have the lowest rank are merged, until no joined bytes have a rank; the ranks of what is left are the
-ids. Ranks come from a literal map, laid out as an open hash table of two choices because Spark looks its own map type up
-by scanning. Words that are pieces themselves and the most frequent other words of the corpus, each folded once, are
-looked up in a second literal table; the long tail of rare words is folded where it stands. Decoding concatenates the
-binary pieces.
+whose joined bytes have the lowest rank are merged, the leftmost first, until no joined bytes have a rank; the ranks of
+what is left are the ids. The merges wait in a heap, so that a word takes n log n steps of its length. Every task encodes
+its texts in one pass over Arrow batches and remembers the words that it has folded. Decoding concatenates the binary
+pieces in native expressions.
 """
 
 from __future__ import annotations
 
 import base64
 import json
-from collections.abc import Callable
-
-import xxhash
+import re
+import unicodedata
+from array import array
+from collections.abc import Callable, Iterator
+from functools import cache
+from heapq import heapify, heappop, heappush
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.functions.text import column
 
-# White space by Unicode, as a character class, and the cut into words with it.
-_SPACE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-PATTERN = rf" ?\p{{L}}++|'(?:s|t|re|ve|m|ll|d)| ?\p{{N}}++| ?[^{_SPACE}\p{{L}}\p{{N}}]++|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
+# White space by Unicode, inside a character class.
+_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-_SEED = 42  # of Spark's xxhash64
+_BASIC, _ALL = 0xFFFF, 0x10FFFF
+_BEYOND = re.compile("[\U00010000-\U0010ffff]")
 
 
 def load_ranks(path: str = DEFAULT_RANKS) -> dict[bytes, int]:
@@ -32,169 +38,110 @@ def load_ranks(path: str = DEFAULT_RANKS) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
 
 
-class LiteralTable:
-    """A constant lookup table inside a plan: every key has two possible slots, so a lookup is two comparisons.
-
-    The table enters a plan once, bound to a lambda variable, however often it is looked up.
-    """
-
-    def __init__(self, entries: dict[bytes, object], value_type: str, text_keys: bool):
-        bits = max(4, (2 * len(entries)).bit_length())
-        while (slots := self._placed(entries, bits)) is None:
-            bits += 1
-        self.bits = bits
-        keys = [None if k is None else k.decode() if text_keys else base64.b64encode(k).decode() for k in slots]
-        values = [None if k is None else entries[k] for k in slots]
-        held = F.from_json(F.lit(json.dumps(keys)), f"array<{'string' if text_keys else 'binary'}>")
-        self.column = F.struct(held.alias("keys"), F.from_json(F.lit(json.dumps(values)), f"array<{value_type}>").alias("values"))
-
-    @staticmethod
-    def _slots_of(key: bytes, bits: int) -> tuple[int, int]:
-        h = xxhash.xxh64_intdigest(key, _SEED)
-        return h & ((1 << bits) - 1), (h >> 32) & ((1 << bits) - 1)
-
-    def _placed(self, entries: dict[bytes, object], bits: int) -> list[bytes | None] | None:
-        slots: list[bytes | None] = [None] * (1 << bits)
-        for key in entries:
-            where, moving = self._slots_of(key, bits)[0], key
-            for _ in range(500):
-                moving, slots[where] = slots[where], moving
-                if moving is None:
-                    break
-                a, b = self._slots_of(moving, bits)
-                where = b if where == a else a
-            else:
-                return None
-        return slots
-
-    def get(self, bound: Column, key: Column, hashed: Column) -> Column:
-        """The key's value or null, given the bound table and xxhash64 of the key."""
-        keys, values = bound.getField("keys"), bound.getField("values")
-        mask = F.lit((1 << self.bits) - 1)
-        a = hashed.bitwiseAND(mask).cast("int")
-        b = F.shiftrightunsigned(hashed, 32).bitwiseAND(mask).cast("int")
-        return F.when(F.get(keys, a) == key, F.get(values, a)).when(F.get(keys, b) == key, F.get(values, b))
-
-
 def _with(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is evaluated once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _class_of(kind: str, last: int) -> str:
+    """The characters up to ``last`` of a general category of Unicode, inside a character class."""
+    runs: list[list[int]] = []
+    for c in range(last + 1):
+        if unicodedata.category(chr(c))[0] == kind:
+            if runs and runs[-1][1] == c - 1:
+                runs[-1][1] = c
+            else:
+                runs.append([c, c])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs)
+
+
+@cache
+def _pattern(last: int) -> re.Pattern:
+    """The cut of a text into words, for texts of characters up to ``last``: the classes of the basic plane are tables, the
+    others are lists of runs, which take longer."""
+    letter, digit = _class_of("L", last), _class_of("N", last)
+    return re.compile(rf" ?[{letter}]++|'(?:s|t|re|ve|m|ll|d)| ?[{digit}]++| ?[^{_SPACE}{letter}{digit}]++|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+
+
+def words(text: str) -> list[str]:
+    """The words of a text."""
+    return _pattern(_ALL if not text.isascii() and _BEYOND.search(text) else _BASIC).findall(text)
+
+
+def folded(ranks: dict[bytes, int], raw: bytes) -> list[int]:
+    """Ids of some bytes by ranked merges."""
+    n = len(raw)
+    # The end of the piece that begins at a place, 0 where none does, and the beginning of the piece before it.
+    ends, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    waiting = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(raw[i : i + 2])) is not None]
+    heapify(waiting)
+    while waiting:
+        _, i, end = heappop(waiting)
+        middle = ends[i]
+        if not middle or middle >= n or ends[middle] != end:
+            continue  # one of the two pieces has been merged with another
+        ends[i], ends[middle] = end, 0
+        if i and (r := ranks.get(raw[before[i] : end])) is not None:
+            heappush(waiting, (r, before[i], end))
+        if end < n:
+            before[end] = i
+            if (r := ranks.get(raw[i : ends[end]])) is not None:
+                heappush(waiting, (r, i, ends[end]))
+    ids, i = [], 0
+    while i < n:
+        ids.append(ranks[raw[i : ends[i]]])
+        i = ends[i]
+    return ids
+
+
+class _Words(dict):
+    """Ids by word; up to ``most`` words of usual length are remembered, others are folded each time."""
+
+    LONG = 64
+
+    def __init__(self, ranks: dict[bytes, int], most: int):
+        super().__init__()
+        self.ranks, self.most = ranks, most
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        raw = word.encode()
+        rank = self.ranks.get(raw)
+        ids = tuple(folded(self.ranks, raw)) if rank is None else (rank,)
+        if len(self) < self.most and len(raw) <= self.LONG:
+            self[word] = ids
+        return ids
+
+
 class ByteBpe:
     """Columns that encode and decode by one vocabulary."""
 
-    #: Words of up to so many bytes are folded as a whole, longer ones in sections, with so many pieces on each side of a
-    #: seam folded together: few at first, more should a seam not hold, and the whole word should none hold.
-    WHOLE, SECTION, SEAMS = 192, 96, (3, 24)
+    #: Ids that a task hands on at once.
+    PART = 1 << 22
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.table = LiteralTable(ranks, "int", text_keys=False)
-
-    def _ranks_of(self, bound: Column, pieces: Column) -> Column:
-        return F.zip_with(pieces, F.transform(pieces, lambda p: F.xxhash64(p)), lambda p, h: self.table.get(bound, p, h))
-
-    def _merged(self, bound: Column, s: Column) -> Column:
-        joined = F.transform(F.sequence(F.lit(0), F.size(s) - 2), lambda i: F.concat(F.get(s, i), F.get(s, i + 1)))
-
-        def lowest(r: Column) -> Column:
-            def replaced(p: Column) -> Column:
-                return F.concat(F.slice(s, F.lit(1), p - 1), F.array(F.concat(F.get(s, p - 1), F.get(s, p))), F.slice(s, p + 2, F.size(s)))
-
-            return F.when(F.array_min(r).isNull(), s).otherwise(_with(F.array_position(r, F.array_min(r)).cast("int"), replaced))
-
-        return F.when(F.size(s) < 2, s).otherwise(_with(self._ranks_of(bound, joined), lowest))
-
-    def _pieces(self, bound: Column, raw: Column) -> Column:
-        """The pieces of some bytes by ranked merges; as many steps as bytes, each over all that is left."""
-        steps = F.sequence(F.lit(1), F.octet_length(raw))
-        return F.aggregate(steps, F.transform(steps, lambda i: F.substring(raw, i, F.lit(1))), lambda s, _: self._merged(bound, s))
-
-    def _long(self, bound: Column, raw: Column, width: int) -> Column:
-        """(settled, open, holds): the pieces of a long word, one list after the other, in time linear in its length.
-
-        Sections of ``SECTION`` bytes are folded by themselves; then, from left to right, the pieces around each seam are
-        folded together. Pieces are the right ones exactly if every two neighbours are what their own bytes fold to, which
-        inside a section they are. So only the neighbours at the seams are looked at; ``holds`` tells whether all are.
-        """
-        starts = F.sequence(F.lit(1), F.octet_length(raw), F.lit(self.SECTION))
-        sections = F.transform(starts, lambda i: self._pieces(bound, F.substring(raw, i, F.lit(self.SECTION))))
-        empty = F.array().cast("array<binary>")
-        joined = lambda ps: F.aggregate(ps, F.lit(b""), lambda s, p: F.concat(s, p))
-
-        def seam(done: Column, section: Column) -> Column:
-            """``done``: (what is settled, the pieces before the seam, whether all seams hold)."""
-            near, rest = F.slice(section, 1, width), F.slice(section, width + 1, self.SECTION)
-            left = done.getField("open")
-            keep = F.greatest(F.size(left) - width, F.lit(0))
-            before, touching = F.slice(left, F.lit(1), keep), F.slice(left, keep + 1, F.lit(width))
-
-            def closed(mended: Column) -> Column:
-                holds = self._neighbours(bound, F.slice(before, -1, 1), F.slice(mended, 1, 1), F.slice(mended, -1, 1), F.slice(rest, 1, 1))
-                return F.struct(
-                    F.concat(done.getField("settled"), before).alias("settled"), F.concat(mended, rest).alias("open"), (done.getField("holds") & holds).alias("holds")
-                )
-
-            before = F.when(F.size(before) > 0, before).otherwise(empty)
-            return _with(self._pieces(bound, joined(F.concat(touching, near))), closed)
-
-        first = F.struct(empty.alias("settled"), empty.alias("open"), F.lit(True).alias("holds"))
-        started = lambda s, p: F.when(F.size(s.getField("open")) == 0, F.struct(s.getField("settled").alias("settled"), p.alias("open"), s.getField("holds").alias("holds"))).otherwise(seam(s, p))
-        return F.aggregate(sections, first, started)
-
-    @staticmethod
-    def _if_holds(otherwise: Column) -> Callable[[Column], Column]:
-        return lambda s: F.when(s.getField("holds"), F.concat(s.getField("settled"), s.getField("open"))).otherwise(otherwise)
-
-    def _neighbours(self, bound: Column, a: Column, b: Column, c: Column, d: Column) -> Column:
-        """Whether the pieces on both sides of two seams (lists of one or none) are what their bytes fold to."""
-        pairs = F.filter(F.array(F.concat(a, b), F.concat(c, d)), lambda p: F.size(p) == 2)
-        return F.forall(pairs, lambda p: self._pieces(bound, F.concat(F.get(p, F.lit(0)), F.get(p, F.lit(1)))) == p)
-
-    def fold(self, bound: Column, word: Column) -> Column:
-        """Ids of one non-empty word by ranked merges of its bytes, given the bound rank table."""
-        raw = word.cast("binary")
-        pieces = self._pieces(bound, raw)
-        for width in reversed(self.SEAMS):
-            pieces = _with(F.when(F.octet_length(raw) > self.WHOLE, self._long(bound, raw, width)), self._if_holds(pieces))
-        return _with(pieces, lambda s: self._ranks_of(bound, s))
-
-    @staticmethod
-    def words(text: Column) -> Column:
-        """Words of a text; none for null."""
-        return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PATTERN), F.lit(0))
-
-    def known_words(self, documents: DataFrame, text: str, most: int) -> dict[bytes, list[int]]:
-        """Ids of the pieces that are words and of the ``most`` words most frequent beside them, counted over all texts."""
-        known = {}
-        for piece, rank in self.ranks.items():
-            try:
-                piece.decode()
-            except UnicodeDecodeError:
-                continue
-            known[piece] = [rank]
-        counted = documents.select(F.explode(self.words(column(text))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-        other = counted.filter((F.col("n") > 1) & _with(self.table.column, lambda t: self.table.get(t, F.col("word").cast("binary"), F.xxhash64("word"))).isNull())
-        frequent = other.orderBy(F.desc("n"), "word").limit(most).repartition(documents.sparkSession.sparkContext.defaultParallelism)
-        known |= {r["word"].encode(): list(r["ids"]) for r in frequent.select("word", _with(self.table.column, lambda t: self.fold(t, F.col("word"))).alias("ids")).collect()}
-        return known
 
     def encode(self, documents: DataFrame, doc: str, text: str, most: int = 65_536) -> DataFrame:
         """(doc_id, ids): one row for each row; the list is empty for a null or empty text. Texts of any length are
-        encoded whole; strings that look like special tokens are plain text; other columns are not read."""
-        # The last one placed keeps its first slot: the most frequent pieces, which have the lowest ranks.
-        known = self.known_words(documents, text, most)
-        table = LiteralTable(dict(reversed(known.items())), "array<int>", text_keys=True)
-        cut = documents.select(column(doc).alias("doc_id"), self.words(column(text)).alias("words"))
-        hashed = cut.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
-
-        def looked_up(t: Column) -> Column:
-            known, ranks = t.getField("known"), t.getField("ranks")
-            return F.flatten(F.zip_with("words", "hashes", lambda w, h: F.coalesce(table.get(known, w, h), self.fold(ranks, w))))
-
-        ids = _with(F.struct(table.column.alias("known"), self.table.column.alias("ranks")), looked_up)
-        return hashed.select("doc_id", ids.alias("ids"))
+        encoded whole; strings that look like special tokens are plain text; other columns are not read. A task remembers
+        up to ``most`` words."""
+        ranks, part = self.ranks, self.PART
+        read = documents.select(column(doc).alias("doc_id"), F.make_valid_utf8(column(text)).alias("text"))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids_of = _Words(ranks, most).__getitem__
+            for batch in batches:
+                docs, start, ids, ends = batch.column(0), 0, array("i"), array("i", [0])
+                for at, cell in enumerate(batch.column(1), 1):
+                    if content := cell.as_py():
+                        ids.extend(chain.from_iterable(map(ids_of, words(content))))
+                    ends.append(len(ids))
+                    if len(ids) >= part or at == len(docs):
+                        lists = pa.ListArray.from_arrays(pa.array(np.frombuffer(ends, np.int32)), pa.array(np.frombuffer(ids, np.int32) if ids else [], pa.int32()))
+                        yield pa.RecordBatch.from_arrays([docs.slice(start, at - start), lists], ["doc_id", "ids"])
+                        start, ids, ends = at, array("i"), array("i", [0])
+
+        return read.mapInArrow(run, f"doc_id {read.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
     def decode(self, ids: Column) -> Column:
         """The text of a list of ids: its pieces' bytes, one after the other."""

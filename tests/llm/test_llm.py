@@ -301,3 +301,27 @@ def test_pivots_that_do_not_part_names_do_not_multiply_them(spark):
     spelled = ["Robert Marsden", "Marsden, Bob", "Olga Marsden"]
     found = [p for a, b in block_pairs(reader, [i % 3 for i in range(90)], [spelled[i % 3] for i in range(90)], list(range(90))) for p in zip(a.tolist(), b.tolist(), strict=True)]
     assert sorted(found) == [(i, j) for i in range(90) for j in range(i + 1, 90) if {i % 3, j % 3} == {0, 1}]
+
+
+@pytest.mark.skipif(not os.path.exists(RANKS), reason="no vocabulary file")
+def test_encoding_reads_the_texts_once(spark):
+    import public_tokenizers
+    import tiktoken
+
+    from auditloom.llm.byte_bpe import ByteBpe, load_ranks
+
+    ranks = load_ranks(RANKS)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(13)
+    texts = ["".join(rng.choice("aé1 ²½٣𝔸𝟘😀́\n\t'’s日ⅷ​\x85\x1c") for _ in range(rng.randint(0, 40))) for _ in range(300)] + [None, "", "x" * 70 + " x" * 3]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(3)
+    spark.sparkContext.setJobGroup("encode", "")
+    bpe = ByteBpe(ranks)
+    bpe.PART = 500
+    got = bpe.encode(df, "doc_id", "text", 50)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("encode")
+    assert got.dtypes == [("doc_id", "int"), ("ids", "array<int>")]
+    assert {r["doc_id"]: list(r["ids"]) for r in got.collect()} == {i: library.encode_ordinary(t or "") for i, t in enumerate(texts)}
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    damaged = spark.range(1).select("id", F.expr("cast(X'61ff62' as string)").alias("text"))
+    assert list(bpe.encode(damaged, "id", "text").first()["ids"]) == library.encode_ordinary("a�b")
